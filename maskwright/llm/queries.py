@@ -42,9 +42,32 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    found = decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    share = F.round(F.col("n_found") / F.col("n_shingles"), 6)
+    return found.select(F.col("id").alias("doc_id"), "item_id", "n_shingles", "n_found", share.alias("containment"))
+
+
+OP10_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda w: w <> '') FROM benchmark
+), shingles AS (
+  SELECT DISTINCT side, id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT side, id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, z.n AS n_shingles, count(*) AS n_found, round(count(*)::DOUBLE / z.n, 6) AS containment
+FROM shingles d JOIN shingles i ON d.side = 'd' AND i.side = 'i' AND d.s = i.s JOIN sizes z ON z.id = i.id
+GROUP BY d.id, i.id, z.n HAVING count(*) >= 0.8 * z.n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe}
+    return {"op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontamination": OP10_SQL}
