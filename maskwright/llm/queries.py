@@ -18,6 +18,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    spans = F.col("pii_spans")
+    return pii.with_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[pii.count_of(spans, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listed(spans, base_only=True), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+    )
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +78,7 @@ GROUP BY d.id, i.id, z.n HAVING count(*) >= 0.8 * z.n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_decontamination": op10_decontamination}
+    return {"op2_pii": op2_pii, "op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
