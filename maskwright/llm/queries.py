@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import HELD_OUT, fold, table
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return quality.with_score(docs, model).select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,7 +87,7 @@ GROUP BY d.id, i.id, z.n HAVING count(*) >= 0.8 * z.n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_decontamination": op10_decontamination}
+    return {"op2_pii": op2_pii, "op5_quality": op5_quality, "op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
