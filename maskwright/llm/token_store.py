@@ -22,12 +22,11 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, pieces_of, text_of
+from .bpe import PLAIN, PLAIN_PIECES, Remembered, grouped, pieces_of
 from .common import shuffle_partitions, stored
 
 END_ID = 2
@@ -124,11 +123,6 @@ class Segment:
         return [None] * self.n_null + [int(g) + self.first_id for g in self.gaps.all().tolist()]
 
 
-#: White space, visible ASCII and Latin letters: here all Unicode versions of the pattern agree.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*+")
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-
 class LibraryTokenizer:
     """The tokenizers library on whole texts; the pieces of plain texts are remembered per worker."""
 
@@ -139,13 +133,22 @@ class LibraryTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known = Remembered(lambda pieces: [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)  # one letter for each byte
+        self.known = Remembered(self._encode_pieces)
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces in one call; where a piece ends follows from the bytes of pieces and tokens."""
+        ids = np.array(self.tokenizer.encode_batch_fast([pieces], add_special_tokens=False, is_pretokenized=True)[0].ids, np.int32)
+        piece_ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        token_ends = np.cumsum(self.bytes_of[ids])
+        return ids, np.diff(np.searchsorted(token_ends, piece_ends, "left") + 1, prepend=0)
 
-    def encode(self, text: str) -> np.ndarray:
-        if not _PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        parts = [self.known.ids(p) for p in pieces_of(text, _PIECE)]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [bool(PLAIN.fullmatch(t)) for t in texts]
+        known = iter(self.known.ids([pieces_of(t, PLAIN_PIECES) for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(known) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t, p in zip(texts, plain, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -170,9 +173,9 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "seq", "n_docs", "n_tokens", "before", "data"])
 
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        for doc_id, text in zip(batch.column(0), texts, strict=True):
-            found = np.concatenate((coder.encode(text_of(text.as_py())), end))
+        texts = (x for group in grouped(batch.column(1).cast(pa.binary())) for x in coder.encode(group))
+        for doc_id, found in zip(batch.column(0), texts, strict=True):
+            found = np.concatenate((found, end))
             if ids and (tokens + len(found) > SEGMENT_TOKENS or len(ids) >= SEGMENT_DOCS):
                 yield segment()
                 seq, before, tokens, doc_ids, ids = seq + 1, before + tokens, 0, [], []
