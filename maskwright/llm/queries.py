@@ -30,6 +30,23 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), "severity", "grade", (F.col("grade") > 0).alias("toxic"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select(F.col("id").alias("doc_id"), (fold("id") == HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -87,7 +104,7 @@ GROUP BY d.id, i.id, z.n HAVING count(*) >= 0.8 * z.n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op5_quality": op5_quality, "op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_decontamination": op10_decontamination}
+    return {"op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_quality": op5_quality, "op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
