@@ -80,6 +80,32 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    found = lm.score(table(spark, sf_dir, "documents"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "n_backed_off", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
+
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents
+), tokens AS (
+  SELECT doc_id, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)
+), one AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
+two AS (SELECT before, word, count(*) AS n FROM tokens WHERE before IS NOT NULL GROUP BY before, word HAVING count(*) >= 2),
+size AS (SELECT count(*)::DOUBLE AS n FROM tokens),
+scored AS (
+  SELECT t.doc_id, (t.before IS NOT NULL AND two.n IS NULL)::BIGINT AS back,
+    CASE WHEN two.n IS NOT NULL THEN ln(two.n::DOUBLE) - ln(c.n::DOUBLE) ELSE ln(one.n::DOUBLE) - ln((SELECT n FROM size)) + CASE WHEN t.before IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END AS v
+  FROM tokens t JOIN one ON one.word = t.word LEFT JOIN one c ON c.word = t.before LEFT JOIN two ON two.before = t.before AND two.word = t.word
+), sums AS (SELECT doc_id, count(*) AS n, sum(back)::BIGINT AS b, sum(v) AS s FROM scored GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(b, 0)::BIGINT AS n_backed_off, round(coalesce(s, 0), 4) AS log_score, round(coalesce(s / n, 0), 6) AS mean_log_score
+FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -104,8 +130,8 @@ GROUP BY d.id, i.id, z.n HAVING count(*) >= 0.8 * z.n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_quality": op5_quality, "op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op10_decontamination": op10_decontamination}
+    return {"op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_quality": op5_quality, "op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_lm_score": op9_lm_score, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op9_lm_score": OP9_SQL, "op10_decontamination": OP10_SQL}
