@@ -222,7 +222,9 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """(id, fp, component_id): one row per row of docs; component_id is the smallest id reachable.
+    """(id, fp, component_id, root): one row per row of docs; component_id is the smallest id reachable.
+
+    root is the smallest fingerprint of the group (as signed longs).
 
     Null and empty texts and texts without words have fingerprint 0 and form one
     group. Repeated rows stay. A null id keeps its row; ids are compared as
@@ -233,5 +235,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(near_links(distinct.select("fp"), radius, blocks, tile))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = cut(rooted.join(lows, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("id", "fp", "component_id")
+    named = cut(rooted.join(lows, "root").select("fp", "component_id", "root"))
+    return marked.join(named, "fp").select("id", "fp", "component_id", "root")
+
+
+def _with_fingerprint(batches: Iterator[pa.RecordBatch], at: int, name: str, shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(at).cast(pa.binary())), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], [*batch.schema.names, name])
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """docs, all columns, with one row of each group of near-duplicates: the one of the smallest id.
+
+    Rows without id stay only if their group has no id at all. Where ids repeat
+    or are null, a row is told by its id and fingerprint, and of rows equal in
+    both one stays.
+    """
+    marked = stored(near_duplicates(docs, id_col, text_col, shingle, radius, blocks, tile), "groups")
+    ids = marked.groupBy("id").count().agg(F.max("count"), F.max(F.col("id").isNull())).first()
+    if ids[0] is None or (ids[0] == 1 and not ids[1]):
+        kept = marked.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept_id"))
+        return docs.join(kept, docs[id_col].cast("long") == kept["_kept_id"], "left_semi")
+
+    name = "_fingerprint"
+    while name in docs.columns:
+        name += "_"
+    # an id in several groups keeps a row in each, so groups are told by root; rows of one id and group: smallest fingerprint
+    with_id = (
+        marked.where(F.col("id") == F.col("component_id"))
+        .groupBy("id", "root")
+        .agg(F.min("fp").alias("_kept_fp"))
+        .select(F.col("id").alias("_kept_id"), "_kept_fp")
+    )
+    bare = marked.where(F.col("component_id").isNull()).select(F.col("root").alias("_kept_fp")).distinct()
+    without_id = bare.select(F.lit(None).cast("long").alias("_kept_id"), "_kept_fp")
+    kept = cut(with_id.unionAll(without_id))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` long"])
+    told = docs.mapInArrow(partial(_with_fingerprint, at=docs.columns.index(text_col), name=name, shingle=shingle), schema)
+    rows = told.join(kept, told[id_col].cast("long").eqNullSafe(kept["_kept_id"]) & (told[name] == kept["_kept_fp"]), "left_semi")
+    return rows.dropDuplicates([id_col, name]).drop(name)
