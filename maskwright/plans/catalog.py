@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import values
+
+_MODULES = (values,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: q for m in _MODULES for k, q in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.oracle_sql().items()}
