@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import values
+from ..operators import detect
+from . import detection, values
 
-_MODULES = (values,)
+_MODULES = (values, detection)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Scored detection under the default configuration; a row per candidate."""
+    return detect.candidates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "text", detection.DEFAULT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
