@@ -42,25 +42,25 @@ class Spark:
 
     @staticmethod
     def total(n: str, body: str) -> str:
-        """The sum of body for i from 1 to n (n at least 1)."""
-        return f"aggregate(sequence(1, {n}), 0, (total, i) -> total + ({body}))"
+        """The sum of body for i_ from 1 to n (n at least 1)."""
+        return f"aggregate(sequence(1, {n}), 0, (sum_, i_) -> sum_ + ({body}))"
 
     @staticmethod
     def fold(array: str, body: str) -> str:
-        """Of an array of ints from 0: body over a (so far) and c (item)."""
-        return f"aggregate({array}, 0, (a, c) -> cast({body} as int))"
+        """Of an array of ints from 0: body over a_ (so far) and c_ (item)."""
+        return f"aggregate({array}, 0, (a_, c_) -> cast({body} as int))"
 
     @staticmethod
     def each(array: str, body: str) -> str:
-        return f"transform({array}, c -> {body})"
+        return f"transform({array}, c_ -> {body})"
 
     @staticmethod
     def all(array: str, body: str) -> str:
-        return f"forall({array}, c -> {body})"
+        return f"forall({array}, c_ -> {body})"
 
     @staticmethod
     def chars(x: str) -> str:
-        return f"filter(split({x}, ''), c -> c <> '')"
+        return f"filter(split({x}, ''), c_ -> c_ <> '')"
 
     @staticmethod
     def position(part: str, x: str) -> str:
@@ -117,19 +117,19 @@ class Duck(Spark):
 
     @staticmethod
     def total(n: str, body: str) -> str:
-        return f"list_sum(list_transform(range(1, ({n}) + 1), lambda i: {body}))"
+        return f"list_sum(list_transform(range(1, ({n}) + 1), lambda i_: {body}))"
 
     @staticmethod
     def fold(array: str, body: str) -> str:
-        return f"list_reduce(list_prepend(0, {array}), lambda a, c: {body})"
+        return f"list_reduce(list_prepend(0, {array}), lambda a_, c_: {body})"
 
     @staticmethod
     def each(array: str, body: str) -> str:
-        return f"list_transform({array}, lambda c: {body})"
+        return f"list_transform({array}, lambda c_: {body})"
 
     @staticmethod
     def all(array: str, body: str) -> str:
-        return f"len(list_filter({array}, lambda c: NOT ({body}))) = 0"
+        return f"len(list_filter({array}, lambda c_: NOT ({body}))) = 0"
 
     @staticmethod
     def chars(x: str) -> str:

@@ -26,13 +26,13 @@ def _trimmed(v: str, d: Spark) -> str:
 
 def luhn(v: str, d: Spark = SPARK) -> str:
     x = _digits(v, d)
-    digit = f"cast(substring({x}, cast(length({x}) - i + 1 as int), 1) as int)"
-    total = d.total(f"length({x})", f"case when i % 2 = 1 then {digit} when {digit} > 4 then 2 * {digit} - 9 else 2 * {digit} end")
+    digit = f"cast(substring({x}, cast(length({x}) - i_ + 1 as int), 1) as int)"
+    total = d.total(f"length({x})", f"case when i_ % 2 = 1 then {digit} when {digit} > 4 then 2 * {digit} - 9 else 2 * {digit} end")
     return f"case when length({x}) between 13 and 19 then {total} % 10 = 0 else false end"
 
 
 def _weighted(x: str, weights: tuple[int, ...], d: Spark) -> str:
-    return d.total(f"length({x})", f"cast(substring({x}, cast(i as int), 1) as int) * {d.item(d.array(*weights), 'i - 1')}")
+    return d.total(f"length({x})", f"cast(substring({x}, cast(i_ as int), 1) as int) * {d.item(d.array(*weights), 'i_ - 1')}")
 
 
 def tfn(v: str, d: Spark = SPARK, lengths: tuple[int, ...] = (8, 9)) -> str:
@@ -54,9 +54,9 @@ def abn(v: str, d: Spark = SPARK) -> str:
 def iban(v: str, d: Spark = SPARK, need_country: bool = True) -> str:
     """Blanks out, upper case, 15 to 34 letters or digits, remainder 1 modulo 97."""
     x = f"upper({d.replace(f"coalesce({v}, '')", r'\s+')})"
-    values = d.each(d.chars(f"concat(substring({x}, 5), substring({x}, 1, 4))"), f"cast({d.position('c', text(_ALPHABET))} - 1 as int)")
+    values = d.each(d.chars(f"concat(substring({x}, 5), substring({x}, 1, 4))"), f"cast({d.position('c_', text(_ALPHABET))} - 1 as int)")
     shape = "^[A-Z]{2}[A-Z0-9]{13,32}$" if need_country else "^[A-Z0-9]{15,34}$"
-    return f"case when {d.has(x, shape)} then {d.fold(values, '(a * case when c > 9 then 100 else 10 end + c) % 97')} = 1 else false end"
+    return f"case when {d.has(x, shape)} then {d.fold(values, '(a_ * case when c_ > 9 then 100 else 10 end + c_) % 97')} = 1 else false end"
 
 
 def iban_any(v: str, d: Spark = SPARK) -> str:
@@ -155,15 +155,15 @@ def iban_format(v: str, d: Spark = SPARK) -> str:
 def ipv4(v: str, d: Spark = SPARK) -> str:
     """Four parts that begin with a number up to 255; what follows the number doesn't matter."""
     parts = d.split(f"coalesce({v}, '')", r"\.")
-    lead = d.first("c", r"^\s*[+-]?0*(\d{1,9})", 1)
-    negative = d.has("c", r"^\s*-0*[1-9]")
+    lead = d.first("c_", r"^\s*[+-]?0*(\d{1,9})", 1)
+    negative = d.has("c_", r"^\s*-0*[1-9]")
     return f"({d.size(parts)} = 4 and {d.all(parts, f'coalesce(cast(nullif({lead}, {text("")}) as int), 999) <= 255 and not {negative}')})"
 
 
 def ipv6(v: str, d: Spark = SPARK) -> str:
     x = f"coalesce({v}, '')"
     groups = d.split(x, ":")
-    return f"case when {d.position("'::'", x)} > 0 then {d.size(groups)} <= 8 else {d.size(groups)} = 8 and {d.all(groups, d.has('c', '^[0-9A-Fa-f]{1,4}$'))} end"
+    return f"case when {d.position("'::'", x)} > 0 then {d.size(groups)} <= 8 else {d.size(groups)} = 8 and {d.all(groups, d.has('c_', '^[0-9A-Fa-f]{1,4}$'))} end"
 
 
 # Confidence if passed and if failed, and the reasons.

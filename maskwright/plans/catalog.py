@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import detect
-from . import detection, values
+from . import detection, tables, values
 
-_MODULES = (values, detection)
+_MODULES = (values, detection, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
