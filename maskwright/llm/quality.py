@@ -40,7 +40,11 @@ STATS = {
 
 
 def with_statistics(docs: DataFrame, text_col: str, into: str) -> DataFrame:
-    """docs with a struct of the statistics; null is empty."""
+    """docs with a struct of the statistics; null is empty.
+
+    The struct comes out of a generator of one row, below which no filter on
+    it is moved: else every rule of a filter would compute its statistics anew.
+    """
     name = "_quality_parts"
     while name in docs.columns:
         name += "_"
@@ -53,7 +57,8 @@ def with_statistics(docs: DataFrame, text_col: str, into: str) -> DataFrame:
             sql = sql.replace(f"({short})", f"({long})").replace(f"({short},", f"({long},")
         return F.expr(sql)
 
-    return parts.withColumn(into, F.struct(*[renamed(sql).alias(k) for k, sql in STATS.items()])).drop(*own.values())
+    stats = F.struct(*[renamed(sql).alias(k) for k, sql in STATS.items()])
+    return parts.select(*[f"`{c}`" for c in docs.columns], F.explode(F.array(stats)).alias(into))
 
 
 @dataclass(frozen=True)
