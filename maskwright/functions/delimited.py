@@ -28,9 +28,13 @@ def occurrences(x: str, c: str) -> str:
     return f"(length({x}) - length(replace({x}, {char(c)}, '')))"
 
 
-def is_delimited(language: str, path: str) -> str:
+def is_delimited(language: str, path: str, d: Spark = SPARK) -> str:
     """By language or file extension."""
-    return f"({language} in ('csv', 'tsv', 'psv') or lower({path}) rlike r'\\.(?:{'|'.join(EXTENSIONS)})\\z')"
+    return f"({language} in ('csv', 'tsv', 'psv') or {has_extension(path, EXTENSIONS, d)})"
+
+
+def has_extension(path: str, extensions: tuple[str, ...], d: Spark = SPARK) -> str:
+    return d.has(f"lower({path})", rf"\.(?:{'|'.join(extensions)})\z")
 
 
 def first_line_delimiter(t: str, d: Spark = SPARK) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import RenderConfig
 from ..functions import delimited as dl
+from ..functions.dialect import SPARK, Spark
 from ..functions.spans import spans_sql
 
 TAG = r"</?([a-zA-Z][a-zA-Z0-9-_]*)[^>]*>"
@@ -27,10 +28,10 @@ def offset_sql(t: str, line: str, character: str) -> str:
     return f"(aggregate(slice(split({t}, '\\\\n', -1), 1, least({line}, size(split({t}, '\\\\n', -1)) - 1)), 0, (a, l) -> a + length(l) + 1) + {character})"
 
 
-def document_kind_sql(language: str, path: str) -> str:
+def document_kind_sql(language: str, path: str, d: Spark = SPARK) -> str:
     """json, xml, delimited, code or null: by language first, then by extension."""
     by_language = " ".join(f"when {language} in ({', '.join(f"'{x}'" for x in xs)}) then '{k}'" for k, xs in LANGUAGES.items())
-    by_path = " ".join(f"when lower({path}) rlike r'\\.(?:{'|'.join(xs)})\\z' then '{k}'" for k, xs in EXTENSIONS.items())
+    by_path = " ".join(f"when {dl.has_extension(path, xs, d)} then '{k}'" for k, xs in EXTENSIONS.items())
     return f"case {by_language} {by_path} end"
 
 
@@ -38,10 +39,10 @@ def is_large_sql(t: str, config: RenderConfig) -> str:
     return f"(size(split({t}, '\\\\n', -1)) > {config.large_line_threshold} or length({t}) > {config.large_char_threshold})"
 
 
-def large_label_sql(language: str, path: str) -> str:
+def large_label_sql(language: str, path: str, d: Spark = SPARK) -> str:
     labels = (("JSON", LANGUAGES["json"], ("json", "jsonc")), ("XML", LANGUAGES["xml"], ("xml", "html")), ("CSV", ("csv",), ("csv",)), ("TSV", ("tsv",), ("tsv",)))
     first = " ".join(f"when {language} in ({', '.join(f"'{x}'" for x in xs)}) then '{k} (Large File)'" for k, xs, _ in labels)
-    then = " ".join(f"when lower({path}) rlike r'\\.(?:{'|'.join(xs)})\\z' then '{k} (Large File)'" for k, _, xs in labels)
+    then = " ".join(f"when {dl.has_extension(path, xs, d)} then '{k} (Large File)'" for k, _, xs in labels)
     return f"case {first} {then} end"
 
 
@@ -420,6 +421,16 @@ def delimited_context_udf():
     return contexts
 
 
+def aligned_lines_udf(delimiter: str):
+    """Arrow UDF (full lines, selected lines, start line, first character) -> the lines as aligned_lines trims them."""
+
+    @F.pandas_udf("array<string>")
+    def aligned(full: pd.Series, selected: pd.Series, start_line: pd.Series, first_char: pd.Series) -> pd.Series:
+        return pd.Series([aligned_lines(list(f), list(s), int(a), int(b), delimiter)[0] for f, s, a, b in zip(full, selected, start_line, first_char, strict=True)], dtype=object)
+
+    return aligned
+
+
 def with_context(df: DataFrame, config: RenderConfig | None = None, into: str = "context") -> DataFrame:
     """df(language, path, text, line, character) with the context at the position.
 

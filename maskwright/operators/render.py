@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def _span(colour: str, group: int) -> str:
     return f'<span style="color: {colour}">${group}</span>'
 
 
-def highlight(code: str, language: str) -> str:
+def highlight(code: str, language: str, d: Spark = SPARK) -> str:
     """SQL: escaped code with coloured words, by rules applied one after another.
 
     The rules see the escaped text and the spans of earlier rules, as the
@@ -44,7 +46,7 @@ def highlight(code: str, language: str) -> str:
     kind = {"jsonc": "json", "typescript": "javascript", "html": "xml"}.get(language, language)
     out = escape_html(code)
     for pattern, by in rules.get(kind, ()):
-        out = f"regexp_replace({out}, r'{pattern}', '{by}')"
+        out = d.replace(out, pattern, re.sub(r"\$(\d)", r"\\\1", by) if d.name == "duckdb" else by)
     return out
 
 
@@ -89,8 +91,8 @@ def ansi(head: str, body: str) -> str:
     return f"concat(chr(27), '[32m', {head}, chr(27), '[0m', chr(10), {body})"
 
 
-def html(head: str, body: str, language: str = "") -> str:
-    return f"concat({_quoted(_DIV)}, chr(10), '{_TITLE}', {escape_html(head)}, '</div>', chr(10), '{_PRE}', {highlight(body, language)}, '</pre>', chr(10), '</div>')"
+def html(head: str, body: str, language: str = "", d: Spark = SPARK) -> str:
+    return f"concat({_quoted(_DIV)}, chr(10), '{_TITLE}', {escape_html(head)}, '</div>', chr(10), '{_PRE}', {highlight(body, language, d)}, '</pre>', chr(10), '</div>')"
 
 
 def render(df: DataFrame, fmt: str = "plain", config: RenderConfig | None = None, language: str = "", into: str = "output") -> DataFrame:
@@ -113,8 +115,6 @@ def _plural(n: int, word: str) -> str:
 
 
 def _is_number(v: str) -> bool:
-    import re
-
     return bool(re.fullmatch(r"\s*(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|0[xX][0-9A-Fa-f]+|0[oO][0-7]+|0[bB][01]+|[+-]?Infinity)\s*", v))
 
 

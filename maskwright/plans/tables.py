@@ -12,7 +12,7 @@ from ..functions import delimited as dl
 from ..functions import registry as reg
 from ..functions.dialect import DUCK, SPARK, text
 from ..functions.masks import mask_sql
-from ..operators import location, mask_text, render, tabular
+from ..operators import detect, location, mask_text, render, tabular
 from ..sources import lines as sources
 from ..streaming import detect as streaming
 
@@ -78,9 +78,18 @@ def _header_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("c_custkey", f"{tabular.header_by_numbers('first', 'second')} as has_header")
 
 
+_KINDS = [(k, p) for k in ("csv", "json", "html", "python", "plaintext", "tsv", "markdown") for p in ("A.CSV", "b.jsonc", "c.xml", "d.py", "e.txt", "f.dsv", "g.psd1", "csv")]
+
+
+def _kind_columns(d) -> list[str]:
+    return ["language", "path", f"{dl.is_delimited('language', 'path', d)} as delimited", f"{location.document_kind_sql('language', 'path', d)} as kind", f"{location.large_label_sql('language', 'path', d)} as large_label"]
+
+
 def _lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(k, p) for k in ("csv", "json", "html", "python", "plaintext", "tsv", "markdown") for p in ("A.CSV", "b.jsonc", "c.xml", "d.py", "e.txt", "f.dsv", "g.psd1")], "language string, path string")
-    return df.selectExpr("language", "path", f"{dl.is_delimited('language', 'path')} as delimited", f"{location.document_kind_sql('language', 'path')} as kind", f"{location.large_label_sql('language', 'path')} as large_label")
+    return spark.createDataFrame(_KINDS, "language string, path string").selectExpr(*_kind_columns(SPARK))
+
+
+_LOOKUPS_SQL = f"SELECT {', '.join(_kind_columns(DUCK))} FROM (VALUES {', '.join(f'({text(k)}, {text(p)})' for k, p in _KINDS)}) AS t(language, path)"
 
 
 # ---- profiles ----
@@ -224,6 +233,9 @@ def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render(rows, "html", language="xml").selectExpr("page_id", "sha2(output, 256) as digest", "length(output) as n")
 
 
+_HTML_SQL = f"""SELECT page_id, sha256(o) AS digest, length(o) AS n FROM (SELECT page_id, {render.html("('// ' || url || ':1-9')", render.numbered_lines('html', '1', d=DUCK), 'xml', DUCK)} AS o FROM pages)"""
+
+
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return location.xml_tags(_table(spark, sf_dir, "pages"), "page_id", "html")
 
@@ -291,6 +303,29 @@ _RANGES_SQL = """WITH t AS (SELECT c_custkey, length(c_name) AS n1, length(c_nam
   SELECT c_custkey, CASE WHEN a <= n1 THEN 0 WHEN a <= n2 THEN 1 WHEN a <= n2 + 2 THEN 2 ELSE 0 END AS start_column, CASE WHEN b <= n1 THEN 0 WHEN b <= n2 THEN 1 ELSE 2 END AS end_column FROM t"""
 
 
+def _business_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{detect.business_date_sql('substring(text, 1, 60)')} as business")
+
+
+_BUSINESS_SQL = f"SELECT doc_id, regexp_matches(lower(substring(text, 1, 60)), '{'|'.join(reg.BUSINESS_DATE_WORDS)}') AS business FROM documents"
+
+
+def _selected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('Name,Segment,Key', chr(10), c_name, ',', c_mktsegment, ',', cast(c_custkey as string)) as text", "1 as a", "if(c_custkey % 2 = 0, 0, length(c_name) + 1) as b", "1 as c", "length(c_name) + 1 + length(c_mktsegment) as d")
+    return rows.select("c_custkey", location.delimited_context_udf()("text", "a", "b", "c", "d").alias("context"))
+
+
+_SELECTED_SQL = "SELECT c_custkey, 'CSV (Comma-Separated) > ' || CASE WHEN c_custkey % 2 = 0 THEN 'Name, Segment' ELSE 'Segment' END AS context FROM customer"
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "array(concat('a,', c_name, ',z'), concat('bb,', c_name, ',y')) as full", "array(concat(c_name, ',z'), concat('bb,', c_name, ',y')) as part", "2 as a", "2 as b")
+    return rows.select("c_custkey", F.array_join(location.aligned_lines_udf(",")("full", "part", "a", "b"), "/").alias("lines"))
+
+
+_ALIGNED_SQL = "SELECT c_custkey, c_name || ',z/bb,' || c_name || ',y' AS lines FROM customer"
+
+
 # ---- whole-text masking ----
 
 
@@ -383,7 +418,7 @@ def _all() -> dict[str, Query]:
         "parse_quoted": (_parsed, _PARSED_SQL),
         "parse_naive": (_naive, "SELECT c_custkey, c_name || '/' || c_mktsegment || '/' || c_nationkey AS fields FROM customer"),
         "header_by_numbers": (_header_numbers, "SELECT c_custkey, c_custkey % 4 <> 1 AS has_header FROM customer"),
-        "document_kinds": (_lookups, None),
+        "document_kinds": (_lookups, _LOOKUPS_SQL),
         "classify_columns": (_classify, _classify_sql()),
         "classify_columns_in_plan": (_classify_in_plan, f"SELECT name, type FROM ({_classify_sql()})"),
         "mask_delimited": (_mask_delimited, _mask_delimited_sql()),
@@ -391,13 +426,16 @@ def _all() -> dict[str, Query]:
         "line_numbers_documents": _sql_of("documents", _documents_numbered),
         "offset_of_position": (_offsets, _OFFSETS_SQL),
         "escape_html": _sql_of("pages", lambda d: ["page_id", f"{d.sha256(render.escape_html('html'))} as digest"]),
-        "render_html": (_html, None),
+        "render_html": (_html, _HTML_SQL),
         "xml_tags": (_tags, _TAGS_SQL),
         "xml_siblings": (_siblings, _siblings_sql()),
         "xml_tag_counts": (_tag_counts, _TAG_COUNTS_SQL),
         "xml_paths": (_xml_paths, None),
         "json_paths": (_json_paths, _JSON_PATHS_SQL),
         "code_context": (_code, _CODE_SQL),
+        "selected_columns": (_selected_columns, _SELECTED_SQL),
+        "aligned_lines": (_aligned, _ALIGNED_SQL),
+        "business_dates": (_business_dates, _BUSINESS_SQL),
         "column_ranges": (_ranges, _RANGES_SQL),
         "mask_json_fields": (_json_fields, _JSON_FIELDS_SQL),
         "mask_cdata": (_cdata, None),
