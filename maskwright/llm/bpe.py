@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 1_000_000  # matches a worker remembers before it starts afresh
+REMEMBERED = 500_000  # matches a worker remembers before it starts afresh
 _PART = 1_000_000  # characters of a text handled at once
 
 
@@ -177,12 +177,12 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         import sentencepiece
 
-        self.tokens = read_ranks(path)
-        self.ranks = {t: i for i, t in enumerate(self.tokens)}
+        tokens = read_ranks(path)
+        self.ranks = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
         self.usual = pattern == PATTERN
         self.table = _letters_table()
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.known = Remembered(self._encode_pieces)
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,15 +195,21 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.known.ids([pieces_of(t, PLAIN_PIECES if self.usual and PLAIN.fullmatch(t) else self.pattern) for t in texts])
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 @lru_cache(maxsize=2)
 def _coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def _tokens(path: str) -> list[bytes]:
+    return read_ranks(path)
+
+
+def decoded_bytes(ids: np.ndarray, path: str) -> bytes:
+    return b"".join(map(_tokens(path).__getitem__, ids.tolist()))
+
+
 def id_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.zeros(0)
@@ -229,17 +235,27 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return rows.mapInArrow(partial(_encode, path=path, pattern=pattern), f"id {kind}, ids array<int>")
 
 
-def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    coder = _coder(path, pattern)
+def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, _BATCH_ROWS):
             batch = whole.slice(at, _BATCH_ROWS)
-            texts = [coder.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in batch.column(1)]
+            texts = [decoded_bytes(x.values.to_numpy(), path) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], ["id", "ids", "decoded"])
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded(id, ids) -> (id, ids, decoded binary); null ids decode to null."""
     rows = encoded.select("id", "ids")
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(partial(_decode, path=path, pattern=pattern), f"id {kind}, ids array<int>, decoded binary")
+    return rows.mapInArrow(partial(_decode, path=path), f"id {kind}, ids array<int>, decoded binary")
+
+
+def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    return _decode(_encode(batches, path, pattern), path)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): the texts encoded and the ids decoded again, in one pass through Python."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(partial(_round_trip, path=path, pattern=pattern), f"id {kind}, ids array<int>, decoded binary")

@@ -93,7 +93,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
     return coded.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),

@@ -32,6 +32,7 @@ from .common import shuffle_partitions, stored
 END_ID = 2
 SEGMENT_TOKENS = 1 << 18
 SEGMENT_DOCS = 1 << 14
+REMEMBERED = 1_000_000  # pieces a worker remembers
 
 _EF_HEAD = struct.Struct("<QQBQ")  # n, universe, low bits, bytes of the high part
 _HEAD = struct.Struct("<6sBQQqQQ")  # magic, id width, documents, null ids, first id, bytes of ends, bytes of ids' gaps
@@ -136,7 +137,7 @@ class LibraryTokenizer:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)  # one letter for each byte
-        self.known = Remembered(self._encode_pieces)
+        self.known = Remembered(self._encode_pieces, REMEMBERED)
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All pieces in one call; where a piece ends follows from the bytes of pieces and tokens."""
