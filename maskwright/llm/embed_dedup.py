@@ -34,7 +34,7 @@ THRESHOLD = 0.98
 PIVOTS = 64
 MEAN_COPIES = 4.0
 SAMPLE_ROWS = 2000
-TILE = 2048
+TILE = 4096
 SMALL_TABLE = 100_000  # rows of (key, number) that may be broadcast
 _SLACK = 1e-9
 
