@@ -126,13 +126,30 @@ CATEGORY_TYPES: dict[str, str] = {
     "routing": "routingNumber", "identifier": "accountNumber",
 }
 
-#: A test that every match of the pattern passes, cheaper than the pattern.
+#: Conditions on a text t (and its lower case, low) that hold wherever the pattern matches and are cheaper than it.
+_HINTS = {
+    "email": "instr(t, '@') > 0",
+    "australianDriversLicense": "instr(low, 'lic') > 0",
+    "usDriversLicense": "instr(low, 'dl') > 0 or instr(low, 'license') > 0",
+    "euPassport": "t rlike '[A-Z0-9]{8}'",
+    "passportNumber": "instr(low, 'pass') > 0",
+    "nationalID": "instr(low, 'id') > 0 or instr(low, 'national') > 0",
+    "driversLicense": "instr(low, 'dl') > 0 or instr(low, 'driver') > 0 or instr(low, 'licen') > 0",
+    "referenceNumber": "instr(low, 'ref') > 0 or instr(low, 'invoice') > 0",
+    "policyNumber": "instr(low, 'pol') > 0",
+    "transactionID": "instr(low, 't') > 0 and (instr(low, 'txn') > 0 or instr(low, 'trans') > 0)",
+    "nmi": "t rlike '[A-Z0-9]{10}'",
+    "swift": "t rlike '[A-Z]{6}'",
+    "ipv6": "t rlike '[A-Fa-f0-9]:[A-Fa-f0-9]'",
+}
 _NEEDS_DIGIT = {
     "phone", "ssn", "dateOfBirth", "australianPassport", "usPassport", "ukPassport", "ukDriversLicense", "ukNationalInsurance",
     "australianBSB", "australianAccountNumber", "creditCardVisa", "creditCardMastercard", "creditCardAmex", "creditCardGeneric",
     "australianTFN", "australianABN", "australianMedicare", "australianPhone", "accountNumber", "clientNumber", "iban",
     "routingNumber", "ipv4", "address",
 }
+#: Patterns that may begin or end with something else than a word character.
+_OPEN_START, _OPEN_END = ("email", "phone", "australianPhone"), ("email",)
 
 _BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
@@ -174,7 +191,12 @@ class Detector:
 
     @property
     def java(self) -> str:
-        return java_regex(self.source, self.ignore_case)
+        """With the boundaries before and after a word character as plain look-arounds, where the pattern is known."""
+        source, known = self.source, self.type in {t for t, _, _ in PATTERNS}
+        before = known and self.type not in _OPEN_START
+        after = known and self.type not in _OPEN_END
+        inner = java_regex(source[2 if before else 0 : -2 if after else None])
+        return ("(?i)" if self.ignore_case else "") + ("(?<![0-9A-Za-z_])" if before else "") + inner + ("(?![0-9A-Za-z_])" if after else "")
 
     @property
     def re2(self) -> str:
@@ -192,9 +214,15 @@ class Detector:
     def mask(self) -> str:
         return MASKS.get(self.type, "generic")
 
-    @property
-    def hint(self) -> str:
-        return "@" if self.type == "email" else "[0-9]" if self.type in _NEEDS_DIGIT else ":" if self.type == "ipv6" else ""
+    def hint(self, t: str, low: str | None = None, digit: str | None = None) -> str:
+        """SQL that is true of every text with a match; empty if there is nothing cheaper than the pattern.
+
+        low, digit: columns with the text in lower case and whether it has a digit, where they are there already.
+        """
+        if self.type in _NEEDS_DIGIT:
+            return digit or f"{t} rlike '[0-9]'"
+        condition = _HINTS.get(self.type, "")
+        return condition.replace("(t,", f"({t},").replace("t rlike", f"{t} rlike").replace("(low,", f"({low or f'lower({t})'},")
 
 
 class Registry:

@@ -27,12 +27,13 @@ def spans_sql(t: str, regex: str, groups: int = 0, maybe: str | None = None) ->
     def total(part: str, n: str) -> str:
         return f"aggregate({part.format(n=n)}, 0, (a, b) -> a + b)"
 
-    found = f"""element_at(transform(array(named_struct('m', regexp_extract_all({t}, {rx}, 0), 'lengths', transform(regexp_extract_all({t}, {rx}, 0), s -> length(s)), 'gaps', transform(split({t}, {rx}, -1), s -> length(s)){caught})), v ->
-      if(size(v.m) = 0, {none}, aggregate(sequence(0, cast((size(v.m) - 1) div {_CHUNK} as int)), named_struct('pos', 0, 'out', {none}), (acc, c) -> named_struct(
+    folded = f"""aggregate(sequence(0, cast((size(v.m) - 1) div {_CHUNK} as int)), named_struct('pos', 0, 'out', {none}), (acc, c) -> named_struct(
         'pos', acc.pos + {total(gaps, str(_CHUNK))} + {total(lengths, str(_CHUNK))},
-        'out', concat(acc.out, transform(slice(v.m, c * {_CHUNK} + 1, {_CHUNK}), (x, i) -> named_struct('value', x, 'pos', acc.pos + {total(gaps, 'i + 1')} + {total(lengths, 'i')}{own})))), acc -> acc.out))), 1)"""
-    condition = f"{t} rlike {rx}" if maybe is None else f"({maybe}) and {t} rlike {rx}"
-    return f"if({condition}, {found}, {none})"
+        'out', concat(acc.out, transform(slice(v.m, c * {_CHUNK} + 1, {_CHUNK}), (x, i) -> named_struct('value', x, 'pos', acc.pos + {total(gaps, 'i + 1')} + {total(lengths, 'i')}{own})))), acc -> acc.out)"""
+    measured = f"named_struct('m', m, 'lengths', transform(m, s -> length(s)), 'gaps', transform(split({t}, {rx}, -1), s -> length(s)){caught})"
+    # the text is scanned a second time only where there are matches
+    found = let("m", f"regexp_extract_all({t}, {rx}, 0)", f"if(size(m) = 0, {none}, {let('v', measured, folded)})")
+    return found if not maybe else f"if({maybe}, {found}, {none})"
 
 
 def line_sql(t: str, pos: str) -> str:

@@ -76,15 +76,14 @@ def _after(t: str, end: str, n: int) -> str:
     return f"substring({t}, {end} + 1, {n})"
 
 
-def candidates_sql(t: str, detectors: list[reg.Detector]) -> str:
-    """array<struct<type, prior, priority, value, pos>> of all matches, in claim order."""
+def candidates_sql(t: str, detectors: list[reg.Detector], low: str | None = None, digit: str | None = None) -> str:
+    """array<struct<type, prior, value, pos>> of all matches, in claim order; low, digit: see Detector.hint."""
     none = "cast(array() as array<struct<type: string, prior: double, value: string, pos: int>>)"
     if not detectors:
         return none
     parts = []
     for d in detectors:
-        maybe = f"{t} rlike '{d.hint}'" if d.hint else None
-        parts.append(f"transform({spans_sql(t, d.java, maybe=maybe)}, s -> named_struct('type', '{d.type}', 'prior', {d.prior!r}D, 'value', s.value, 'pos', s.pos))")
+        parts.append(f"transform({spans_sql(t, d.java, maybe=d.hint(t, low, digit))}, s -> named_struct('type', '{d.type}', 'prior', {d.prior!r}D, 'value', s.value, 'pos', s.pos))")
     return f"flatten(array({', '.join(parts)}))"
 
 
@@ -130,14 +129,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 def with_candidates(df: DataFrame, text_col: str, config: MaskingConfig, into: str) -> DataFrame:
     """df with an array of the scored candidates; null texts have none."""
-    (t,) = unused(df, "_detect_text")
-    found = candidates_sql(t, reg.REGISTRY.enabled(config.effective_types()))
+    t, low, digit = unused(df, "_detect_text", "_detect_lower", "_detect_digit")
+    found = candidates_sql(t, reg.REGISTRY.enabled(config.effective_types()), low, digit)
     (c,) = unused(df, "_detect_candidates")
     return (
         df.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
+        .withColumns({low: F.lower(t), digit: F.col(t).rlike("[0-9]")})
         .withColumn(c, F.expr(found))
         .withColumn(into, F.expr(_scored_sql(t, c, config)))
-        .drop(t, c)
+        .drop(t, low, digit, c)
     )
 
 

@@ -421,12 +421,14 @@ def delimited_context_udf():
     return contexts
 
 
-def aligned_lines_udf(delimiter: str):
-    """Arrow UDF (full lines, selected lines, start line, first character) -> the lines as aligned_lines trims them."""
-
-    @F.pandas_udf("array<string>")
-    def aligned(full: pd.Series, selected: pd.Series, start_line: pd.Series, first_char: pd.Series) -> pd.Series:
-        return pd.Series([aligned_lines(list(f), list(s), int(a), int(b), delimiter)[0] for f, s, a, b in zip(full, selected, start_line, first_char, strict=True)], dtype=object)
+def aligned_lines_udf():
+    """Arrow UDF (full lines, selected lines, start line, first character, delimiter) -> struct(lines, first_column) as aligned_lines gives them."""
+
+    @F.pandas_udf("lines array<string>, first_column int")
+    def aligned(full: pd.Series, selected: pd.Series, start_line: pd.Series, first_char: pd.Series, delimiter: pd.Series) -> pd.DataFrame:
+        rows = zip(full, selected, start_line, first_char, delimiter, strict=True)
+        found = [(None, 0) if s is None else aligned_lines(list(f), list(s), int(a), int(b), d) for f, s, a, b, d in rows]
+        return pd.DataFrame({"lines": pd.Series([x[0] for x in found], dtype=object), "first_column": [x[1] for x in found]})
 
     return aligned
 

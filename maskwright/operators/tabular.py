@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MaskingConfig
 from ..functions import delimited as dl
 from ..functions import registry as reg
 from ..functions.masks import mask_sql
+from .detect import mask_by_type_sql, unused
+from .mask_text import column_type_sql
 
 SHARE = 0.7
 
@@ -47,27 +49,28 @@ def _text(column: str) -> str:
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """A row per column: counts, inferred type, min, max and mean of numeric columns, insights, alignments.
 
-    Values are read as text, nulls as blanks. One aggregation covers all
-    columns, exact distinct counts included.
+    Values are read as text, nulls as blanks. Equal values of a column are
+    counted together (before the shuffle, where they meet), and every test is
+    then made once per distinct value.
     """
     columns = columns or df.columns
-    aggs = []
-    for i, c in enumerate(columns):
-        v = _text(c)
-        n, numeric = "count(1)", f"count_if({dl.is_number(v)})"
-        value = dl.number(v)
-        filled = f"count_if({dl.trim(v)} <> '')"
-        aggs.append(
-            F.expr(
-                f"named_struct('n', {n}, 'n_numeric', {numeric}, 'n_boolean', count_if({dl.is_one_of(v, dl.BOOLEANS)}), 'n_boolean_long', count_if({dl.is_one_of(v, dl.BOOLEANS_LONG)}), "
-                f"'n_filled', {filled}, 'decimals', coalesce(bool_or(instr({v}, '.') > 0), false), 'min', min({value}), 'max', max({value}), 'sum', sum({value}), 'width', coalesce(max(length({v})), 0))"
-            ).alias(f"_c{i}")
-        )
-        aggs.append(F.expr(f"count(distinct {v})").alias(f"_d{i}"))
-    totals = df.agg(*aggs)
-    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(f"_c{i}").alias("s"), F.col(f"_d{i}").alias("n_distinct")) for i, c in enumerate(columns)])
-    rows = totals.select(F.explode(parts).alias("r")).select("r.column", "r.position", "r.n_distinct", "r.s.*")
-    return rows.select("column", "position", "n", "n_distinct", *(F.expr(sql).alias(name) for name, sql in _PROFILE.items()))
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.expr(_text(c)).alias("v")) for i, c in enumerate(columns)])
+    values = df.select(F.explode(cells).alias("c")).groupBy("c.position", "c.v").agg(F.count("*").alias("k"))
+    tested = values.select(
+        "position", "k", F.expr(f"{dl.is_number('v')}").alias("numeric"), F.expr(dl.is_one_of("v", dl.BOOLEANS)).alias("boolean"), F.expr(dl.is_one_of("v", dl.BOOLEANS_LONG)).alias("boolean_long"),
+        F.expr(f"{dl.trim('v')} <> ''").alias("filled"), F.expr("instr(v, '.') > 0").alias("decimal"), F.expr(dl.number("v")).alias("x"), F.length("v").alias("width"),
+    )
+
+    def rows_where(condition: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(condition), F.col("k"))), F.lit(0))
+
+    totals = tested.groupBy("position").agg(
+        F.sum("k").alias("n"), F.count("*").alias("n_distinct"), rows_where("numeric").alias("n_numeric"), rows_where("boolean").alias("n_boolean"), rows_where("boolean_long").alias("n_boolean_long"),
+        rows_where("filled").alias("n_filled"), F.bool_or("decimal").alias("decimals"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum(F.col("x") * F.col("k")).alias("sum"), F.max("width").alias("width"),
+    )
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column string")
+    whole = names.join(totals, "position", "left").fillna(0, ["n", "n_distinct", "n_numeric", "n_boolean", "n_boolean_long", "n_filled", "width"]).fillna(False, ["decimals"])
+    return whole.select("column", "position", "n", "n_distinct", *(F.expr(sql).alias(name) for name, sql in _PROFILE.items()))
 
 
 _NUMERIC, _BOOLEAN = f"n_numeric > n * {SHARE}D", f"n_boolean > n * {SHARE}D"
@@ -136,6 +139,50 @@ def mask_delimited(lines: DataFrame, header: str, config: MaskingConfig | None =
     return lines.withColumn(name, F.expr(fields)).withColumns({"masked_line": F.expr(f"array_join(transform({name}, (f, i) -> {masked}), ',')"), "detections": F.expr(found)}).drop(name)
 
 
+def _name_has(name: str, words: tuple[str, ...]) -> str:
+    known = rf"regexp_replace(lower({name}), r'[_\s-]', '')"
+    return "(" + (" or ".join(f"instr({known}, '{reg.normalized_name(w)}') > 0" for w in words) or "false") + ")"
+
+
+def is_sensitive_sql(name: str, config: MaskingConfig) -> str:
+    """SQL of registry.is_sensitive_column, for names that are data."""
+    if config.allow_list:
+        built_in = f"not {_name_has(name, config.allow_list)}"
+    else:
+        types = config.effective_types()
+        built_in = _name_has(name, tuple(w for c, words in reg.COLUMN_CATEGORIES.items() if types.get(c) is not False for w in words))
+    return f"({_name_has(name, config.deny_list)} or {built_in})"
+
+
+def mask_delimited_texts(df: DataFrame, text_col: str, config: MaskingConfig | None = None, header_col: str | None = None) -> DataFrame:
+    """df with masked_text and detections of texts that hold delimited lines.
+
+    The header is the first line, which stays, or header_col where it isn't
+    null, and then every line is data. Lines are read and joined with commas;
+    detections tell the line of the text and the column's number. Null stays null.
+    """
+    config = config or MaskingConfig()
+    t, lines, names, cells = unused(df, "_dt_text", "_dt_lines", "_dt_names", "_dt_cells")
+    outside = f"`{header_col}`" if header_col else "cast(null as string)"
+    known = sorted({*reg.CATEGORY_TYPES.values(), "nmi", "custom"})
+    mask = mask_by_type_sql("c.value", "c.type", config.strategy, known, config.strict_compat)
+    header = f"transform({dl.parse(f'coalesce({outside}, {lines}[0])', ',', True)}, n -> named_struct('name', n, 'type', {column_type_sql('n')}, 'hide', {is_sensitive_sql('n', config)}))"
+    data = f"if({outside} is null, slice({lines}, 2, size({lines})), {lines})"
+    shift = f"if({outside} is null, 2, 1)"
+    each = (
+        f"transform({data}, (l, k) -> transform({dl.parse('l', ',', True)}, (f, i) -> named_struct('value', f, 'line', k + {shift}, 'index', i, 'name', coalesce(try_element_at({names}, i + 1).name, ''), "
+        f"'type', coalesce(try_element_at({names}, i + 1).type, 'custom'), 'hide', coalesce(try_element_at({names}, i + 1).hide, false) and f <> '')))"
+    )
+    shown = f"transform({cells}, cs -> array_join(transform(cs, c -> if(c.hide, {mask}, c.value)), ','))"
+    found = (
+        f"transform(filter(flatten({cells}), c -> c.hide), c -> named_struct('type', c.type, 'original_value', c.value, 'masked_value', {mask}, 'line', c.line, 'column', c.index, "
+        f"'confidence', 0.95D, 'column_context', named_struct('name', c.name, 'index', c.index)))"
+    )
+    out = df.withColumn(t, F.coalesce(F.col(text_col), F.lit(""))).withColumn(lines, F.expr(f"split({t}, '\\n', -1)")).withColumn(names, F.expr(header)).withColumn(cells, F.expr(each))
+    whole = f"if({outside} is null, concat(array({lines}[0]), {shown}), {shown})"
+    return out.withColumns({"masked_text": F.when(F.col(text_col).isNotNull(), F.expr(f"array_join({whole}, chr(10))")), "detections": F.expr(found)}).drop(t, lines, names, cells)
+
+
 def parse_header(df: DataFrame, header: str) -> list[str]:
     """The fields of one header line, read by the same expression as the data."""
     row = df.sparkSession.createDataFrame([(header,)], "h string").selectExpr(f"{dl.parse('h', ',', both_quotes=True)} as f").first()

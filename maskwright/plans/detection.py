@@ -12,6 +12,7 @@ from ..functions import registry as reg
 from ..functions.dialect import DUCK, text
 from ..functions.spans import column_sql, line_sql, spans_sql
 from ..operators import detect
+from ..sources.lines import spread
 
 AS_OF = "2025-06-15"
 
@@ -44,7 +45,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     lines = spark.createDataFrame([("line", i, x) for i, x in enumerate(LINES)], "src string, id long, text string")
-    return docs.unionAll(pages).unionAll(lines)
+    return spread(docs).unionAll(spread(pages)).unionAll(lines)
 
 
 def _spans_duck(d: reg.Detector, source: str = "texts") -> str:
@@ -57,7 +58,7 @@ def _spans_duck(d: reg.Detector, source: str = "texts") -> str:
 
 def _span_query(d: reg.Detector) -> tuple[Callable, str]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        maybe = f"text rlike '{d.hint}'" if d.hint else None
+        maybe = d.hint("text", "lower(text)")
         found = texts(spark, sf_dir).select("src", "id", F.explode(F.expr(spans_sql("text", d.java, maybe=maybe))).alias("s"))
         return found.select("src", "id", "s.value", "s.pos")
 

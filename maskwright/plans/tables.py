@@ -12,7 +12,7 @@ from ..functions import delimited as dl
 from ..functions import registry as reg
 from ..functions.dialect import DUCK, SPARK, text
 from ..functions.masks import mask_sql
-from ..operators import detect, location, mask_text, render, tabular
+from ..operators import copying, detect, location, mask_text, render, tabular
 from ..sources import lines as sources
 from ..streaming import detect as streaming
 
@@ -190,6 +190,19 @@ def _mask_delimited_sql() -> str:
     return f"SELECT c_custkey AS line_no, {mask_sql('generic', 'c_name', 'partial', DUCK)} || ',' || {mask_sql('email', f'({email})', 'partial', DUCK)} || ',' || c_mktsegment || ',' AS masked_line, 2 AS n, 'Email' AS second FROM customer"
 
 
+def _mask_delimited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('Name,Email,Segment', chr(10), c_name, ',user', cast(c_custkey as string), '@corp.org,', c_mktsegment) as text", "if(c_custkey % 2 = 0, 'Segment,Phone,Client No', null) as h")
+    masked = tabular.mask_delimited_texts(rows, "text", header_col="h")
+    return masked.selectExpr("c_custkey", "masked_text", "size(detections) as n")
+
+
+def _mask_delimited_texts_sql() -> str:
+    email = "('user' || c_custkey || '@corp.org')"
+    own = f"'Name,Email,Segment' || chr(10) || {mask_sql('generic', 'c_name', 'partial', DUCK)} || ',' || {mask_sql('email', email, 'partial', DUCK)} || ',' || c_mktsegment"
+    given = f"'Name,' || {mask_sql('phone', text('Email'), 'partial', DUCK)} || ',' || {mask_sql('account', text('Segment'), 'partial', DUCK)} || chr(10) || c_name || ',' || {mask_sql('phone', email, 'partial', DUCK)} || ',' || {mask_sql('account', 'c_mktsegment', 'partial', DUCK)}"
+    return f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN {given} ELSE {own} END AS masked_text, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 2 END AS n FROM customer"
+
+
 # ---- text, tags, rendering ----
 
 _INDENTED = "concat('    if x:', chr(10), '        ', c_name, chr(10), chr(10), '    y = ', cast(c_custkey as string))"
@@ -320,7 +333,7 @@ _SELECTED_SQL = "SELECT c_custkey, 'CSV (Comma-Separated) > ' || CASE WHEN c_cus
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "array(concat('a,', c_name, ',z'), concat('bb,', c_name, ',y')) as full", "array(concat(c_name, ',z'), concat('bb,', c_name, ',y')) as part", "2 as a", "2 as b")
-    return rows.select("c_custkey", F.array_join(location.aligned_lines_udf(",")("full", "part", "a", "b"), "/").alias("lines"))
+    return rows.select("c_custkey", F.array_join(location.aligned_lines_udf()("full", "part", "a", "b", F.lit(","))["lines"], "/").alias("lines"))
 
 
 _ALIGNED_SQL = "SELECT c_custkey, c_name || ',z/bb,' || c_name || ',y' AS lines FROM customer"
@@ -339,7 +352,7 @@ _JSON_FIELDS_SQL = f"""SELECT event_id, '{{"user_id": ***' || right(cast(user_id
 
 def _masked_documents(strategy: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+        docs = sources.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
         return mask_text.with_masked_text(docs, "text", MaskingConfig(as_of="2025-06-15", strategy=strategy, confidence_threshold=0.5)).selectExpr("doc_id", "sha2(masked_text, 256) as digest", "size(detections) as n", "has_overlap")
 
     return run, None
@@ -386,6 +399,29 @@ def _smart_sql() -> str:
     return f"SELECT seq::BIGINT AS seq, line FROM (VALUES {values}) AS t(seq, line) UNION ALL SELECT n_nationkey + 1002, (n_nationkey + 2) || ': ' || n_nationkey || ', ' || n_name || ', ' || n_regionkey FROM nation"
 
 
+_CATALOG = [(d.priority, d.type, d.source, d.gate, d.prior, d.mask) for d in map(reg.REGISTRY.get, reg.REGISTRY.types())]
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_CATALOG, "priority int, type string, source string, gate string, prior double, mask string")
+
+
+_CATALOG_SQL = f"SELECT priority, type, source, gate, prior::DOUBLE AS prior, mask FROM (VALUES {', '.join(f'({p}, {text(t)}, {text(s)}, {text(g)}, {r!r}, {text(m)})' for p, t, s, g, r, m in _CATALOG)}) AS t(priority, type, source, gate, prior, mask)"
+_CATEGORIES = [(c, w) for c, words in reg.COLUMN_CATEGORIES.items() for w in words]
+
+
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(_CATEGORIES, "category string, word string").groupBy("category").agg(F.count("*").alias("n_words"), F.max(F.length("word")).alias("longest"))
+
+
+_CATEGORIES_SQL = f"SELECT category, count(*) AS n_words, max(length(word)) AS longest FROM (VALUES {', '.join(f'({text(c)}, {text(w)})' for c, w in _CATEGORIES)}) AS t(category, word) GROUP BY category"
+
+
+def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('doc', cast(doc_id as string), '.txt') as name", "concat('doc', cast(doc_id as string), '.txt') as path", "'plaintext' as language", "text", "0 as start_line", "0 as start_char", "1 as end_line", "5 as end_char")
+    return copying.copy_with_context(docs, MaskingConfig(as_of="2025-06-15")).selectExpr("doc_id", "sha2(output, 256) as digest", "size(detections) as n")
+
+
 # ---- sources, sinks, streams ----
 
 
@@ -422,6 +458,10 @@ def _all() -> dict[str, Query]:
         "classify_columns": (_classify, _classify_sql()),
         "classify_columns_in_plan": (_classify_in_plan, f"SELECT name, type FROM ({_classify_sql()})"),
         "mask_delimited": (_mask_delimited, _mask_delimited_sql()),
+        "mask_delimited_texts": (_mask_delimited_texts, _mask_delimited_texts_sql()),
+        "copy_with_context": (_copied, None),
+        "pattern_catalog": (_catalog, _CATALOG_SQL),
+        "column_categories": (_categories, _CATEGORIES_SQL),
         "line_numbers": _sql_of("customer", _numbered),
         "line_numbers_documents": _sql_of("documents", _documents_numbered),
         "offset_of_position": (_offsets, _OFFSETS_SQL),

