@@ -9,6 +9,7 @@ from ..config import MaskingConfig, RenderConfig
 from ..functions import delimited as dl
 from ..sources.lines import select_text
 from . import location, render
+from .detect import held
 from .mask_text import with_masked_text
 from .tabular import mask_delimited_texts
 
@@ -34,6 +35,7 @@ def copy_with_context(df: DataFrame, masking: MaskingConfig | None = None, confi
     fits = F.expr(f"if(size(split(_cp_selected, '\\n', -1)) = end_line - start_line + 1, {kind} and not {is_empty}, false)")
     trimmed = location.aligned_lines_udf()(full, F.when(fits, parts), F.col("start_line") + 1, F.col("start_char"), "_cp_delimiter")
     out = out.withColumn("_cp_trim", trimmed).withColumn("_cp_selected", F.coalesce(F.array_join("_cp_trim.lines", "\n"), F.col("_cp_selected")))
+    out = held(out, "_cp_selected", "_cp_trim")
     if masking is not None and masking.enabled:
         out = out.withColumn("_cp_prose", F.expr(f"if({kind}, null, _cp_selected)")).withColumn("_cp_rows", F.expr(f"if({kind}, _cp_selected, null)"))
         out = with_masked_text(out, "_cp_prose", masking).withColumnRenamed("masked_text", "_cp_masked").withColumnRenamed("detections", "_cp_found").drop("masking_applied", "has_overlap")
@@ -46,6 +48,7 @@ def copy_with_context(df: DataFrame, masking: MaskingConfig | None = None, confi
         none = "cast(array() as array<struct<type: string, original_value: string, masked_value: string, line: int, column: int, confidence: double>>)"
         out = out.withColumn("detections", F.expr(none)).withColumn("_cp_body", F.col("_cp_selected"))
 
+    out = held(out, "_cp_body", "detections")
     if config.show_context_path:
         at = out.withColumn("line", F.col("start_line")).withColumn("character", F.col("start_char"))
         out = location.with_context(at, config, "_cp_context").drop("line", "character")

@@ -127,6 +127,17 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def held(df: DataFrame, *names: str) -> DataFrame:
+    """df with the columns passed through a generator of one row.
+
+    Projections aren't merged across it, so a column that later steps use often
+    is computed once, also where Python functions stand above.
+    """
+    (own,) = unused(df, "_held")
+    rest = [f"`{c}`" for c in df.columns if c not in names]
+    return df.select(*rest, F.explode(F.array(F.struct(*names))).alias(own)).select(*rest, *(F.col(f"{own}.{n}").alias(n) for n in names))
+
+
 def with_candidates(df: DataFrame, text_col: str, config: MaskingConfig, into: str) -> DataFrame:
     """df with an array of the scored candidates; null texts have none."""
     t, low, digit = unused(df, "_detect_text", "_detect_lower", "_detect_digit")
