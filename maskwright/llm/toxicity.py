@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features: which words, and which beginnings of words, a text has (hashed).
-Grades: 0 for clean rows; toxic rows are graded 1 to 3 by the share of their
-words that carry marks of toxicity, cut at the terciles. One weight vector is
+Grades: 0 for clean rows; toxic rows are graded 1 to 3 by how many different
+marks of toxicity they carry, cut at the terciles. One weight vector is
 shared by the three ordered thresholds: P(grade > k) = sigmoid(w.x - t_k).
 The result is the expected grade.
 """
@@ -29,8 +29,9 @@ FEATURES = 1500
 BUCKET_BITS = 20
 PREFIXES = range(3, 9)
 LEAST_ROWS = 5
+LEAST_ODDS = 1.5  # log odds ratio: words that merely come with long texts don't count
 GRADES = 4
-RIDGE = 1e-3
+RIDGE = 1e-4
 REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 _PART = 1_000_000
@@ -124,30 +125,29 @@ def fit_texts(texts: list[str], toxic: list[int], features: int = FEATURES) -> M
     if n == 0 or y.min() == y.max():
         return Model()
     known: dict[str, list[int]] = {}
-    own, words_of = [], []
+    own = []
     for text in texts:
-        words = [w for part in _words(text) for w in part]
-        for w in set(words):
+        words = {w for part in _words(text) for w in part}
+        for w in words:
             if w not in known:
                 known[w] = word_features(w)
-        own.append(np.unique(np.fromiter((f for w in set(words) for f in known[w]), np.int64)))
-        words_of.append(len(words))
+        own.append(np.unique(np.fromiter((f for w in words for f in known[w]), np.int64)))
     seen = np.zeros((2, 1 << BUCKET_BITS))
     for f, label in zip(own, y, strict=True):
         seen[label, f] += 1
     bad, good = seen[1], seen[0]
     odds = np.log((bad + 0.5) / (y.sum() - bad + 0.5)) - np.log((good + 0.5) / (n - y.sum() - good + 0.5))
     spread = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5) + 1 / (y.sum() - bad + 0.5) + 1 / (n - y.sum() - good + 0.5))
-    z = np.where(bad + good >= LEAST_ROWS, odds / spread, 0)
+    z = np.where((bad + good >= LEAST_ROWS) & (np.abs(odds) >= LEAST_ODDS), odds / spread, 0)
     active = np.sort(np.argsort(-np.abs(z), kind="stable")[:features])
     active = active[np.abs(z[active]) > 2]
     if not len(active):
         return Model()
     marks = np.zeros(1 << BUCKET_BITS, bool)
     marks[active] = z[active] > 4
-    share = np.array([marks[f].sum() / max(1, k) for f, k in zip(own, words_of, strict=True)])
-    cuts = np.quantile(share[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + (share > cuts[0]) + (share > cuts[1]), 0)
+    carried = np.array([marks[f].sum() for f in own])
+    cuts = np.quantile(carried[y == 1], [1 / 3, 2 / 3])
+    grade = np.where(y == 1, 1 + (carried > cuts[0]) + (carried > cuts[1]), 0)
     at = np.full(1 << BUCKET_BITS, -1)
     at[active] = np.arange(len(active))
     cols = [c[c >= 0] for c in (at[f] for f in own)]
