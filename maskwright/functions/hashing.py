@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .dialect import SPARK, Spark, text
 
+# Fixed value: pseudonyms only agree under the same salt.
 DEFAULT_SALT = "copy-info-with-context-v1"
 
 
