@@ -70,9 +70,9 @@ HELD_OUT = 2
 
 
 def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """At most ``rows`` ids of df, the ones of smallest hash: a bounded, repeatable sample."""
-    ids = df.select(F.col(id_col).alias("_sample_id")).where(F.col("_sample_id").isNotNull())
-    return ids.orderBy(F.xxhash64("_sample_id"), "_sample_id").limit(rows).distinct()
+    """At most ``rows`` different ids of df, the ones of smallest hash: a bounded, repeatable sample."""
+    ids = df.select(F.col(id_col).alias("_sample_id")).where(F.col("_sample_id").isNotNull()).distinct()
+    return ids.orderBy(F.xxhash64("_sample_id"), "_sample_id").limit(rows)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

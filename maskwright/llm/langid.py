@@ -147,9 +147,10 @@ def fit_texts(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ri
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most sample_rows documents of known language outside the held-out fold."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != HELD_OUT))
-    ids = bounded_sample(known, id_col, sample_rows)
-    rows = known.join(F.broadcast(ids), F.col(id_col) == F.col("_sample_id")).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    known = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull() & (fold("_id") != HELD_OUT))
+    ids = bounded_sample(known, "_id", sample_rows)
+    rows = known.join(F.broadcast(ids), F.col("_id") == F.col("_sample_id")).select("_id", "_text", "_lang")
     found = sorted((r["_id"], r["_lang"], r["_text"]) for r in rows.limit(2 * sample_rows).collect())
     return fit_texts([r[2] for r in found], [r[1] for r in found])
 

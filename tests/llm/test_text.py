@@ -241,6 +241,9 @@ def test_language_of_odd_rows(spark):
     assert got[6][0] == "en" and got[0][0] == "de"
     assert {r["lang_pred"] for r in langid.predict(df, langid.fit(df.limit(0))).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
+    # clashing columns, and an id that most rows share
+    wide = df.selectExpr("*", "1 as _id", "'x' as _lang", "2 as _sample_id").unionAll(df.where("doc_id = 0").selectExpr("*", "1", "'x'", "2").join(spark.range(500)).drop("id"))
+    assert set(langid.fit(wide, sample_rows=4).languages) == {"de", "en"}
 
 
 def test_toxicity():
