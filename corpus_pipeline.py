@@ -22,7 +22,10 @@ from maskwright.llm.common import stored
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_score(docs, model, into="_score").where(F.col("_score") >= quality.THRESHOLD).select(docs.columns)
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return quality.with_score(docs, model, into=name).where(F.col(name) >= quality.THRESHOLD).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
