@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import text_of
+from .bpe import grouped
 from .common import HELD_OUT, bounded_sample, fold
 
 SAMPLE_ROWS = 3000
@@ -156,11 +156,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, _BATCH):
-            batch = whole.slice(at, _BATCH)
-            langs, score = model.value.predict([text_of(x.as_py()) for x in batch.column(1).cast(pa.binary())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+    for batch in batches:
+        langs, scores = [], [np.zeros(0)]
+        for group in grouped(batch.column(1).cast(pa.binary()), rows=_BATCH):
+            found, score = model.value.predict(group)
+            langs += found
+            scores.append(score)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["id", "lang_pred", "score"])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
