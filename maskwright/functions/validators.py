@@ -88,7 +88,7 @@ def birth_date(v: str, as_of: str, d: Spark = SPARK) -> str:
     shaped, parts, born, age = _age(v, as_of, d)
 
     def result(ok: bool, confidence: float, reason: str | None) -> str:
-        return d.record(is_valid="true" if ok else "false", confidence=f"cast({confidence} as double)", reason="cast(null as varchar(99))" if reason is None and d.name == "duckdb" else "cast(null as string)" if reason is None else text(reason))
+        return d.record(is_valid="true" if ok else "false", confidence=f"cast({confidence} as double)", reason="cast(null as string)" if reason is None else text(reason))
 
     return (
         f"case when coalesce({v}, '') = '' then {result(False, 0.0, 'Empty or invalid input')} when not {shaped} then {result(False, 0.0, 'Malformed date')} "
@@ -124,7 +124,7 @@ def email(v: str, d: Spark = SPARK) -> str:
     """Struct (is_valid, confidence, reason)."""
     x = f"lower({_trimmed(v, d)})"
     test = " or ".join(f"{d.position(text(t), x)} > 0" for t in TEST_DOMAINS)
-    none = "cast(null as string)" if d.name == "spark" else "cast(null as varchar)"
+    none = "cast(null as string)"
 
     def result(ok: str, confidence: float, reason: str) -> str:
         return d.record(is_valid=ok, confidence=f"cast({confidence} as double)", reason=reason)
