@@ -14,7 +14,7 @@ from ..functions import registry as reg
 from ..functions import validators
 from ..functions.dialect import SPARK, Spark, text
 from ..functions.masks import mask_sql
-from ..functions.spans import column_sql, line_sql, spans_sql
+from ..functions.spans import column_sql, let, line_sql, spans_sql
 
 STRUCTURES = ("xml", "json", "csv", "plain_text")
 
@@ -76,6 +76,15 @@ def _after(t: str, end: str, n: int) -> str:
     return f"substring({t}, {end} + 1, {n})"
 
 
+def business_dates(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A row per date in the whole text: the kept columns, value, pos, and whether business words stand in the 100 characters before it."""
+    keep = [c for c in df.columns if c != text_col] if keep is None else keep
+    d, t = reg.REGISTRY.get("dateOfBirth"), f"`{text_col}`"
+    spans = spans_sql(t, d.java, maybe=d.hint(t, f"lower({t})"))
+    rows = f"transform({spans}, s -> named_struct('value', s.value, 'pos', s.pos, 'business', {let('b', _before(t, 's.pos', 100), business_date_sql('b'))}))"
+    return df.select(*keep, F.explode(F.expr(rows)).alias("_row")).select(*keep, "_row.*")
+
+
 def candidates_sql(t: str, detectors: list[reg.Detector], low: str | None = None, digit: str | None = None) -> str:
     """array<struct<type, prior, value, pos>> of all matches, in claim order; low, digit: see Detector.hint."""
     none = "cast(array() as array<struct<type: string, prior: double, value: string, pos: int>>)"

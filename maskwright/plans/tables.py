@@ -15,6 +15,7 @@ from ..functions.masks import mask_sql
 from ..operators import copying, detect, location, mask_text, render, tabular
 from ..sources import lines as sources
 from ..streaming import detect as streaming
+from . import detection
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -323,6 +324,14 @@ def _business_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUSINESS_SQL = f"SELECT doc_id, regexp_matches(lower(substring(text, 1, 60)), '{'|'.join(reg.BUSINESS_DATE_WORDS)}') AS business FROM documents"
 
 
+def _business_dates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.business_dates(detection.texts(spark, sf_dir), "text", keep=["src", "id"])
+
+
+_BUSINESS_WHOLE_SQL = f"""WITH texts AS ({detection.TEXTS_SQL})
+  SELECT src, id, value, pos, regexp_matches(lower(substring(text, greatest(pos - 100, 0) + 1, least(pos, 100))), '{'|'.join(reg.BUSINESS_DATE_WORDS)}') AS business FROM ({detection._spans_duck(reg.REGISTRY.get('dateOfBirth'))})"""
+
+
 def _selected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('Name,Segment,Key', chr(10), c_name, ',', c_mktsegment, ',', cast(c_custkey as string)) as text", "1 as a", "if(c_custkey % 2 = 0, 0, length(c_name) + 1) as b", "1 as c", "length(c_name) + 1 + length(c_mktsegment) as d")
     return rows.select("c_custkey", location.delimited_context_udf()("text", "a", "b", "c", "d").alias("context"))
@@ -476,6 +485,7 @@ def _all() -> dict[str, Query]:
         "selected_columns": (_selected_columns, _SELECTED_SQL),
         "aligned_lines": (_aligned, _ALIGNED_SQL),
         "business_dates": (_business_dates, _BUSINESS_SQL),
+        "business_dates_whole": (_business_dates_whole, _BUSINESS_WHOLE_SQL),
         "column_ranges": (_ranges, _RANGES_SQL),
         "mask_json_fields": (_json_fields, _JSON_FIELDS_SQL),
         "mask_cdata": (_cdata, None),

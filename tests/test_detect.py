@@ -106,3 +106,23 @@ def test_column_names():
 def test_business_dates(spark):
     df = spark.createDataFrame([("Payment due: ",), ("dob ",)], "b string")
     assert [r[0] for r in df.selectExpr(detect.business_date_sql("b")).collect()] == [True, False]
+
+
+def test_business_dates_of_whole_texts(spark):
+    late = "x" * 500 + " payment on 2024-03-01, " + "y" * 120 + " dob 12/03/1980"
+    edge = "premium " + "é" * 91 + " 2024-01-02"  # the word begins 100 characters before the date, below 101
+    rows = [(1, late), (2, edge), (3, "." + edge), (4, edge.replace("é", "éé", 1)), (5, "payment without a date"), (6, None)]
+    found = detect.business_dates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in found) == [
+        (1, "12/03/1980", late.index("12/"), False), (1, "2024-03-01", late.index("2024"), True), (2, "2024-01-02", 100, True), (3, "2024-01-02", 101, True), (4, "2024-01-02", 101, False),
+    ]
+
+
+def test_business_dates_query_looks_at_whole_texts(spark, tmp_path):
+    from maskwright.plans import tables
+
+    late = "x" * 500 + " payment on 2024-03-01"
+    spark.createDataFrame([(1, late)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "<p>dob 12/03/1980</p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = tables.queries()["business_dates_whole"](spark, str(tmp_path)).where("src <> 'line'").collect()
+    assert sorted(tuple(r) for r in found) == [("doc", 1, "2024-03-01", late.index("2024"), True), ("page", 1, "12/03/1980", 7, False)]
