@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored
 
-ORDER = 2
+ORDER = 3
 MIN_COUNT = 2
 ALPHA = 0.4
 BLOCK_DOCS = 512

@@ -130,6 +130,17 @@ def test_language_model(spark, documents, order):
     assert lm.score(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_registered_language_model_uses_trigrams(spark, documents, tmp_path):
+    from maskwright.llm import queries
+
+    texts = [*documents[:60], "a b c a b d", "x b c x b d", "a b c", "", None]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.queries()["op9_lm_score_order3"](spark, str(tmp_path)).collect()}
+    for i, (n, back, total) in enumerate(slow_lm(texts, 3, lm.MIN_COUNT, lm.ALPHA)):
+        assert (got[i]["n_tokens"], got[i]["n_backed_off"]) == (n, back)
+        assert got[i]["log_score"] == pytest.approx(total, abs=1e-4)
+
+
 def slow_containment(docs, items, size=5, threshold=0.8):
     def shingles(t):
         w = (t or "").encode().lower().split()
