@@ -427,7 +427,8 @@ _CATEGORIES_SQL = f"SELECT category, count(*) AS n_words, max(length(word)) AS l
 
 
 def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('doc', cast(doc_id as string), '.txt') as name", "concat('doc', cast(doc_id as string), '.txt') as path", "'plaintext' as language", "text", "0 as start_line", "0 as start_char", "1 as end_line", "5 as end_char")
+    lines = "split(coalesce(text, ''), '\\n', -1)"
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('doc', cast(doc_id as string), '.txt') as name", "concat('doc', cast(doc_id as string), '.txt') as path", "'plaintext' as language", "text", "0 as start_line", "0 as start_char", f"size({lines}) - 1 as end_line", f"length(element_at({lines}, -1)) as end_char")
     return copying.copy_with_context(docs, MaskingConfig(as_of="2025-06-15")).selectExpr("doc_id", "sha2(output, 256) as digest", "size(detections) as n")
 
 

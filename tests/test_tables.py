@@ -209,6 +209,18 @@ def test_copy_with_context(spark):
     assert copy_with_context(df.limit(0)).count() == 0
 
 
+def test_copy_with_context_query_takes_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from maskwright.plans import tables
+
+    texts = ["user one\nline two\nuser mail b.b@c.org", "user mail b.b@c.org", "a\n", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["digest"], r["n"]) for r in tables.queries()["copy_with_context"](spark, str(tmp_path)).collect()}
+    want = ["// doc0.txt:1-3\n1: user one\n2: line two\n3: user mail b*b@c***.org", "// doc1.txt:1\n1: user mail b*b@c***.org", "// doc2.txt:1-2\n1: a\n2: ", "// doc3.txt:1\n1: "]
+    assert got == {i: (hashlib.sha256(w.encode()).hexdigest(), n) for i, (w, n) in enumerate(zip(want, (1, 1, 0, 0), strict=True))}
+
+
 def test_union_of_ranges(spark):
     df = spark.createDataFrame([(1, 2, 3), (1, 0, 1), (2, 5, 5)], "f int, start_column int, end_column int")
     assert sorted(tuple(r) for r in tabular.union_ranges(df, "f").collect()) == [(1, 0, 3), (2, 5, 5)]
