@@ -35,6 +35,26 @@ class Kind:
     base: bool = True
 
 
+# The length of an IBAN by country code.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """In groups of four: of a listed country exactly its length, so that a word behind isn't taken in; of others the longest run."""
+    exact = []
+    for n, codes in _IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        exact.append(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    listed = "|".join(_IBAN_LENGTHS.values()).replace(" ", "|")
+    other = f"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}+(?: ?[A-Z0-9]{{1,3}})?"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(exact)}|{other})(?![A-Za-z0-9])"
+
+
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _IBAN = f"""aggregate(split(concat(substring(replace(x, ' ', ''), 5), substring(replace(x, ' ', ''), 1, 4)), ''), 0,
@@ -45,9 +65,9 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"t rlike r'[0-9]\.[0-9]++\.[0-9]'", rf"x rlike r'^{_BYTE}(?:\.{_BYTE}){{3}}$'", 0.6, "ip|host|server|address|adresse|client"),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])", r"t rlike r'[0-9](?:[ -]?[0-9]){15}'", "luhn_check(regexp_replace(x, '[ -]', ''))", 0.8, "card|visa|credit|karte|carte|tarjeta|pay"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"t rlike r'\+[0-9]'", "length(regexp_replace(x, '[^0-9]', '')) between 8 and 15", 0.6, "phone|call|tel|mobile|fax|anruf|appel"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"t rlike r'[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}'", _IBAN, 0.7, "iban|bank|account|konto|compte|cuenta", base=False),
+    Kind("iban", _iban_pattern(), r"t rlike r'[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}'", _IBAN, 0.7, "iban|bank|account|konto|compte|cuenta", base=False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"t rlike r'[0-9]{3}-[0-9]{2}-[0-9]{4}'", "true", 0.45, "ssn|social|security|tax", base=False),
-    Kind("secret", r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,256}+(?![A-Za-z0-9+/_-])""", r"t rlike r'[A-Za-z0-9+/_-]{24}'", "x rlike '[0-9]' and x rlike '[A-Za-z]'", 0.3, "token|secret|api.?key|password|passwd|bearer|credential", base=False),
+    Kind("secret", r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?![A-Za-z0-9+/_-])""", r"t rlike r'[A-Za-z0-9+/_-]{24}'", "x rlike '[0-9]' and x rlike '[A-Za-z]'", 0.3, "token|secret|api.?key|password|passwd|bearer|credential", base=False),
 )
 _DOUBT = "example|sample|dummy|placeholder"
 #: A secret's word has to stand close before it, or prose with long words would pass.

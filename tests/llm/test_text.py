@@ -294,3 +294,18 @@ def test_digests_of_the_queries(spark):
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(f"doc_id = {row['doc_id']}").first()["text"]
     assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 10
+
+
+def test_secrets_of_any_length_and_ibans_before_words(spark):
+    texts = ["secret " + "aB3x" * 64 + "z", "secret " + "a1" * 50000, "iban ES91 2100 0418 4502 0005 1332 EUR", "iban AT611904300234573201 2024 paid", "konto NO93 8601 1117 947", "iban MT84MALT011000012345MTLCAST001S", "iban DE89370400440532013001 2024", "iban DE89 3704 0044 0532 0130 00 EUR"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()]
+    assert got == ["secret [SECRET]", "secret [SECRET]", "iban [IBAN] EUR", "iban [IBAN] 2024 paid", "konto [IBAN]", "iban [IBAN]", texts[6], "iban [IBAN] EUR"]
+
+
+@pytest.mark.parametrize("code", [c for codes in pii._IBAN_LENGTHS.values() for c in codes.split()])
+def test_iban_pattern_stops_at_the_length_of_the_country(code):
+    n = next(n for n, codes in pii._IBAN_LENGTHS.items() if code in codes.split())
+    number = code + "12" + "345A" * 8
+    assert re.search(pii._iban_pattern(), number[:n] + " 2024 EUR").group() == number[:n]
+    assert not re.search(pii._iban_pattern(), number[: n - 1]) and not re.search(pii._iban_pattern(), number[: n + 1])
