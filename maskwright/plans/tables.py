@@ -104,8 +104,15 @@ _PROFILED = {
 }
 
 
-def _profile(table: str) -> Query:
-    columns = _PROFILED[table]
+#: Every column of the tables that _PROFILED takes a part of.
+_PROFILED_WHOLE = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+}
+
+
+def _profile(table: str, columns: tuple[str, ...]) -> Query:
     shown = ["column", "position", "n", "n_distinct", "type", "min", "max", "round(mean, 4) as mean", "is_category", "is_identifier", "is_date", "alignment", "alignment_filled"]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,7 +505,8 @@ def _all() -> dict[str, Query]:
         "source_selection": (_selection, _SELECTION_SQL),
         "stream_counts": (_stream, _STREAM_SQL),
     }
-    out |= {f"profile_{t}": _profile(t) for t in _PROFILED}
+    out |= {f"profile_{t}": _profile(t, columns) for t, columns in _PROFILED.items()}
+    out |= {f"profile_whole_{t}": _profile(t, columns) for t, columns in _PROFILED_WHOLE.items()}
     out |= {f"mask_columns_{t}_{s}": _mask_columns(t, s) for t in _MASKED for s in ("partial", "hash")}
     out |= {f"render_{f}": _rendered(f) for f in ("plain", "markdown", "ansi")}
     out |= {f"mask_text_{s}": _masked_documents(s) for s in ("partial", "structural", "hash")}

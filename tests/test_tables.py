@@ -224,3 +224,13 @@ def test_copy_with_context_query_takes_whole_texts(spark, tmp_path):
 def test_union_of_ranges(spark):
     df = spark.createDataFrame([(1, 2, 3), (1, 0, 1), (2, 5, 5)], "f int, start_column int, end_column int")
     assert sorted(tuple(r) for r in tabular.union_ranges(df, "f").collect()) == [(1, 0, 3), (2, 5, 5)]
+
+
+@pytest.mark.parametrize("table", ["lineitem", "orders", "events"])
+def test_whole_profiles_take_every_column(spark, table):
+    from maskwright.plans import tables
+
+    from .conftest import SF
+
+    rows = tables.queries()[f"profile_whole_{table}"](spark, SF).orderBy("position").collect()
+    assert [r["column"] for r in rows] == spark.read.parquet(f"{SF}/{table}.parquet").columns
