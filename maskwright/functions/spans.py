@@ -36,6 +36,22 @@ def spans_sql(t: str, regex: str, groups: int = 0, maybe: str | None = None) ->
     return found if not maybe else f"if({maybe}, {found}, {none})"
 
 
+_PART = 1024
+
+
+def parts_sql(t: str) -> str:
+    """The string in parts of _PART code points, so that a piece far into a long text is found at once."""
+    return f"regexp_extract_all({t}, r'(?s).{{1,{_PART}}}', 0)"
+
+
+def part_sql(parts: str, pos: str, n: str) -> str:
+    """n code points of a text in parts, from the offset pos on."""
+    first, last = f"cast({pos} div {_PART} as int)", f"cast(({pos} + {n} - 1) div {_PART} as int)"
+    one = f"substring({parts}[{first}], {pos} % {_PART} + 1, {n})"
+    more = f"concat(substring({parts}[{first}], {pos} % {_PART} + 1), array_join(slice({parts}, {first} + 2, {last} - {first} - 1), ''), substring({parts}[{last}], 1, ({pos} + {n} - 1) % {_PART} + 1))"
+    return f"(case when {n} <= 0 then '' when {first} = {last} then {one} else {more} end)"
+
+
 def line_sql(t: str, pos: str) -> str:
     """The 1-based line of an offset."""
     before = f"substring({t}, 1, {pos})"
