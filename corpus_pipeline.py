@@ -3,7 +3,7 @@
 quality: documents that the classifier rejects go.
 near_duplicates: of each group linked by SimHash the row of the smallest doc_id stays.
 decontamination: documents that contain a benchmark item go.
-personal_data: spans found in the text become [KIND]; n_chars follows the text.
+personal_data: spans found in the text become [KIND], overlapping ones together; n_chars follows the text.
 tokens: the text is encoded; the ids, their number, and the decoded text.
 
 All rows of a table are handled, with null ids, null texts and repeated rows
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import bpe, decontam, pii, quality, simhash
-from maskwright.llm.common import stored
+from maskwright.llm.common import discard, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(last)
     return docs
