@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: set[str] = set()
+SAMPLE_BYTES = 48 << 20  # text that a classifier's sample may bring to the driver
+_OWN: set[tuple[str, str]] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) a folder of our own is
-    made and set as the checkpoint folder.
+    Where that is unset a single machine (master local) gets a temporary folder
+    of its own; a cluster has none that all executors see, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -29,35 +29,52 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="maskwright-"))
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="maskwright-")
+    _at_exit(spark, own)
+    sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def _path(spark: SparkSession, path: str):
+    """(file system, path) in the JVM."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    except Exception:  # the session may be gone at exit; the folder is scratch space
-        return
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """The JVM deletes the folder when it ends, also after the session was stopped."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _OWN:
+        _OWN.add(key)
+        system, folder = _path(spark, path)
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
 
 
 def stored(df: DataFrame, label: str, **options) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, computes df once.
+
+    The table lasts until ``discard`` or the end of the JVM.
+    """
     spark = df.sparkSession
     own = f"{shared_dir(spark)}/maskwright-{spark.sparkContext.applicationId}"
-    if own not in _OWN_DIRS:
-        _OWN_DIRS.add(own)
-        atexit.register(_delete, spark, own)
+    _at_exit(spark, own)
     path = f"{own}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` wrote and nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            system, folder = _path(df.sparkSession, path)
+            system.delete(folder, True)
 
 
 def fold(id_col: str | Column) -> Column:
@@ -70,9 +87,55 @@ HELD_OUT = 2
 
 
 def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """At most ``rows`` different ids of df, the ones of smallest hash: a bounded, repeatable sample."""
-    ids = df.select(F.col(id_col).alias("_sample_id")).where(F.col("_sample_id").isNotNull()).distinct()
-    return ids.orderBy(F.xxhash64("_sample_id"), "_sample_id").limit(rows)
+    """At most ``rows`` different ids of df, the ones of smallest hash: a bounded, repeatable sample.
+
+    Ids whose hash is above a share of the hash range are left out before the
+    distinct, so that it doesn't shuffle every id; the share grows until it
+    holds enough different ids or everything.
+    """
+    ids = df.select(F.col(id_col).alias("_sample_id")).where(F.col("_sample_id").isNotNull())
+    hashed = ids.withColumn("_sample_hash", F.xxhash64("_sample_id"))
+    share = min(1.0, 3 * rows / max(1, ids.count()))
+    while True:
+        near = hashed if share >= 1 else hashed.where(F.col("_sample_hash") <= -(1 << 63) + int(share * ((1 << 64) - 1)))
+        found = near.distinct().orderBy("_sample_hash", "_sample_id").limit(rows).select("_sample_id").collect()
+        if len(found) >= rows or share >= 1:
+            return df.sparkSession.createDataFrame([(r[0],) for r in found], ids.schema)
+        share = min(1.0, share * 8)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    """(_sample_id, _label) of at most sample_rows labelled documents of docs outside the held-out fold.
+
+    Repeated labels of a document count as their maximum; null labels and ids don't count.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != HELD_OUT)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    chosen = bounded_sample(known, "_id", sample_rows)
+    return known.join(F.broadcast(chosen), F.col("_id") == F.col("_sample_id")).groupBy("_sample_id").agg(F.max("_label").alias("_label"))
+
+
+def sampled_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, most_bytes: int = SAMPLE_BYTES) -> list[tuple]:
+    """[(id, label, text)] in the order of the id's hash, of the chosen (_sample_id, _label) with a text.
+
+    A document counts once: of rows that share an id, the smallest text. Texts
+    are taken whole, in that order, while all so far hold at most most_bytes;
+    a text that doesn't fit is left out.
+    """
+    import xxhash
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    one = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_sample_id")).groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    kept = stored(one.withColumn("_size", F.octet_length("_text")), "sample")
+    order = sorted(kept.select("_id", "_size").collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r["_id"])), str(r["_id"])))
+    fits, total = [], 0
+    for r in order:
+        if total + r["_size"] <= most_bytes:
+            total += r["_size"]
+            fits.append((r["_id"],))
+    wanted = docs.sparkSession.createDataFrame(fits, kept.select(F.col("_id").alias("_fits")).schema)
+    texts = {r["_id"]: r for r in kept.join(F.broadcast(wanted), F.col("_id") == F.col("_fits")).collect()}
+    discard(kept)
+    return [(i, texts[i]["_label"], texts[i]["_text"]) for (i,) in fits]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

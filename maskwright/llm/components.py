@@ -3,6 +3,7 @@
 The steps only use grouped minima (combined before the shuffle) and equi-joins
 that adaptive execution may split where a node is hot, so no node's neighbours
 ever meet in one task and nothing but two numbers a round reaches the driver.
+Every round is written to shared storage and the round before it deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -24,10 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     The root is the smallest node of the component. Self links, repeated and
     null edges don't matter; an empty table gives an empty table.
     """
-    edges = cut(
+    edges = stored(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct()
+        .distinct(),
+        "edges",
     )
     before = _state(edges)
     while before[0]:
@@ -44,7 +46,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .union(lowest.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        edges = cut(small)
+        last, edges = edges, stored(small, "edges")
+        discard(last)
         after = _state(edges)
         if after == before:
             break

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, stored
+from .common import discard, shuffle_partitions, stored
 from .components import connected_components
 
 SHINGLE = 3
@@ -209,7 +209,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     """distinct(fp) -> links (a, b) that span the groups of fingerprints within radius."""
     spark = distinct.sparkSession
     filed = distinct.select("fp", F.explode(F.array(*_bucket_columns(blocks, radius))).alias("bucket"))
-    hot = cut(filed.groupBy("bucket").count().where(F.col("count") > tile).select("bucket", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("chunks")))
+    hot = stored(filed.groupBy("bucket").count().where(F.col("count") > tile).select("bucket", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("chunks")), "hot")
     chunk = F.expr("cast(pmod(xxhash64(fp), chunks) as int)")
     tiled = (
         filed.join(hot, "bucket", "left")
@@ -221,6 +221,18 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     return rows.mapInArrow(partial(_tile_links, radius=radius), "a long, b long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, blocks: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables (id, fp), a row per row of docs, and (fp, component_id, root), a row per fingerprint."""
+    marked = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    roots = connected_components(near_links(distinct.select("fp"), radius, blocks, tile))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = stored(rooted.join(lows, "root").select("fp", "component_id", "root"), "named")
+    discard(distinct)
+    return marked, named
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """(id, fp, component_id, root): one row per row of docs; component_id is the smallest id reachable.
 
@@ -228,14 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts and texts without words have fingerprint 0 and form one
     group. Repeated rows stay. A null id keeps its row; ids are compared as
-    longs and a group without any id has component_id null. Empty in, empty out.
+    longs and a group without any id has component_id null. Other columns don't
+    matter, whatever their names. Empty in, empty out.
     """
-    marked = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected_components(near_links(distinct.select("fp"), radius, blocks, tile))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = cut(rooted.join(lows, "root").select("fp", "component_id", "root"))
+    marked, named = _grouped(docs, id_col, text_col, shingle, radius, blocks, tile)
     return marked.join(named, "fp").select("id", "fp", "component_id", "root")
 
 
@@ -252,7 +260,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     or are null, a row is told by its id and fingerprint, and of rows equal in
     both one stays.
     """
-    marked = stored(near_duplicates(docs, id_col, text_col, shingle, radius, blocks, tile), "groups")
+    parts = _grouped(docs, id_col, text_col, shingle, radius, blocks, tile)
+    marked = stored(parts[0].join(parts[1], "fp").select("id", "fp", "component_id", "root"), "groups")
+    discard(*parts)
     ids = marked.groupBy("id").count().agg(F.max("count"), F.max(F.col("id").isNull())).first()
     if ids[0] is None or (ids[0] == 1 and not ids[1]):
         kept = marked.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept_id"))
@@ -270,7 +280,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     )
     bare = marked.where(F.col("component_id").isNull()).select(F.col("root").alias("_kept_fp")).distinct()
     without_id = bare.select(F.lit(None).cast("long").alias("_kept_id"), "_kept_fp")
-    kept = cut(with_id.unionAll(without_id))
+    kept = stored(with_id.unionAll(without_id), "kept")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` long"])
     told = docs.mapInArrow(partial(_with_fingerprint, at=docs.columns.index(text_col), name=name, shingle=shingle), schema)
     rows = told.join(kept, told[id_col].cast("long").eqNullSafe(kept["_kept_id"]) & (told[name] == kept["_kept_fp"]), "left_semi")
