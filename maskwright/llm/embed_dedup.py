@@ -1,39 +1,53 @@
 """Embedding near-duplicates by an exact metric range join.
 
-On unit vectors cosine >= t is Euclidean distance <= r = sqrt(2 - 2t). A few
-pivots from a bounded sample cut the space into cells (nearest pivot). Two
-vectors within r whose cells differ: by the triangle inequality the one is at
-most 2r farther from the other's pivot than from its own (and, the space
-being Euclidean, at most r from the plane between the two pivots), so it is
-replicated into that cell. Each vector then finds all its links in its own
-cell, and the cells are joined independently.
+On unit vectors cosine >= t is Euclidean distance <= r = sqrt(2 - 2t). Vectors
+are compared within their label and dimension only, so every such group has a
+partition of its own: a tree of balls around pivots, grown from a bounded
+sample. A split puts the vectors within rho of its pivot inside and the others
+outside. By the triangle inequality a vector outside can only be within r of
+one inside if it is within rho + r of the pivot: those in that shell go inside
+too, as guests. Two vectors within r then meet in exactly one leaf where they
+weren't both guests of the same split, and the leaves (cells) are joined
+independently. A split is only made where the pairs it saves, in the sample,
+outweigh its guests: vectors that lie all alike far from each other can't be
+parted at this radius by any distance to a pivot, and stay one cell.
+
+The triangle inequality also settles pairs without comparing them: all vectors
+within r / 2 of a pivot (its core) are linked. Cores only weigh in the counts,
+so a large group of near copies costs no comparisons among itself.
+
+In a cell the distances to the span of a few pivots bound the cosine from
+above, and only pairs that the bound lets through are compared in full.
 
 Equal vectors are collapsed first and only weigh in the counts. A cell of more
 than ``tile`` rows is cut into chunks and each pair of chunks is a task of its
 own. Links are never listed: a task returns, per row, its number of links and
-one link of a spanning forest. The number of pivots only affects speed: as
-many as keep the sample's copies per row within ``MEAN_COPIES``.
+one link of a spanning forest.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, stored
+from .common import discard, shuffle_partitions, stored
 from .components import connected_components
 from .simhash import _lowest_labels
 
 THRESHOLD = 0.98
-PIVOTS = 64
-MEAN_COPIES = 4.0
-SAMPLE_ROWS = 2000
+PIVOTS = 256  # splits of all trees together
+SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 16 << 20
+SMALLEST = 256  # a cell of fewer rows (estimated) isn't split
+WORTH = 0.05  # the share of a cell's pairs that a split has to save besides what its guests cost
+SPAN = 16  # pivots that bound the cosine within a cell
 TILE = 4096
 SMALL_TABLE = 100_000  # rows of (key, number) that may be broadcast
 _SLACK = 1e-9
@@ -57,86 +71,230 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), units], ["id", "label", "unit"])
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
 
 
-def replicas(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(nearest pivot of each row, rows x pivots: whether the row belongs to that cell)."""
-    d = _distances(x, pivots)
-    home = d.argmin(axis=1)
-    own = d[np.arange(len(x)), home][:, None]
-    between = _distances(pivots, pivots)[home]
-    by_plane = (d**2 - own**2) <= 2 * between * (radius + _SLACK)
-    member = (d - own <= 2 * (radius + _SLACK)) & by_plane
-    member[np.arange(len(x)), home] = True
-    return home, member
-
-
-def choose_pivots(sample: np.ndarray, radius: float, most: int = PIVOTS, copies: float = MEAN_COPIES) -> np.ndarray:
-    """Farthest-first pivots, as many (in powers of two) as the mean copies per row allow."""
-    chosen = [0]
-    near = _distances(sample, sample[:1])[:, 0]
-    while len(chosen) < min(most, len(sample)) and near.max() > 2 * radius:
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, _distances(sample, sample[chosen[-1:]])[:, 0])
-    k = 1
-    while 2 * k <= len(chosen) and replicas(sample, sample[chosen[: 2 * k]], radius)[1].sum(axis=1).mean() <= copies:
-        k *= 2
-    return sample[chosen[:k]]
-
-
-def _cells(batches: Iterator[pa.RecordBatch], pivots, radius: float) -> Iterator[pa.RecordBatch]:
-    """Distinct vectors (label, node, weight, unit) -> (grp, cell, home, node, weight, unit), a row per cell."""
-    table: np.ndarray = pivots.value
+# ---- trees ----
+
+
+@dataclass
+class Split:
+    """pivot: its number in the tree; inside and outside: the next split of either side, or minus one minus the cell."""
+
+    pivot: int
+    rho: float
+    inside: int = 0
+    outside: int = 0
+
+
+@dataclass
+class Tree:
+    pivots: np.ndarray
+    splits: list[Split]
+
+    def place(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, guest): the cells of each row; bit k of guest: the row is a guest of split k's inside."""
+        if not self.splits:
+            return np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros((len(x), 1), np.uint64)
+        d = distances(x, self.pivots)
+        words = (len(self.splits) + 63) // 64
+        done: list[tuple[np.ndarray, int, np.ndarray]] = []
+        todo = [(0, np.arange(len(x)), np.zeros((len(x), words), np.uint64))]
+        while todo:
+            k, rows, guest = todo.pop()
+            if not len(rows):
+                continue
+            if k < 0:
+                done.append((rows, -1 - k, guest))
+                continue
+            s = self.splits[k]
+            own = d[rows, s.pivot]
+            inside = own <= s.rho
+            shell = ~inside & (own <= s.rho + radius + _SLACK)
+            marked = guest[shell].copy()
+            marked[:, k // 64] |= np.uint64(1 << (k % 64))
+            todo.append((s.outside, rows[~inside], guest[~inside]))
+            todo.append((s.inside, np.concatenate((rows[inside], rows[shell])), np.concatenate((guest[inside], marked))))
+        return np.concatenate([r for r, _, _ in done]), np.concatenate([np.full(len(r), c) for r, c, _ in done]), np.concatenate([g for _, _, g in done])
+
+    def core(self, x: np.ndarray, radius: float) -> np.ndarray:
+        """The first pivot that the row is within half the radius of, else -1."""
+        if not len(self.pivots):
+            return np.full(len(x), -1, np.int32)
+        near = distances(x, self.pivots) <= radius / 2 - _SLACK
+        return np.where(near.any(axis=1), near.argmax(axis=1), -1).astype(np.int32)
+
+
+def best_split(x: np.ndarray, radius: float, tries: int = 12) -> tuple[float, np.ndarray, float] | None:
+    """(share of pairs saved beyond the guests' cost, pivot, rho) of the best ball over the rows, if any is worth it.
+
+    Pivots tried: the middles of the densest surroundings, and farthest-first points.
+    """
+    n = len(x)
+    if n < 8:
+        return None
+    small = x.astype(np.float32)
+    dense = (small @ small.T >= 1 - radius**2 / 2).sum(axis=1)
+    tried = []
+    covered = np.zeros(n, bool)
+    for i in np.argsort(-dense, kind="stable"):
+        if len(tried) >= tries or dense[i] < 4:
+            break
+        if not covered[i]:
+            near = x @ x[i] >= 1 - radius**2 / 2
+            covered |= near
+            middle = x[near].mean(axis=0)
+            if (length := np.sqrt(middle @ middle)) > 0:
+                tried.append(middle / length)
+    far = distances(x, x[:1])[:, 0]
+    for _ in range(4):
+        i = int(far.argmax())
+        tried.append(x[i])
+        far = np.minimum(far, distances(x, x[i : i + 1])[:, 0])
+    best = None
+    for pivot in tried:
+        d = np.sort(distances(x, pivot[None])[:, 0])
+        ends = np.unique(np.concatenate((np.linspace(1, n - 1, 64).astype(int), np.flatnonzero(np.diff(d) > radius) + 1)))
+        rho = d[ends - 1] + np.maximum(_SLACK, (d[ends] - d[ends - 1] - radius) / 2)
+        inside = np.searchsorted(d, rho, "right")
+        shell = np.searchsorted(d, rho + radius, "right") - inside
+        after = inside**2 / 2 + inside * shell + (n - inside) ** 2 / 2
+        gain = 1 - after / (n**2 / 2) - shell / n
+        k = int(gain.argmax())
+        if gain[k] >= WORTH and (best is None or gain[k] > best[0]):
+            best = (float(gain[k]), pivot, float(rho[k]))
+    return best
+
+
+def grow(x: np.ndarray, scale: float, radius: float, most: int = PIVOTS) -> Tree:
+    """A tree over a sample x that stands for ``scale`` rows each."""
+    pivots: list[np.ndarray] = []
+    splits: list[Split] = []
+    cells = 0
+
+    def node(rows: np.ndarray) -> int:
+        nonlocal cells
+        found = best_split(rows, radius) if len(rows) * scale >= SMALLEST and len(splits) < most else None
+        if found is None:
+            cells += 1
+            return -cells
+        _, pivot, rho = found
+        k = len(splits)
+        splits.append(Split(len(pivots), rho))
+        pivots.append(pivot)
+        d = distances(rows, pivot[None])[:, 0]
+        splits[k].inside = node(rows[d <= rho + radius])
+        splits[k].outside = node(rows[d > rho])
+        return k
+
+    node(x)
+    return Tree(np.array(pivots).reshape(len(pivots), x.shape[1]), splits)
+
+
+def grow_all(sample: dict[str, np.ndarray], scale: float, radius: float, most: int = PIVOTS) -> dict[str, Tree]:
+    """The trees of the groups that are split at all, the largest groups first."""
+    out = {}
+    for name in sorted(sample, key=lambda g: (-len(sample[g]), g)):
+        if most > 0 and len(sample[name]) * scale >= SMALLEST:
+            tree = grow(sample[name], scale, radius, most)
+            if tree.splits:
+                out[name] = tree
+                most -= len(tree.splits)
+    return out
+
+
+# ---- cells ----
+
+_CELLS = "grp string, cell int, core int, guest binary, node long, weight long, unit binary"
+
+
+def _cells(batches: Iterator[pa.RecordBatch], trees, radius: float) -> Iterator[pa.RecordBatch]:
+    """Distinct vectors (grp, node, weight, unit) -> a row per cell."""
     for batch in batches:
-        raw = batch.column(3).to_pylist()
-        dims = np.fromiter((len(u) // 8 for u in raw), np.int64, len(raw))
-        row, cell, home = [], [], []
-        usual = np.flatnonzero(dims == table.shape[1])
-        for at in range(0, len(usual), 1024):
-            part = usual[at : at + 1024]
-            own, member = replicas(np.frombuffer(b"".join(raw[i] for i in part)).reshape(len(part), -1), table, radius)
-            i, j = np.nonzero(member)
-            row.append(part[i])
-            cell.append(j)
-            home.append(own[i] == j)
-        other = np.flatnonzero(dims != table.shape[1])  # of other dimensions: one cell each
-        row, cell, home = (np.concatenate(x) for x in ([*row, other], [*cell, np.zeros(len(other), np.int64)], [*home, np.ones(len(other), bool)]))
-        take = pa.array(row.astype(np.int64))
-        labels = [f"{d}:{x}" for d, x in zip(dims.tolist(), batch.column(0).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(labels, pa.string()).take(take), pa.array(cell.astype(np.int32)), pa.array(home), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take)],
-            ["grp", "cell", "home", "node", "weight", "unit"],
-        )
-
-
-def tile_links(x: np.ndarray, chunk: np.ndarray, home: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of one tile: (weight linked to each home row, index of the smallest row of its local component).
-
-    chunk: which of the tile's two chunks a row is in; with both present only pairs across them count.
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            names, raw = np.array(part.column(0).to_pylist(), object), part.column(3).to_pylist()
+            row, cell, core, guest = [], [], [], []
+            split = np.array([name in trees.value for name in names], bool)
+            row.append(np.flatnonzero(~split))
+            cell.append(np.zeros(len(row[0]), np.int32))
+            core.append(np.full(len(row[0]), -1, np.int32))
+            guest += [b""] * len(row[0])
+            for name in dict.fromkeys(names[split].tolist()):
+                own, tree = np.flatnonzero(names == name), trees.value[name]
+                x = np.frombuffer(b"".join(raw[i] for i in own)).reshape(len(own), -1)
+                r, c, g = tree.place(x, radius)
+                row.append(own[r])
+                cell.append(c.astype(np.int32))
+                core.append(tree.core(x, radius)[r])
+                guest += [m.tobytes() if m.any() else b"" for m in g]
+            take = pa.array(np.concatenate(row).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(take), pa.array(np.concatenate(cell)), pa.array(np.concatenate(core)), pa.array(guest, pa.binary()), *(part.column(i).take(take) for i in (1, 2, 3))],
+                ["grp", "cell", "core", "guest", "node", "weight", "unit"],
+            )
+
+
+# ---- tiles ----
+
+
+def _bounds(x: np.ndarray) -> np.ndarray:
+    """Rows whose products bound those of x from above: the part in the span of a few rows, and the length of the rest."""
+    k = min(SPAN, x.shape[1], len(x))
+    span, _ = np.linalg.qr(x[np.linspace(0, len(x) - 1, k).astype(int)].T)
+    inner = x @ span
+    rest = np.sqrt(np.maximum(0.0, 1 - (inner**2).sum(axis=1)))
+    return np.column_stack((inner, rest)).astype(np.float32)
+
+
+def tile_links(x: np.ndarray, chunk: np.ndarray, core: np.ndarray, guest: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of one tile: (weight linked to each row, index of the smallest row of its local component, pairs compared in full).
+
+    chunk: which of the tile's two chunks a row is in; with both present only
+    pairs across them count. Pairs of one core, and pairs of guests of the same
+    split, are left out: the first are known, the second met elsewhere.
     """
     n = len(x)
-    links, label = np.zeros(n, np.int64), np.arange(n)
+    links, label, compared = np.zeros(n, np.int64), np.arange(n), 0
     left, right = (np.flatnonzero(chunk == c) for c in (0, 1))
     across = len(right) > 0
     if not across:
         right = left
+    short = x.shape[1] > 2 * SPAN
+    b = _bounds(x) if short else None
+    right_x = x[right]
     for at in range(0, len(left), 512):
         mine = left[at : at + 512]
-        near = x[mine] @ x[right].T >= threshold
-        if not across:
-            near[np.arange(len(mine)), np.arange(at, at + len(mine))] = False
-        links[mine] += near @ weight[right]
-        if across:
-            links[right] += near.T @ weight[mine]
-        i, j = np.nonzero(near)
+        if short:
+            maybe = b[mine] @ b[right].T >= threshold - 1e-4
+        else:
+            maybe = np.ones((len(mine), len(right)), bool)
+        if not across:  # each pair once
+            maybe &= np.arange(len(right)) > np.arange(at, at + len(mine))[:, None]
+        if (core[mine] >= 0).any() and (core[right] >= 0).any():
+            maybe &= (core[mine][:, None] != core[right]) | (core[right] < 0)
+        for word in range(guest.shape[1]):
+            if guest[mine, word].any() and guest[right, word].any():
+                maybe &= (guest[mine, word][:, None] & guest[right, word]) == 0
+        count = int(np.count_nonzero(maybe))
+        compared += count
+        if 20 * count > maybe.size:
+            near = maybe & (x[mine] @ right_x.T >= threshold)
+            i, j = np.nonzero(near)
+        else:
+            i, j = np.nonzero(maybe)
+            good = np.concatenate([np.einsum("ij,ij->i", x[mine[i[a : a + 65536]]], right_x[j[a : a + 65536]]) >= threshold for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+            i, j = i[good], j[good]
         if len(i):
+            links += np.bincount(mine[i], weight[right[j]], n).astype(np.int64) + np.bincount(right[j], weight[mine[i]], n).astype(np.int64)
             label = _lowest_labels(label, mine[i], right[j])
-    return np.where(home, links, 0), label
+    return links, label, compared
 
 
-_TILE_COLUMNS = ["grp", "cell", "t1", "t2", "mine", "home", "node", "weight", "unit"]
+def _guest_words(guests: list[bytes]) -> np.ndarray:
+    words = max((len(g) for g in guests), default=0) // 8
+    return np.frombuffer(b"".join(g.ljust(8 * words, b"\0") for g in guests), np.uint64).reshape(len(guests), words)
 
 
 def _join_tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -146,9 +304,10 @@ def _join_tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
     def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
         x = np.frombuffer(b"".join(t.column("unit").to_pylist())).reshape(t.num_rows, -1)
-        node, weight, home, mine, t1 = (t.column(c).to_numpy() for c in ("node", "weight", "home", "mine", "t1"))
+        node, weight, core, mine, t1 = (t.column(c).to_numpy() for c in ("node", "weight", "core", "mine", "t1"))
+        guest = _guest_words(t.column("guest").to_pylist())
         order = np.argsort(node, kind="stable")  # so that the smallest row is the smallest node
-        links, label = tile_links(x[order], (mine != t1)[order].astype(int), home[order], weight[order], threshold)
+        links, label, _ = tile_links(x[order], (mine != t1)[order].astype(int), core[order], guest[order], weight[order], threshold)
         node = node[order]
         told = np.flatnonzero((links > 0) | (label != np.arange(len(label))))
         return pa.RecordBatch.from_arrays([pa.array(node[told]), pa.array(links[told]), pa.array(node[label[told]])], ["node", "links", "root"])
@@ -169,13 +328,57 @@ def _join_tiles(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
         yield joined(held)
 
 
+def _tiled(cells: DataFrame, tile: int) -> DataFrame:
+    """The rows of each cell dealt to the tiles they have to be in.
+
+    A cell that fits one tile is one. Of a larger one each core is cut into
+    chunks of its own, and so are the other rows; a row goes to the tiles of its
+    chunk with every chunk but those of its own core.
+    """
+    counts = cells.groupBy("grp", "cell", "core").count()
+    whole = Window.partitionBy("grp", "cell")  # a row per core: at most as many as pivots
+    pieces = F.ceil(F.col("count") / (tile // 2)).cast("int")
+    hot = (
+        counts.withColumn("total", F.sum("count").over(whole))
+        .where(F.col("total") > tile)
+        .select("grp", "cell", "core", pieces.alias("pieces"))
+        .withColumn("chunks", F.sum("pieces").over(whole).cast("int"))
+        .withColumn("first", (F.sum("pieces").over(whole.orderBy("core")) - F.col("pieces")).cast("int"))
+    )
+    hot = stored(hot, "hot")
+    if hot.count() <= SMALL_TABLE:
+        hot = F.broadcast(hot)
+    elsewhere = "filter(sequence(0, chunks - 1), o -> core < 0 or o < first or o >= first + pieces)"
+    return (
+        cells.join(hot, ["grp", "cell", "core"], "left")
+        .withColumn("mine", F.expr("if(chunks is null, 0, first + cast(pmod(xxhash64(unit), pieces) as int))"))
+        .withColumn("other", F.explode(F.expr(f"if(chunks is null, array(0), {elsewhere})")))
+        .select("grp", "cell", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "mine", "core", "guest", "node", "weight", "unit")
+    )
+
+
+def _sample(classes: DataFrame) -> tuple[dict[str, np.ndarray], float]:
+    """(vectors by group, rows that each stands for) of the smallest hashes, bounded in rows and bytes."""
+    n, longest = classes.agg(F.count("*"), F.max(F.octet_length("unit"))).first()
+    if not n:
+        return {}, 1.0
+    rows = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // longest))
+    found = classes.select("grp", "unit").orderBy(F.xxhash64("unit"), "unit", "grp").limit(rows).collect()
+    by_group: dict[str, list[bytes]] = {}
+    for r in found:
+        by_group.setdefault(r["grp"], []).append(r["unit"])
+    return {g: np.frombuffer(b"".join(u)).reshape(len(u), -1) for g, u in by_group.items()}, n / len(found)
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(id, n_links, component_id): one row per row of vectors.
 
     Vectors are compared when their labels are equal, not null, and their
     dimensions are equal. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows without id or label, link with nothing:
-    n_links 0, component_id their id. Repeated rows are vectors of their own.
+    n_links 0, component_id their id. Repeated rows are vectors of their own;
+    different vectors under one id count their links together. A cosine of exactly the threshold links. Other columns don't matter, whatever
+    their names; an empty table gives an empty one.
     """
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     spark = vectors.sparkSession
@@ -184,29 +387,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     able = F.col("unit").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull()
     name = F.unhex(F.md5(F.concat(F.encode("label", "UTF-8"), F.lit(b"|"), F.col("unit"))))
     marked = stored(marked.withColumn("class", F.when(able, name)), "units")
-    classes = stored(marked.where(F.col("class").isNotNull()).groupBy("class", "label", "unit").agg(F.min("id").alias("node"), F.count("*").alias("weight")), "classes")
-
-    sample = classes.select("unit").where(F.col("unit").isNotNull()).orderBy(F.xxhash64("unit")).limit(SAMPLE_ROWS).collect()
-    if not sample:
-        return marked.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    sizes = [len(r["unit"]) for r in sample]
-    usual = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    pivots = choose_pivots(np.frombuffer(b"".join(r["unit"] for r in sample if len(r["unit"]) == usual)).reshape(-1, usual // 8), radius)
-    shared = spark.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
-    cells = classes.select("label", "node", "weight", "unit").mapInArrow(partial(_cells, pivots=shared, radius=radius), "grp string, cell int, home boolean, node long, weight long, unit binary")
-
-    hot = cut(cells.groupBy("grp", "cell").count().where(F.col("count") > tile).select("grp", "cell", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("chunks")))
-    if hot.count() <= SMALL_TABLE:
-        hot = F.broadcast(hot)
-    tiled = (
-        cells.join(hot, ["grp", "cell"], "left")
-        .withColumn("mine", F.when(F.col("chunks").isNull(), 0).otherwise(F.expr("cast(pmod(xxhash64(unit), chunks) as int)")))
-        .withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        .select("grp", "cell", F.least("mine", "other").alias("t1"), F.greatest("mine", "other").alias("t2"), "mine", "home", "node", "weight", "unit")
-    )
-    placed = tiled.repartition(shuffle_partitions(spark), "grp", "cell", "t1", "t2").sortWithinPartitions("grp", "cell", "t1", "t2")
+    group = F.concat_ws(":", F.octet_length("unit").cast("string"), "label").alias("grp")
+    distinct = marked.where(F.col("class").isNotNull()).groupBy("class", "label", "unit").agg(F.min("id").alias("node"), F.count("*").alias("weight"))
+    classes = stored(distinct.select("class", group, "node", "weight", "unit"), "classes")
+
+    trees = grow_all(*_sample(classes), radius)
+    shared = spark.sparkContext.broadcast(trees)  # at most PIVOTS vectors
+    cells = classes.select("grp", "node", "weight", "unit").mapInArrow(partial(_cells, trees=shared, radius=radius), _CELLS)
+    placed = _tiled(cells, tile).repartition(shuffle_partitions(spark), "grp", "cell", "t1", "t2").sortWithinPartitions("grp", "cell", "t1", "t2")
     found = stored(placed.mapInArrow(partial(_join_tiles, threshold=threshold), "node long, links long, root long"), "links")
 
+    # rows of one core are linked, by the triangle inequality; a core has at most one row per vector
+    in_core = cells.where(F.col("core") >= 0).select("grp", "core", "node", "weight", F.xxhash64("unit")).distinct()
+    cores = in_core.groupBy("grp", "core").agg(F.min("node").alias("root"), F.sum("weight").alias("total"))
+    by_core = stored(in_core.join(F.broadcast(cores), ["grp", "core"]).select("node", (F.col("total") - F.col("weight")).alias("links"), "root"), "cores")
+    found = found.unionAll(by_core)
+
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = (
@@ -215,6 +411,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         .join(roots, "node", "left")
         .select("class", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("root", "node").alias("root"))
     )
-    known = marked.where(F.col("class").isNotNull()).select("id", "class").join(cut(named), "class")
+    named = stored(named, "named")
+    discard(classes)
+    known = marked.where(F.col("class").isNotNull()).select("id", "class").join(named, "class")
     alone = marked.where(F.col("class").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return known.select("id", F.col("links").cast("long").alias("n_links"), F.col("root").alias("component_id")).unionAll(alone)
