@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import part_sql, parts_sql
+
 WINDOW = 48
 THRESHOLD = 0.6
 _CHUNK = 256  # matches folded at once, so that a text of very many matches stays near linear
@@ -101,8 +103,11 @@ def _found(kind: Kind, text: str) -> str:
 def with_spans(docs: DataFrame, text_col: str = "text", into: str = "pii_spans") -> DataFrame:
     """docs with a column array<struct<kind, start, end, score>>, by kind as listed, then start.
 
-    Null texts have no spans. Every row is handled by itself, so ids may be
-    null or repeat; the other columns are not touched.
+    Null and empty texts have no spans. Every row is handled by itself, so ids
+    may be null or repeat, rows too; the other columns are not touched, whatever
+    their names. Spans of one kind never overlap; spans of different kinds may,
+    and where they start alike the kind listed first comes first. An empty table
+    gives an empty one.
     """
     name = "_pii_text"
     while name in docs.columns:
@@ -124,16 +129,31 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def _pieces(spans: str) -> str:
+    """SQL: of spans sorted by start, {at, out}: each run of overlapping spans as the stretch before it and its first kind.
+
+    at is the end of the last run. Folded in chunks, so that many spans stay near linear.
+    """
+    kind = "array<struct<from: int, n: int, kind: string>>"
+    one = "if(s.start >= a.at, named_struct('at', s.end, 'out', concat(a.out, array(named_struct('from', a.at, 'n', s.start - a.at, 'kind', s.kind)))), named_struct('at', greatest(a.at, s.end), 'out', a.out))"
+    chunk = f"aggregate(slice({spans}, c * {_CHUNK} + 1, {_CHUNK}), named_struct('at', acc.at, 'out', cast(array() as {kind})), (a, s) -> {one})"
+    whole = f"aggregate(array({chunk}), acc, (b, x) -> named_struct('at', x.at, 'out', concat(b.out, x.out)))"
+    return f"aggregate(sequence(0, cast((size({spans}) - 1) div {_CHUNK} as int)), named_struct('at', 0, 'out', cast(array() as {kind})), (acc, c) -> {whole})"
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span of the text replaced by [KIND]; of spans that overlap the earlier, then longer, one counts. Null stays null."""
-    name, order = "_pii_spans", ["start", "end", "kind"]
-    while name in docs.columns:
-        name += "_"
-    marked = with_spans(docs, text_col, name)
-    marked = marked.withColumn(name, F.expr(f"transform(array_sort(transform({name}, s -> named_struct('start', s.start, 'last', -s.end, 'kind', s.kind))), s -> named_struct('start', s.start, 'end', -s.last, 'kind', s.kind))"))
-    empty = "cast(array() as array<struct<start: int, end: int, kind: string>>)"
-    marked = marked.withColumn(name, F.expr(f"aggregate({name}, named_struct('at', 0, 'kept', {empty}), (a, s) -> if(s.start >= a.at, named_struct('at', s.end, 'kept', concat(a.kept, array(s))), a), a -> a.kept)"))
-    text = f"`{text_col}`"
-    pieces = f"""concat(array_join(transform({name}, (s, i) -> concat(substring({text}, if(i = 0, 0, {name}[i - 1].end) + 1, s.start - if(i = 0, 0, {name}[i - 1].end)), '[', upper(s.kind), ']')), ''),
-      substring({text}, {name}[size({name}) - 1].end + 1))"""
-    return marked.withColumn(text_col, F.when(F.size(name) > 0, F.expr(pieces)).otherwise(F.col(text_col))).select(*docs.columns)
+    """docs with each span of the text replaced by [KIND]; null stays null, every other column is left.
+
+    Spans that overlap are covered together, to the end of the last, under the
+    kind of the first (the earliest, then longest): no character of any span stays.
+    """
+    spans, parts, pieces = "_pii_spans", "_pii_parts", "_pii_pieces"
+    while {spans, parts, pieces} & set(docs.columns):
+        spans, parts, pieces = spans + "_", parts + "_", pieces + "_"
+    marked = with_spans(docs, text_col, spans)
+    by_start = f"transform(array_sort(transform({spans}, s -> named_struct('start', s.start, 'last', -s.end, 'kind', s.kind))), s -> named_struct('start', s.start, 'end', -s.last, 'kind', s.kind))"
+    marked = marked.withColumn(spans, F.expr(by_start)).withColumn(parts, F.expr(f"if(size({spans}) > 0, {parts_sql(f'`{text_col}`')}, null)"))
+    marked = marked.withColumn(pieces, F.expr(f"if(size({spans}) > 0, {_pieces(spans)}, null)"))
+    before = f"array_join(transform({pieces}.out, p -> concat({part_sql(parts, 'p.`from`', 'p.n')}, '[', upper(p.kind), ']')), '')"
+    rest = part_sql(parts, f"{pieces}.at", f"(length(`{text_col}`) - {pieces}.at)")
+    return marked.withColumn(text_col, F.when(F.size(spans) > 0, F.expr(f"concat({before}, {rest})")).otherwise(F.col(text_col))).select(*[f"`{c}`" for c in docs.columns])
