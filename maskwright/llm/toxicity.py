@@ -1,10 +1,12 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features: which words, and which beginnings of words, a text has (hashed).
-Grades: 0 for clean rows; toxic rows are graded 1 to 3 by how many different
-marks of toxicity they carry, cut at the terciles. One weight vector is
-shared by the three ordered thresholds: P(grade > k) = sigmoid(w.x - t_k).
-The result is the expected grade.
+Grades: 0 for clean rows; toxic rows are graded 1 to 3 by how many marks of
+toxicity they carry, cut at the terciles. The marks that grade a row are
+chosen on the other folds of the sample, never on the row itself, so grades
+don't restate what the model was given. One weight vector is shared by the
+three ordered thresholds: P(grade > k) = sigmoid(w.x - t_k). The result is
+the expected grade.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_of
-from .common import HELD_OUT, bounded_sample, fold
+from .common import SAMPLE_BYTES, labelled_sample, sampled_texts
 
 SAMPLE_ROWS = 6000
 FEATURES = 1500
@@ -31,6 +33,7 @@ PREFIXES = range(3, 9)
 LEAST_ROWS = 5
 LEAST_ODDS = 1.5  # log odds ratio: words that merely come with long texts don't count
 GRADES = 4
+FOLDS = 4  # of the sample, for the marks that grade
 RIDGE = 1e-4
 REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,8 +100,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margins[:, None] - self.thresholds, -40, 40)))
 
 
-def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, width: int, grade: np.ndarray, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Cumulative-link logistic fit by Adam; rows and cols are the places of the ones."""
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, width: int, grade: np.ndarray, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Cumulative-link logistic fit by Adam; rows and cols are the places of the ones.
+
+    A grade that no row has leaves the two thresholds about it as close as they get.
+    """
     over = (grade[:, None] > np.arange(GRADES - 1)).astype(float)
     base = np.log((n - over.sum(0) + 1) / (over.sum(0) + 1))
     w, first, gaps = np.zeros(width), base[0], np.log(np.maximum(np.diff(base), 0.05))
@@ -118,6 +124,38 @@ def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, width: int, grade:
     return w, np.concatenate(([first], first + np.cumsum(np.exp(gaps))))
 
 
+def _evidence(own: list[np.ndarray], y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Per bucket how surely it goes with toxic rows: log odds ratio over its standard error, of these rows."""
+    seen = np.zeros((2, 1 << BUCKET_BITS))
+    for i in rows:
+        seen[y[i], own[i]] += 1
+    bad, good, toxic = seen[1], seen[0], y[rows].sum()
+    clean = len(rows) - toxic
+    odds = np.log((bad + 0.5) / (toxic - bad + 0.5)) - np.log((good + 0.5) / (clean - good + 0.5))
+    spread = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5) + 1 / (toxic - bad + 0.5) + 1 / (clean - good + 0.5))
+    return np.where((bad + good >= LEAST_ROWS) & (np.abs(odds) >= LEAST_ODDS), odds / spread, 0)
+
+
+def grades(own: list[np.ndarray], y: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """0 for clean rows, 1 to 3 for toxic ones by the marks they carry, chosen on the rows of the other folds.
+
+    Rows with equal counts get equal grades: a tie lies below the cut, and
+    where terciles coincide the grade between them stays empty.
+    """
+    n = len(y)
+    place = np.empty(n, np.int64)
+    for label in (0, 1):  # the folds hold both classes alike
+        rows = np.flatnonzero(y == label)
+        place[rows] = np.arange(len(rows)) % folds
+    carried = np.zeros(n, np.int64)
+    for k in range(folds):
+        marks = _evidence(own, y, np.flatnonzero(place != k)) > 4
+        for i in np.flatnonzero((place == k) & (y == 1)):
+            carried[i] = marks[own[i]].sum()
+    low, high = np.quantile(carried[y == 1], [1 / 3, 2 / 3])
+    return np.where(y == 1, 1 + (carried > low) + (carried > high), 0)
+
+
 def fit_texts(texts: list[str], toxic: list[int], features: int = FEATURES) -> Model:
     """Without rows of both classes every text is clean."""
     y = np.array(toxic, int)
@@ -132,41 +170,29 @@ def fit_texts(texts: list[str], toxic: list[int], features: int = FEATURES) -> M
             if w not in known:
                 known[w] = word_features(w)
         own.append(np.unique(np.fromiter((f for w in words for f in known[w]), np.int64)))
-    seen = np.zeros((2, 1 << BUCKET_BITS))
-    for f, label in zip(own, y, strict=True):
-        seen[label, f] += 1
-    bad, good = seen[1], seen[0]
-    odds = np.log((bad + 0.5) / (y.sum() - bad + 0.5)) - np.log((good + 0.5) / (n - y.sum() - good + 0.5))
-    spread = np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5) + 1 / (y.sum() - bad + 0.5) + 1 / (n - y.sum() - good + 0.5))
-    z = np.where((bad + good >= LEAST_ROWS) & (np.abs(odds) >= LEAST_ODDS), odds / spread, 0)
+    z = _evidence(own, y, np.arange(n))
     active = np.sort(np.argsort(-np.abs(z), kind="stable")[:features])
     active = active[np.abs(z[active]) > 2]
     if not len(active):
         return Model()
-    marks = np.zeros(1 << BUCKET_BITS, bool)
-    marks[active] = z[active] > 4
-    carried = np.array([marks[f].sum() for f in own])
-    cuts = np.quantile(carried[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + (carried > cuts[0]) + (carried > cuts[1]), 0)
     at = np.full(1 << BUCKET_BITS, -1)
     at[active] = np.arange(len(active))
     cols = [c[c >= 0] for c in (at[f] for f in own)]
     rows = np.repeat(np.arange(n), [len(c) for c in cols])
-    w, thresholds = _fit_ordinal(rows, np.concatenate(cols), n, len(active), grade)
+    w, thresholds = fit_ordinal(rows, np.concatenate(cols), n, len(active), grades(own, y))
     return Model(active, w, thresholds)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most sample_rows labelled documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most sample_rows labelled documents and sample_bytes of text outside the held-out fold.
 
-    Repeated labels of a document count as their maximum; null labels, ids and texts don't count.
+    Repeated labels of a document count as their maximum, and of rows that share
+    an id the smallest text; null labels, ids and texts don't count. Without
+    rows of both classes, or from empty tables, every text is clean.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != HELD_OUT))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    chosen = known.join(F.broadcast(bounded_sample(known, "_id", sample_rows)), F.col("_id") == F.col("_sample_id")).select("_id", "_label")
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    found = sorted((r["_id"], r["_label"], r["_text"]) for r in rows.limit(2 * sample_rows).collect())
-    return fit_texts([r[2] for r in found], [r[1] for r in found])
+    chosen = labelled_sample(docs, labels, id_col, label_col, sample_rows)
+    found = sampled_texts(docs, chosen, id_col, text_col, sample_bytes)
+    return fit_texts([r[2] for r in found], [int(r[1] > 0) for r in found])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -184,7 +210,10 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, grade): expected grade, and the highest grade at least as likely as not.
 
-    One row per row of docs; null and empty texts have the features of no words.
+    One row per row of docs, whatever ids are null or repeat and whatever other
+    columns there are; null and empty texts have the features of no words, long
+    ones are read whole, in parts. A probability of exactly one half counts as
+    reached. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
