@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD_OUT, bounded_sample, fold
+from .common import labelled_sample
 
 SAMPLE_ROWS = 8000
 TREES = 24
@@ -172,18 +172,25 @@ def fit_rows(stats: dict[str, np.ndarray], label: np.ndarray, trees: int = TREES
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most sample_rows labelled documents outside the held-out fold; only numbers reach the driver.
 
-    Repeated labels of a document count as their maximum; null labels and ids don't count.
+    Repeated labels of a document count as their maximum, and of rows that share
+    an id the smallest text; null labels and ids don't count, null texts are
+    empty. Without rows, or with one class only, the score is the base rate.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != HELD_OUT))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    chosen = known.join(F.broadcast(bounded_sample(known, "_id", sample_rows)), F.col("_id") == F.col("_sample_id")).select("_id", "_label")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    found = with_statistics(rows, "_text", "_stats").select("_label", "_stats.*").limit(2 * sample_rows).toPandas()
+    chosen = labelled_sample(docs, labels, id_col, label_col, sample_rows)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_sample_id"))
+    one = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    found = with_statistics(one, "_text", "_stats").select("_id", "_label", "_stats.*").toPandas().sort_values("_id")
     return fit_rows({k: found[k].to_numpy(float) for k in STATS}, found["_label"].to_numpy(float))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1, higher: label 1 likelier. Null texts score as empty ones; every row is kept."""
+    """docs with a score from 0 to 1, higher: label 1 likelier.
+
+    Null texts score as empty ones; every row is kept, repeated ones and those
+    without id too, and every other column but one named ``into``, which the
+    score replaces. A statistic equal to a rule's bound counts as at most it.
+    An empty table gives an empty one.
+    """
     name = "_quality_stats"
     while name in docs.columns:
         name += "_"
