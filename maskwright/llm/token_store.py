@@ -9,13 +9,15 @@ one ``select`` in the segment.
 
 Elias-Fano: of n ascending values below u, the lowest log2(u/n) bits are
 stored as they are and the rest as a unary bit vector, about 2 + log2(u/n)
-bits a value; a sample of the positions of its ones answers select(i) without
-a table of 64-bit offsets.
+bits a value; a sample of the positions of its ones (32 bits each) answers
+select(i) without a table of 64-bit offsets. Reading a segment asks select for
+the offsets of its documents.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -49,7 +51,7 @@ class EliasFano:
         low_bytes = (self.n * self.low_bits + 7) // 8
         self._low = np.frombuffer(data, np.uint8, low_bytes, at)
         self._high = np.frombuffer(data, np.uint8, high_bytes, at + low_bytes)
-        self._samples = np.frombuffer(data, "<u8", (self.n + _SAMPLE - 1) // _SAMPLE, at + low_bytes + high_bytes)
+        self._samples = np.frombuffer(data, "<u4", (self.n + _SAMPLE - 1) // _SAMPLE, at + low_bytes + high_bytes)
 
     @staticmethod
     def encode(values: np.ndarray) -> bytes:
@@ -62,10 +64,12 @@ class EliasFano:
             bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
             low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        if n and ones[-1] >> 32:
+            raise ValueError("too many values for samples of 32 bits")
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
         high = np.packbits(high, bitorder="little").tobytes()
-        return _EF_HEAD.pack(n, universe, low_bits, len(high)) + low + high + ones[::_SAMPLE].astype("<u8").tobytes()
+        return _EF_HEAD.pack(n, min(universe, (1 << 64) - 1), low_bits, len(high)) + low + high + ones[::_SAMPLE].astype("<u4").tobytes()
 
     def _low_part(self, first: int, count: int) -> np.ndarray:
         if not self.low_bits:
@@ -90,6 +94,19 @@ class EliasFano:
         position = byte * 8 + int(np.flatnonzero(word)[left])
         return (position - i) << self.low_bits | int(self._low_part(i, 1)[0])
 
+    def select_range(self, first: int, last: int) -> np.ndarray:
+        """The values first to last - 1: from each sample on, one look at the bits up to the next."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        found = [np.zeros(0, np.int64)]
+        for k in range(first // _SAMPLE, -(-last // _SAMPLE)):
+            at = int(self._samples[k])
+            end = int(self._samples[k + 1]) if k + 1 < len(self._samples) else 8 * len(self._high)
+            ones = np.flatnonzero(np.unpackbits(self._high[at // 8 : -(-end // 8)], bitorder="little")[at % 8 : at % 8 + end - at]) + at
+            found.append(ones[max(0, first - k * _SAMPLE) : last - k * _SAMPLE])
+        high = np.concatenate(found) - np.arange(first, last)
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low_part(first, last - first)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
         return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low_part(0, self.n)
@@ -121,18 +138,23 @@ class Segment:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_null + [int(g) + self.first_id for g in self.gaps.all().tolist()]
+        return [None] * self.n_null + [int(g) + self.first_id for g in self.gaps.select_range(0, self.gaps.n).tolist()]
 
 
 class LibraryTokenizer:
-    """The tokenizers library on whole texts; the pieces of plain texts are remembered per worker."""
+    """The tokenizers library as loaded, on whole texts; the pieces of plain texts are remembered per worker.
+
+    The library finds its added tokens (such as an end of text) wherever they
+    stand, so a text that holds one goes to it as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -147,7 +169,7 @@ class LibraryTokenizer:
         return ids, np.diff(np.searchsorted(token_ends, piece_ends, "left") + 1, prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(PLAIN.fullmatch(t)) for t in texts]
+        plain = [bool(PLAIN.fullmatch(t)) and not self.added.search(t) for t in texts]
         known = iter(self.known.ids([pieces_of(t, PLAIN_PIECES) for t, p in zip(texts, plain, strict=True) if p]))
         return [next(known) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for t, p in zip(texts, plain, strict=True)]
 
@@ -190,11 +212,15 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
 def write(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Encode every text, append end_id, write the store in ascending id order; returns the store's rows.
 
-    Null texts are empty and so hold only end_id. Null ids come first, equal ids
-    are ordered by text. An empty table gives an empty store.
+    Null texts are empty and so hold only end_id. Null ids come first; equal ids
+    are ordered by the hash of the text, which the shards' ranges take in too, so
+    that many rows of one id or without any are split. Texts of any length are
+    encoded whole; other columns, whatever their names, are left. Rows equal in
+    id and text are all written. An empty table gives an empty store.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    rows = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     return stored(ordered.mapInArrow(partial(_write, path=tokenizer_path, end_id=end_id), _STORE_SCHEMA), "tokens", compression="zstd")
 
 
@@ -202,7 +228,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, before, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
             segment = Segment(data.as_py())
-            ends = segment.ends.all().astype(np.int64)
+            ends = segment.ends.select_range(0, segment.n_docs).astype(np.int64)
             starts = np.concatenate(([0], ends[:-1]))
             raw = segment.ids.astype("<u4").tobytes()
             ids = pa.array([raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
