@@ -1,34 +1,47 @@
-"""Stupid-backoff language-model scores of every document under counts of the whole corpus.
+"""Stupid-backoff language-model scores of every document under counts of all other documents.
 
 The relations: exploded n-grams (block of documents, n-gram, occurrences in
 the block), partitioned by hash; count tables (n-gram, total), one per hash
 partition, grouped from them; their join on the n-gram; and the sum per
-document. The n-grams of a block that share a hash partition travel as one
-row of packed columns, sorted by their 64-bit hash, which is what keeps the
-shuffle near six bytes an n-gram. They are distinct within the block, so
-a very frequent n-gram adds one entry a block to its partition, no more.
+document. Rows are packed: the n-grams of a block that share a hash partition
+travel as one row, their sorted 64-bit hashes as an Elias-Fano sequence (about
+44 bits each) and their occurrences compressed. Plain rows would take three
+times as much for the hashes alone. N-grams are distinct within their block,
+so a very frequent one adds one entry a block to its partition, no more.
+
+Bounds: a block holds ``BLOCK_BYTES`` of text (or one longer text), a hash
+partition ``PART_ENTRIES`` entries at most on average, as the number of
+partitions follows the number of words. Blocks are stored before anything is
+counted, so a lost task finds the same blocks again.
 
 A token w after the context h scores count(hw) / count(h) if hw occurs at least
 ``min_count`` times, else ``alpha`` times the score of w after the context
-shortened by one; the score of w without context is count(w) / N.
+shortened by one; the score of w without context is count(w) / N. Counts leave
+the document's own occurrences out, else no n-gram would ever be unseen; a word
+that no other document has counts once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import discard, shuffle_partitions, stored
+from .token_store import EliasFano
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1
 ALPHA = 0.4
-BLOCK_DOCS = 512
+BLOCK_BYTES = 28 << 20
+PART_ENTRIES = 4_000_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,76 +62,177 @@ def ngram_keys(text: bytes | None, order: int) -> list[np.ndarray]:
     return out
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as gaps: the lowest six bytes of each, then the two (mostly empty) high ones."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return gaps[:, :6].tobytes() + gaps[:, 6].tobytes() + gaps[:, 7].tobytes()
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Byte planes, lowest first, compressed: mostly small numbers."""
+    return zstandard.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
 
 
-def _unpack_keys(data: bytes) -> np.ndarray:
-    n = len(data) // 8
-    raw = np.frombuffer(data, np.uint8)
-    gaps = np.empty((n, 8), np.uint8)
-    gaps[:, :6] = raw[: 6 * n].reshape(n, 6)
-    gaps[:, 6], gaps[:, 7] = raw[6 * n : 7 * n], raw[7 * n :]
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+def _unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
-def _pack_counts(counts: np.ndarray) -> bytes:
-    return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+# ---- blocks ----
 
+_BLOCKS = "block long, n_words long, ids binary, texts binary"
+_BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("ids", pa.binary()), ("texts", pa.binary())])
 
-def _unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+def _packed_texts(texts: list[bytes | None]) -> bytes:
+    sizes = np.array([-1 if t is None else len(t) for t in texts], "<i8").tobytes()
+    return zstandard.compress(len(texts).to_bytes(8, "little") + sizes + b"".join(t or b"" for t in texts), 4)
+
+
+def _unpacked_texts(data: bytes) -> list[bytes | None]:
+    raw = zstandard.decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    sizes = np.frombuffer(raw, "<i8", n, 8)
+    ends = 8 + 8 * n + np.cumsum(np.maximum(sizes, 0))
+    return [None if s < 0 else raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-_PACKED = "block int, part int, k int, keys binary, counts binary"
-_PACKED_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+def _ids_bytes(ids: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
+        out.write_batch(pa.record_batch([ids], ["id"]))
+    return sink.getvalue().to_pybytes()
 
 
-def _block_keys(table: pa.Table, order: int) -> list[list[np.ndarray]]:
+def _ids(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column("id").combine_chunks()
+
+
+def _make_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    ids: list[pa.Array] = []
+    texts: list[bytes | None] = []
+    size = 0
+
+    def block() -> pa.RecordBatch:
+        whole = pa.concat_arrays(ids)
+        words = sum(len(words_of(t)) for t in texts)
+        cols = [[number], [words], [_ids_bytes(whole)], [_packed_texts(texts)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _BLOCKS_ARROW, strict=True)], schema=_BLOCKS_ARROW)
+
+    for batch in batches:
+        first = 0
+        for i, x in enumerate(batch.column(1)):
+            text = x.as_py()
+            own = len(text or b"") + 16
+            if texts and size + own > block_bytes:
+                ids.append(batch.column(0).slice(first, i - first))
+                yield block()
+                number, ids, texts, size, first = number + 1, [], [], 0, i
+            texts.append(text)
+            size += own
+        ids.append(batch.column(0).slice(first))
+    if texts:
+        yield block()
+
+
+def _blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """The rows in blocks of bounded size, stored; whatever ids and texts repeat."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _make_blocks(batches, block_bytes)
+
+    return stored(rows.mapInArrow(made, _BLOCKS), "blocks", compression="none")
+
+
+def _block_keys(texts: list[bytes | None], order: int) -> list[list[np.ndarray]]:
     """Per k the keys of each document of a block."""
-    each = [ngram_keys(x.as_py(), order) for x in table.column("text")]
+    each = [ngram_keys(x, order) for x in texts]
     return [[e[k] for e in each] for k in range(order)]
 
 
-def _explode(table: pa.Table, order: int, parts: int) -> pa.Table:
-    block = table.column("block")[0].as_py()
-    rows: list[tuple] = []
-    for k, docs in enumerate(_block_keys(table, order), 1):
-        keys, counts = np.unique(np.concatenate(docs), return_counts=True)
-        part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        ends = np.searchsorted(part, np.arange(parts + 1))
-        for p in np.unique(part).tolist():
-            own = slice(ends[p], ends[p + 1])
-            rows.append((block, p, k, _pack_keys(keys[own]), _pack_counts(counts[own])))
-    columns = zip(*rows, strict=True) if rows else [[]] * 5
-    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
+# ---- exploded n-grams, by hash partition ----
+
+_PACKED = "block long, part int, k int, keys binary, counts binary"
+_PACKED_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("k", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _first_key(part: int, parts: int) -> np.uint64:
+    return np.uint64(-(-(part << 32) // parts) << 32)
+
+
+def _explode_blocks(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks -> a row for each k and hash partition."""
+    for batch in batches:
+        for number, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
+            each = _block_keys(_unpacked_texts(texts.as_py()), order)
+            for k in range(1, order + 1):
+                keys, counts = np.unique(np.concatenate(each[k - 1]), return_counts=True)
+                each[k - 1] = []
+                ends = np.searchsorted(_parts_of(keys, parts), np.arange(parts + 1))
+                rows: list[tuple] = []
+                for p in np.flatnonzero(np.diff(ends)).tolist():
+                    own = slice(ends[p], ends[p + 1])
+                    rows.append((number, p, k, EliasFano.encode(keys[own] - _first_key(p, parts)), _pack_counts(counts[own])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
+
+
+def _exploded(blocked: DataFrame, order: int, parts: int) -> DataFrame:
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _explode_blocks(batches, order, parts)
+
+    return blocked.select("block", "texts").mapInArrow(exploded, _PACKED)
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """One hash partition: its count table, joined back to the rows that asked."""
+def _parts_for(blocked: DataFrame, order: int) -> int:
+    words = blocked.agg(F.sum("n_words")).first()[0] or 0
+    return max(shuffle_partitions(blocked.sparkSession), math.ceil(order * words / PART_ENTRIES))
+
+
+# ---- count tables ----
+
+
+def _grouped(table: pa.Table) -> Iterator[tuple[int, np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one hash partition, per k: (k, rows, entries of each row, distinct keys, the key of each entry, totals)."""
     ks = table.column("k").to_numpy()
-    out: list[bytes] = [b""] * len(ks)
-    for k in np.unique(ks):
+    for k in np.unique(ks).tolist():
         at = np.flatnonzero(ks == k)
-        keys = [_unpack_keys(table.column("keys")[int(i)].as_py()) for i in at]
+        keys = [EliasFano(table.column("keys")[int(i)].as_py()).all() for i in at]
         counts = np.concatenate([_unpack_counts(table.column("counts")[int(i)].as_py()) for i in at])
-        _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.zeros(int(where.max()) + 1, np.int64)
-        np.add.at(totals, where, counts)
-        answers = np.split(totals[where], np.cumsum([len(x) for x in keys])[:-1])
-        for i, answer in zip(at, answers, strict=True):
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(where, counts, len(distinct)).astype(np.int64)
+        yield k, at, [len(x) for x in keys], distinct, where, totals
+
+
+def _join_counts(table: pa.Table) -> pa.Table:
+    """The count table of one hash partition, joined back to the rows that asked."""
+    out: list[bytes] = [b""] * table.num_rows
+    for _, at, sizes, _, where, totals in _grouped(table):
+        for i, answer in zip(at, np.split(totals[where], np.cumsum(sizes)[:-1]), strict=True):
             out[i] = _pack_counts(answer)
-    nothing = pa.array([None] * len(ks), pa.binary())
+    nothing = pa.array([None] * table.num_rows, pa.binary())
     return pa.Table.from_arrays([table.column("block"), table.column("part"), table.column("k"), nothing, pa.array(out, pa.binary())], schema=_PACKED_ARROW)
 
 
+def ngram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The count tables: (k, key, total), key the 64-bit hash of an n-gram of k words."""
+    blocked = _blocked(docs, id_col, text_col, block_bytes)
+    parts = _parts_for(blocked, order)
+
+    def counted(table: pa.Table) -> pa.Table:
+        first = _first_key(table.column("part")[0].as_py(), parts)
+        out = [pa.table({"k": pa.array(np.full(len(keys), k, np.int32)), "key": pa.array((keys + first).view(np.int64)), "total": pa.array(totals)}) for k, _, _, keys, _, totals in _grouped(table)]
+        return pa.concat_tables(out)
+
+    return _exploded(blocked, order, parts).groupBy("part").applyInArrow(counted, "k int, key long, total long")
+
+
+# ---- scores ----
+
 _SCORED_FIELDS = [("n_tokens", pa.int64()), ("n_backed_off", pa.int64()), ("n_bare", pa.int64()), ("log_sum", pa.float64())]
 
 
 def score_tokens(counts: list[np.ndarray], min_count: int, alpha: float) -> tuple[int, int, float]:
-    """Of one document, counts[k-1][i] being the total of its i-th n-gram of k words.
+    """Of one document, counts[k-1][i] being the count of its i-th n-gram of k words.
 
     Returns the tokens scored below the order their position allows, the tokens
     scored by count(w) alone (still to be divided by N), and the sum of logarithms.
@@ -127,10 +241,10 @@ def score_tokens(counts: list[np.ndarray], min_count: int, alpha: float) -> tupl
     if not n:
         return 0, 0, 0.0
     level = np.ones(n, np.int64)
-    value = np.log(counts[0])
+    value = np.log(np.maximum(1, counts[0]))
     for k in range(2, len(counts) + 1):
         own = counts[k - 1]
-        good = np.flatnonzero(own >= min_count)
+        good = np.flatnonzero(own >= max(1, min_count))
         level[good + k - 1] = k
         value[good + k - 1] = np.log(own[good]) - np.log(counts[k - 2][good])
     allowed = np.minimum(np.arange(n) + 1, len(counts))
@@ -138,71 +252,59 @@ def score_tokens(counts: list[np.ndarray], min_count: int, alpha: float) -> tupl
     return int(np.count_nonzero(backs)), int(np.count_nonzero(level == 1)), float(value.sum() + math.log(alpha) * backs.sum())
 
 
-def _score(docs: pa.Table, answers: pa.Table, order: int, min_count: int, alpha: float) -> pa.Table:
-    totals: dict[tuple[int, int], bytes] = {(k, p): c for k, p, c in zip(*(answers.column(x).to_pylist() for x in ("k", "part", "counts")), strict=True)}
-    by_order = []
-    for k, keys in enumerate(_block_keys(docs, order), 1):
-        whole = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        _, where = np.unique(whole, return_inverse=True)
-        mine = [_unpack_counts(totals[x]) for x in sorted(x for x in totals if x[0] == k)]
-        found = np.concatenate(mine)[where] if len(where) else np.zeros(0, np.int64)
-        by_order.append(np.split(found, np.cumsum([len(x) for x in keys])[:-1]) if keys else [])
-    scored = [score_tokens([by_order[k][i] for k in range(order)], min_count, alpha) for i in range(docs.num_rows)]
-    tokens = [len(x) for x in by_order[0]]
-    columns = [docs.column("id"), *(pa.array(c, t) for c, (_, t) in zip((tokens, *zip(*scored, strict=True)) if scored else [[]] * 4, _SCORED_FIELDS, strict=True))]
+def _totals_of(keys: np.ndarray, answers: list[tuple[int, bytes]]) -> np.ndarray:
+    """The total of each of a block's n-grams of one k, from the answers of its hash partitions in order."""
+    _, where = np.unique(keys, return_inverse=True)
+    totals = [_unpack_counts(c) for _, c in sorted(answers)]
+    return np.concatenate(totals)[where] if len(where) else np.zeros(0, np.int64)
+
+
+def _score(blocks: pa.Table, answers: pa.Table, order: int, min_count: int, alpha: float, others: bool) -> pa.Table:
+    ids, texts = _ids(blocks.column("ids")[0].as_py()), _unpacked_texts(blocks.column("texts")[0].as_py())
+    got: dict[int, list[tuple[int, bytes]]] = {k: [] for k in range(1, order + 1)}
+    for k, p, c in zip(*(answers.column(x).to_pylist() for x in ("k", "part", "counts")), strict=True):
+        got[k].append((p, c))
+    each = _block_keys(texts, order)
+    found = [_totals_of(np.concatenate(each[k]), got[k + 1]) for k in range(order)]
+    at, scored = [0] * order, []
+    for i in range(len(texts)):
+        counts = []
+        for k in range(order):
+            keys = each[k][i]
+            total = found[k][at[k] : at[k] + len(keys)]
+            at[k] += len(keys)
+            if others:
+                _, where, own = np.unique(keys, return_inverse=True, return_counts=True)
+                total = total - own[where]
+            counts.append(total)
+        scored.append((len(each[0][i]), *score_tokens(counts, min_count, alpha)))
+    columns = [ids, *(pa.array(c, t) for c, (_, t) in zip(zip(*scored, strict=True) if scored else [[]] * 4, _SCORED_FIELDS, strict=True))]
     return pa.Table.from_arrays(columns, names=["id", *(n for n, _ in _SCORED_FIELDS)])
 
 
-def _blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, id, text) with rows dealt evenly, whatever ids and texts repeat."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = max(1, math.ceil(docs.count() / BLOCK_DOCS))
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    return rows.select(block.alias("block"), "id", "text").repartition(shuffle_partitions(docs.sparkSession), "block")
-
-
-def _exploded(blocked: DataFrame, order: int) -> DataFrame:
-    parts = shuffle_partitions(blocked.sparkSession)
-
-    def exploded(table: pa.Table) -> pa.Table:
-        return _explode(table, order, parts)
-
-    return blocked.groupBy("block").applyInArrow(exploded, _PACKED)
-
-
-def _table(table: pa.Table) -> pa.Table:
-    ks = table.column("k").to_numpy()
-    out = []
-    for k in np.unique(ks).tolist():
-        at = np.flatnonzero(ks == k)
-        keys = np.concatenate([_unpack_keys(table.column("keys")[int(i)].as_py()) for i in at])
-        counts = np.concatenate([_unpack_counts(table.column("counts")[int(i)].as_py()) for i in at])
-        distinct, where = np.unique(keys, return_inverse=True)
-        totals = np.zeros(len(distinct), np.int64)
-        np.add.at(totals, where, counts)
-        out.append(pa.table({"k": pa.array(np.full(len(distinct), k, np.int32)), "key": pa.array(distinct.view(np.int64)), "total": pa.array(totals)}))
-    return pa.concat_tables(out)
-
-
-def ngram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """The count tables: (k, key, total), key the 64-bit hash of an n-gram of k words."""
-    return _exploded(_blocked(docs, id_col, text_col), order).groupBy("part").applyInArrow(_table, "k int, key long, total long")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA) -> DataFrame:
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, others: bool = True, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """(id, n_tokens, n_backed_off, log_score): one row per row of docs, natural logarithms.
 
-    Null texts and texts without words have no tokens and log_score 0. Repeated
-    rows count as often as they occur. An empty table gives an empty result.
+    others: a document is scored under the counts of all other rows; else its
+    own count too. N is the number of words counted, at least 1. Null texts and
+    texts without words have no tokens and log_score 0. Repeated rows are rows
+    of their own and so count for each other; ids may be null. Texts are scored
+    whole, of any length. Other columns don't matter. An empty table gives an
+    empty result.
     """
-    blocked = _blocked(docs, id_col, text_col)
-    answers = _exploded(blocked, order).groupBy("part").applyInArrow(_count, _PACKED).drop("keys")
-    kind = dict(blocked.dtypes)["id"]
+    kind = docs.schema[id_col].dataType.simpleString()
+    blocked = _blocked(docs, id_col, text_col, block_bytes)
+    parts = _parts_for(blocked, order)
+    answers = _exploded(blocked, order, parts).groupBy("part").applyInArrow(_join_counts, _PACKED).drop("keys")
     schema = f"id {kind}, n_tokens long, n_backed_off long, n_bare long, log_sum double"
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score(left, right, order, min_count, alpha)
+        return _score(left, right, order, min_count, alpha, others)
 
-    found = stored(blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema), "scores")
+    found = stored(blocked.select("block", "ids", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema), "scores")
+    discard(blocked)
     tokens = found.agg(F.sum("n_tokens")).first()[0] or 1
-    return found.select("id", "n_tokens", "n_backed_off", (F.col("log_sum") - F.col("n_bare") * F.lit(math.log(tokens))).alias("log_score"))
+    size = F.greatest(F.lit(1), F.lit(tokens) - F.col("n_tokens")) if others else F.lit(tokens)
+    return found.select("id", "n_tokens", "n_backed_off", (F.col("log_sum") - F.col("n_bare") * F.log(size.cast("double"))).alias("log_score"))

@@ -102,39 +102,35 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lm_scores(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
-    found = lm.score(table(spark, sf_dir, "documents"), order=order)
+    found = lm.score(table(spark, sf_dir, "documents"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "n_backed_off", F.round("log_score", 4).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
 
 
-def op9_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lm_scores(spark, sf_dir, 3)
-
-
-def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With bigrams only, as OP9_SQL has it."""
-    return _lm_scores(spark, sf_dir, 2)
-
-
-OP9_ORDER3_SQL = r"""
+OP9_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents
 ), tokens AS (
   SELECT doc_id, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS b1, CASE WHEN i > 2 THEN w[i - 2] END AS b2 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)
-), one AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
-pairs AS (SELECT b1, word, count(*) AS n FROM tokens WHERE b1 IS NOT NULL GROUP BY b1, word),
-three AS (SELECT b2, b1, word, count(*) AS n FROM tokens WHERE b2 IS NOT NULL GROUP BY b2, b1, word HAVING count(*) >= 2),
-size AS (SELECT count(*)::DOUBLE AS n FROM tokens),
+), own1 AS (SELECT doc_id, word, count(*) AS n FROM tokens GROUP BY ALL), one AS (SELECT word, sum(n) AS n FROM own1 GROUP BY word),
+own2 AS (SELECT doc_id, b1, word, count(*) AS n FROM tokens WHERE b1 IS NOT NULL GROUP BY ALL), two AS (SELECT b1, word, sum(n) AS n FROM own2 GROUP BY ALL),
+own3 AS (SELECT doc_id, b2, b1, word, count(*) AS n FROM tokens WHERE b2 IS NOT NULL GROUP BY ALL), three AS (SELECT b2, b1, word, sum(n) AS n FROM own3 GROUP BY ALL),
+rest1 AS (SELECT doc_id, word, one.n - own1.n AS n FROM own1 JOIN one USING (word)),
+rest2 AS (SELECT doc_id, b1, word, two.n - own2.n AS n FROM own2 JOIN two USING (b1, word)),
+rest3 AS (SELECT doc_id, b2, b1, word, three.n - own3.n AS n FROM own3 JOIN three USING (b2, b1, word)),
+size AS (SELECT count(*) AS n FROM tokens), lengths AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
 counted AS (
-  SELECT t.doc_id, (t.b1 IS NOT NULL)::BIGINT + (t.b2 IS NOT NULL)::BIGINT AS allowed, one.n AS n1, CASE WHEN p.n >= 2 THEN p.n END AS n2, three.n AS n3, c1.n AS h1, c2.n AS h2
-  FROM tokens t JOIN one ON one.word = t.word LEFT JOIN one c1 ON c1.word = t.b1 LEFT JOIN pairs p ON p.b1 = t.b1 AND p.word = t.word
-  LEFT JOIN pairs c2 ON c2.b1 = t.b2 AND c2.word = t.b1 LEFT JOIN three ON three.b2 = t.b2 AND three.b1 = t.b1 AND three.word = t.word
+  SELECT t.doc_id, (t.b1 IS NOT NULL)::BIGINT + (t.b2 IS NOT NULL)::BIGINT AS allowed, greatest(1, r1.n)::DOUBLE AS n1, r2.n AS n2, r3.n AS n3, h1.n AS h1, h2.n AS h2, greatest(1, (SELECT n FROM size) - l.n)::DOUBLE AS others
+  FROM tokens t JOIN lengths l ON l.doc_id = t.doc_id JOIN rest1 r1 ON r1.doc_id = t.doc_id AND r1.word = t.word
+  LEFT JOIN rest2 r2 ON r2.doc_id = t.doc_id AND r2.b1 = t.b1 AND r2.word = t.word AND r2.n > 0
+  LEFT JOIN rest3 r3 ON r3.doc_id = t.doc_id AND r3.b2 = t.b2 AND r3.b1 = t.b1 AND r3.word = t.word AND r3.n > 0
+  LEFT JOIN rest1 h1 ON h1.doc_id = t.doc_id AND h1.word = t.b1 LEFT JOIN rest2 h2 ON h2.doc_id = t.doc_id AND h2.b1 = t.b2 AND h2.word = t.b1
 ), scored AS (
   SELECT doc_id, allowed - CASE WHEN n3 IS NOT NULL THEN 2 WHEN n2 IS NOT NULL THEN 1 ELSE 0 END AS back,
-    CASE WHEN n3 IS NOT NULL THEN ln(n3::DOUBLE) - ln(h2::DOUBLE) WHEN n2 IS NOT NULL THEN ln(n2::DOUBLE) - ln(h1::DOUBLE) ELSE ln(n1::DOUBLE) - ln((SELECT n FROM size)) END AS v
+    CASE WHEN n3 IS NOT NULL THEN ln(n3::DOUBLE) - ln(h2::DOUBLE) WHEN n2 IS NOT NULL THEN ln(n2::DOUBLE) - ln(h1::DOUBLE) ELSE ln(n1) - ln(others) END AS v
   FROM counted
 ), sums AS (SELECT doc_id, count(*) AS n, sum((back > 0)::BIGINT)::BIGINT AS b, sum(v + back * ln(0.4::DOUBLE)) AS s FROM scored GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(b, 0)::BIGINT AS n_backed_off, round(coalesce(s, 0), 4) AS log_score, round(coalesce(s / n, 0), 6) AS mean_log_score
@@ -142,24 +138,6 @@ FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id
 """
 
 
-OP9_SQL = r"""
-WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D ]+'), lambda w: w <> '') AS w FROM documents
-), tokens AS (
-  SELECT doc_id, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)
-), one AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
-two AS (SELECT before, word, count(*) AS n FROM tokens WHERE before IS NOT NULL GROUP BY before, word HAVING count(*) >= 2),
-size AS (SELECT count(*)::DOUBLE AS n FROM tokens),
-scored AS (
-  SELECT t.doc_id, (t.before IS NOT NULL AND two.n IS NULL)::BIGINT AS back,
-    CASE WHEN two.n IS NOT NULL THEN ln(two.n::DOUBLE) - ln(c.n::DOUBLE) ELSE ln(one.n::DOUBLE) - ln((SELECT n FROM size)) + CASE WHEN t.before IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END AS v
-  FROM tokens t JOIN one ON one.word = t.word LEFT JOIN one c ON c.word = t.before LEFT JOIN two ON two.before = t.before AND two.word = t.word
-), sums AS (SELECT doc_id, count(*) AS n, sum(back)::BIGINT AS b, sum(v) AS s FROM scored GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(b, 0)::BIGINT AS n_backed_off, round(coalesce(s, 0), 4) AS log_score, round(coalesce(s / n, 0), 6) AS mean_log_score
-FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id
-"""
-
-
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -184,8 +162,8 @@ GROUP BY d.id, i.id, z.n HAVING count(*) >= 0.8 * z.n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_quality": op5_quality, "op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_lm_score_order3": op9_lm_score_order3, "op9_lm_score": op9_lm_score, "op10_decontamination": op10_decontamination}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_language": op4_language, "op5_quality": op5_quality, "op6_token_store": op6_token_store, "op7_simhash": op7_simhash, "op8_byte_bpe": op8_byte_bpe, "op9_lm_score": op9_lm_score, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op9_lm_score_order3": OP9_ORDER3_SQL, "op9_lm_score": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op9_lm_score": OP9_SQL, "op10_decontamination": OP10_SQL}
