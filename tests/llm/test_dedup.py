@@ -147,13 +147,53 @@ def test_embeddings_of_nothing(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_replicas_cover_every_link():
-    rng = np.random.default_rng(1)
-    x = vectors(rng, 400, 4)
+def linked_in_cells(x, tree, radius, threshold=0.98):
+    """(pairs linked by cells and cores, each as often as it is found; pairs compared in full)."""
+    row, cell, guest = tree.place(x, radius)
+    core = tree.core(x, radius)
+    found, compared = [(i, j) for i, j in combinations(range(len(x)), 2) if core[i] == core[j] >= 0], 0
+    for c in np.unique(cell):
+        at = np.flatnonzero(cell == c)
+        own = row[at]
+        compared += embed_dedup.tile_links(x[own], np.zeros(len(at), int), core[own], guest[at], np.ones(len(at), np.int64), threshold)[2]
+        for i, j in combinations(range(len(at)), 2):
+            if not (guest[at[i]] & guest[at[j]]).any() and not core[own[i]] == core[own[j]] >= 0 and x[own[i]] @ x[own[j]] >= threshold:
+                found.append(tuple(sorted((int(own[i]), int(own[j])))))
+    return found, compared
+
+
+@pytest.mark.parametrize("dim", [2, 3, 8, 64])
+def test_cells_meet_every_link_once(dim, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "SMALLEST", 20)
+    rng = np.random.default_rng(dim)
+    x = vectors(rng, 240, dim)
+    x = np.concatenate((x, x[0] + 0.02 * rng.normal(size=(120, dim)) * np.linalg.norm(x[0]) / math.sqrt(dim)))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     radius = math.sqrt(2 - 2 * 0.98)
-    for k in (1, 2, 5, 16):
-        home, member = embed_dedup.replicas(x, x[:k], radius)
-        near = x @ x.T >= 0.98
-        for i, j in zip(*np.nonzero(near), strict=True):
-            assert member[j, home[i]]
+    tree = embed_dedup.grow(x[::3], 3, radius)
+    assert tree.splits  # the group of near copies is worth a split
+    found, compared = linked_in_cells(x, tree, radius)
+    near = x @ x.T >= 0.98
+    assert sorted(found) == [(i, j) for i, j in combinations(range(len(x)), 2) if near[i, j]]
+    assert compared < len(x) * (len(x) - 1) / 2
+
+
+def test_few_pairs_are_compared_in_full():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ones = np.ones(len(x), np.int64)
+    links, _, compared = embed_dedup.tile_links(x, 0 * ones, -ones, np.zeros((len(x), 0), np.uint64), ones, 0.98)
+    assert not links.any() and compared < 0.01 * len(x) ** 2 / 2
+
+
+def test_a_hot_core_takes_no_tiles(spark):
+    """A third of the rows are near copies within half the radius of one another: no tile holds two of them alone."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 32))
+    x[:300] = x[0] + 0.03 * rng.normal(size=(300, 32))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df, tile=64).collect()}
+    counts, component = brute(rows)
+    assert got == {r[0]: (counts.get(r[0], 0), component[r[0]]) for r in rows} and counts[0] == 299
