@@ -40,7 +40,7 @@ from .token_store import EliasFano
 ORDER = 3
 MIN_COUNT = 1
 ALPHA = 0.4
-BLOCK_BYTES = 28 << 20
+BLOCK_BYTES = 40 << 20
 PART_ENTRIES = 4_000_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +79,7 @@ _BLOCKS_ARROW = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("ids
 
 def _packed_texts(texts: list[bytes | None]) -> bytes:
     sizes = np.array([-1 if t is None else len(t) for t in texts], "<i8").tobytes()
-    return zstandard.compress(len(texts).to_bytes(8, "little") + sizes + b"".join(t or b"" for t in texts), 4)
+    return zstandard.compress(len(texts).to_bytes(8, "little") + sizes + b"".join(t or b"" for t in texts), 9)
 
 
 def _unpacked_texts(data: bytes) -> list[bytes | None]:
