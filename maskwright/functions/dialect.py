@@ -74,6 +74,14 @@ class Spark:
     def short_hash(x: str) -> str:
         return f"substring(translate(base64(unhex(sha2({x}, 256))), '+/', '-_'), 1, 8)"
 
+    @staticmethod
+    def bind(name: str, value: str, body: str) -> str:
+        """body with name bound to value, which is evaluated once."""
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+    def luhn(self, digits: str) -> str:
+        return f"luhn_check({digits})"
+
     @staticmethod
     def record(**fields: str) -> str:
         return f"named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())})"
@@ -143,6 +151,14 @@ class Duck(Spark):
     def short_hash(x: str) -> str:
         return f"substring(translate(to_base64(unhex(sha256({x}))), '+/', '-_'), 1, 8)"
 
+    @staticmethod
+    def bind(name: str, value: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def luhn(self, digits: str) -> str:
+        digit = f"cast(substring({digits}, cast(length({digits}) - i_ + 1 as int), 1) as int)"
+        return f"{self.total(f'length({digits})', f'case when i_ % 2 = 1 then {digit} when {digit} > 4 then 2 * {digit} - 9 else 2 * {digit} end')} % 10 = 0"
+
     @staticmethod
     def record(**fields: str) -> str:
         return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"

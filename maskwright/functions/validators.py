@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,10 +27,7 @@ def _trimmed(v: str, d: Spark) -> str:
 
 
 def luhn(v: str, d: Spark = SPARK) -> str:
-    x = _digits(v, d)
-    digit = f"cast(substring({x}, cast(length({x}) - i_ + 1 as int), 1) as int)"
-    total = d.total(f"length({x})", f"case when i_ % 2 = 1 then {digit} when {digit} > 4 then 2 * {digit} - 9 else 2 * {digit} end")
-    return f"case when length({x}) between 13 and 19 then {total} % 10 = 0 else false end"
+    return d.bind("x_", _digits(v, d), f"case when length(x_) between 13 and 19 then {d.luhn('x_')} else false end")
 
 
 def _weighted(x: str, weights: tuple[int, ...], d: Spark) -> str:
@@ -36,9 +35,8 @@ def _weighted(x: str, weights: tuple[int, ...], d: Spark) -> str:
 
 
 def tfn(v: str, d: Spark = SPARK, lengths: tuple[int, ...] = (8, 9)) -> str:
-    x = _digits(v, d)
-    cases = " ".join(f"when length({x}) = {n} then {_weighted(x, {8: TFN_8, 9: TFN_9}[n], d)} % 11 = 0" for n in lengths)
-    return f"case {cases} else false end"
+    cases = " ".join(f"when length(x_) = {n} then {_weighted('x_', {8: TFN_8, 9: TFN_9}[n], d)} % 11 = 0" for n in lengths)
+    return d.bind("x_", _digits(v, d), f"case {cases} else false end")
 
 
 def tfn_nine(v: str, d: Spark = SPARK) -> str:
@@ -47,16 +45,15 @@ def tfn_nine(v: str, d: Spark = SPARK) -> str:
 
 
 def abn(v: str, d: Spark = SPARK) -> str:
-    x = _digits(v, d)
-    return f"case when length({x}) = 11 then ({_weighted(x, ABN, d)} - {ABN[0]}) % 89 = 0 else false end"
+    return d.bind("x_", _digits(v, d), f"case when length(x_) = 11 then ({_weighted('x_', ABN, d)} - {ABN[0]}) % 89 = 0 else false end")
 
 
 def iban(v: str, d: Spark = SPARK, need_country: bool = True) -> str:
     """Blanks out, upper case, 15 to 34 letters or digits, remainder 1 modulo 97."""
-    x = f"upper({d.replace(f"coalesce({v}, '')", r'\s+')})"
-    values = d.each(d.chars(f"concat(substring({x}, 5), substring({x}, 1, 4))"), f"cast({d.position('c_', text(_ALPHABET))} - 1 as int)")
+    values = d.each(d.chars("concat(substring(x_, 5), substring(x_, 1, 4))"), f"cast({d.position('c_', text(_ALPHABET))} - 1 as int)")
     shape = "^[A-Z]{2}[A-Z0-9]{13,32}$" if need_country else "^[A-Z0-9]{15,34}$"
-    return f"case when {d.has(x, shape)} then {d.fold(values, '(a_ * case when c_ > 9 then 100 else 10 end + c_) % 97')} = 1 else false end"
+    body = f"case when {d.has('x_', shape)} then {d.fold(values, '(a_ * case when c_ > 9 then 100 else 10 end + c_) % 97')} = 1 else false end"
+    return d.bind("x_", f"upper({d.replace(f"coalesce({v}, '')", r'\s+')})", body)
 
 
 def iban_any(v: str, d: Spark = SPARK) -> str:
@@ -66,41 +63,35 @@ def iban_any(v: str, d: Spark = SPARK) -> str:
 _YEAR_FIRST, _YEAR_LAST = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$"
 
 
-def _date_parts(v: str, d: Spark) -> tuple[str, list[str]]:
-    """(is it shaped as a date, [year, month, day])."""
-    x = _trimmed(v, d)
-    first, last = d.has(x, _YEAR_FIRST), d.has(x, _YEAR_LAST)
-    parts = [f"cast(nullif(case when {first} then {d.first(x, _YEAR_FIRST, i)} else {d.first(x, _YEAR_LAST, 4 - i)} end, '') as int)" for i in (1, 2, 3)]
-    return f"({first} or {last})", parts
-
-
-def _age(v: str, as_of: str, d: Spark) -> tuple[str, str, str, str]:
-    shaped, (y, m, day) = _date_parts(v, d)
-    year = f"case when {y} < 100 then {y} + 1900 else {y} end"
-    born = d.day(year, m, day)
-    before = f"(month({as_of}) < month({born}) or (month({as_of}) = month({born}) and day({as_of}) < day({born})))"
-    age = f"(year({as_of}) - year({born}) - case when {before} then 1 else 0 end)"
-    return shaped, f"({y} > 0 and {m} > 0 and {day} > 0)", born, age
+def _with_age(v: str, as_of: str, body: str, d: Spark) -> str:
+    """body over p_ (shaped: is it written as a date; y, m, day), b_ (shaped, parts: are they all above 0; born) and e_ (as b_, and the age)."""
+    first, last = d.has("x_", _YEAR_FIRST), d.has("x_", _YEAR_LAST)
+    parts = {n: f"cast(nullif(case when {first} then {d.first('x_', _YEAR_FIRST, i)} else {d.first('x_', _YEAR_LAST, 4 - i)} end, '') as int)" for i, n in ((1, "y"), (2, "m"), (3, "day"))}
+    born = d.day("case when p_.y < 100 then p_.y + 1900 else p_.y end", "p_.m", "p_.day")
+    before = f"(month({as_of}) < month(b_.born) or (month({as_of}) = month(b_.born) and day({as_of}) < day(b_.born)))"
+    age = f"(year({as_of}) - year(b_.born) - case when {before} then 1 else 0 end)"
+    with_age = d.bind("e_", d.record(shaped="b_.shaped", parts="b_.parts", born="b_.born", age=age), body)
+    with_born = d.bind("b_", d.record(shaped="p_.shaped", parts="(p_.y > 0 and p_.m > 0 and p_.day > 0)", born=born), with_age)
+    return d.bind("x_", _trimmed(v, d), d.bind("p_", d.record(shaped=f"({first} or {last})", **parts), with_born))
 
 
 def birth_date(v: str, as_of: str, d: Spark = SPARK) -> str:
     """Struct (is_valid, confidence, reason); days and months may run over, as of a given date."""
-    shaped, parts, born, age = _age(v, as_of, d)
 
     def result(ok: bool, confidence: float, reason: str | None) -> str:
         return d.record(is_valid="true" if ok else "false", confidence=f"cast({confidence} as double)", reason="cast(null as string)" if reason is None else text(reason))
 
-    return (
-        f"case when coalesce({v}, '') = '' then {result(False, 0.0, 'Empty or invalid input')} when not {shaped} then {result(False, 0.0, 'Malformed date')} "
-        f"when not {parts} then {result(False, 0.0, 'Malformed date parts')} when {born} > {as_of} then {result(False, 0.2, 'Future date')} "
-        f"when {age} < 18 then {result(False, 0.2, 'Age < 18')} when {age} > 120 then {result(False, 0.2, 'Age > 120')} else {result(True, 0.95, None)} end"
+    body = (
+        f"case when coalesce({v}, '') = '' then {result(False, 0.0, 'Empty or invalid input')} when not e_.shaped then {result(False, 0.0, 'Malformed date')} "
+        f"when not e_.parts then {result(False, 0.0, 'Malformed date parts')} when e_.born > {as_of} then {result(False, 0.2, 'Future date')} "
+        f"when e_.age < 18 then {result(False, 0.2, 'Age < 18')} when e_.age > 120 then {result(False, 0.2, 'Age > 120')} else {result(True, 0.95, None)} end"
     )
+    return _with_age(v, as_of, body, d)
 
 
 def birth_date_format(v: str, as_of: str, d: Spark = SPARK) -> str:
     """Whether the exact age is 0 to 129."""
-    shaped, parts, _, age = _age(v, as_of, d)
-    return f"case when {shaped} and {parts} then {age} >= 0 and {age} < 130 else false end"
+    return _with_age(v, as_of, "case when e_.shaped and e_.parts then e_.age >= 0 and e_.age < 130 else false end", d)
 
 
 def plausible_birth_date(v: str, as_of: str, d: Spark = SPARK) -> str:
@@ -122,14 +113,15 @@ _EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 def email(v: str, d: Spark = SPARK) -> str:
     """Struct (is_valid, confidence, reason)."""
-    x = f"lower({_trimmed(v, d)})"
+    x = "x_"
     test = " or ".join(f"{d.position(text(t), x)} > 0" for t in TEST_DOMAINS)
     none = "cast(null as string)"
 
     def result(ok: str, confidence: float, reason: str) -> str:
         return d.record(is_valid=ok, confidence=f"cast({confidence} as double)", reason=reason)
 
-    return f"case when coalesce({v}, '') = '' then {result('false', 0.0, "'Empty or invalid'")} when not {d.has(x, _EMAIL)} then {result('false', 0.0, "'Malformed email'")} when {test} then {result('false', 0.2, "'Test/example email'")} else {result('true', 0.9, none)} end"
+    body = f"case when coalesce({v}, '') = '' then {result('false', 0.0, "'Empty or invalid'")} when not {d.has(x, _EMAIL)} then {result('false', 0.0, "'Malformed email'")} when {test} then {result('false', 0.2, "'Test/example email'")} else {result('true', 0.9, none)} end"
+    return d.bind("x_", f"lower({_trimmed(v, d)})", body)
 
 
 def email_basic(v: str, d: Spark = SPARK) -> str:
@@ -167,23 +159,46 @@ def ipv6(v: str, d: Spark = SPARK) -> str:
 
 
 # Confidence if passed and if failed, and the reasons.
-_RESULTS = {
+_RESULTS: dict[str, tuple[Callable[[str, Spark], str], float, float, str, str]] = {
     "creditCard": (luhn, 0.95, 0.2, "Luhn check passed", "Luhn check failed"),
     "australianTFN": (tfn, 0.92, 0.2, "TFN checksum passed", "TFN invalid"),
     "australianABN": (abn, 0.92, 0.2, "ABN checksum passed", "ABN invalid"),
     "iban": (iban, 0.9, 0.1, "IBAN checksum OK", "IBAN invalid"),
 }
 
+#: Whether a value has the format of a type.
+_FORMATS: dict[str, Callable[[str, Spark], str]] = {
+    "creditCard": luhn, "australianTFN": tfn, "australianABN": abn, "iban": iban_format, "email": email_format, "phone": phone_format,
+    "australianBSB": bsb_format, "ipv4": ipv4, "ipv6": ipv6,
+}
+
+
+def register_validator(type_: str, check: Callable[[str, Spark], str], passed: float, failed: float, yes: str, no: str) -> None:
+    """Add or replace the check of a type: (SQL of the value, dialect) -> SQL; with its confidences and reasons."""
+    _RESULTS[type_] = (check, passed, failed, yes, no)
+
+
+def register_format(type_: str, check: Callable[[str, Spark], str]) -> None:
+    """Add or replace the format of a type: (SQL of the value, dialect) -> SQL."""
+    _FORMATS[type_] = check
+
+
+def format_sql(type_: str, v: str, d: Spark = SPARK) -> str:
+    """Whether v has the format of the type; types without one accept everything."""
+    return _FORMATS[type_](v, d) if type_ in _FORMATS else "true"
+
 
 def validate_sql(type_: str, v: str, d: Spark = SPARK, as_of: str = "current_date()") -> str:
-    """Struct (is_valid, confidence, reason) for creditCard, australianTFN, australianABN, dateOfBirth, email, iban."""
+    """Struct (is_valid, confidence, reason) for creditCard, australianTFN, australianABN, dateOfBirth, email, iban and registered types."""
+    if type_ in _RESULTS:
+        check, passed, failed, yes, no = _RESULTS[type_]
+        confidence = f"case when ok_ then cast({passed} as double) else cast({failed} as double) end"
+        return d.bind("ok_", check(v, d), d.record(is_valid="ok_", confidence=confidence, reason=f"case when ok_ then {text(yes)} else {text(no)} end"))
     if type_ == "dateOfBirth":
         return birth_date(v, as_of, d)
     if type_ == "email":
         return email(v, d)
-    check, passed, failed, yes, no = _RESULTS[type_]
-    ok = check(v, d)
-    return d.record(is_valid=ok, confidence=f"case when {ok} then cast({passed} as double) else cast({failed} as double) end", reason=f"case when {ok} then {text(yes)} else {text(no)} end")
+    raise KeyError(type_)
 
 
 def validate(column: str, type_: str, as_of: str = "current_date()") -> Column:

@@ -38,41 +38,70 @@ SOURCES: dict[str, str] = {
 QueryMap = dict[str, Callable[[SparkSession, str], DataFrame]]
 
 
-def _over_customers(kind: str, columns: dict[str, Callable]) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
-    """The query and its SQL: columns computed from v by builders that take (v, dialect)."""
+def _over_customers(kind: str, columns: dict[str, Callable], results: dict[str, Callable] | None = None, sql: str | None = None) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """The query and its SQL: columns computed from v by builders that take (v, dialect).
+
+    results: builders of structs, whose fields become columns <name>_<field>,
+    from one evaluation. sql: a query written by hand instead of one made by the
+    builders, over the rows (k, v) called ``given``.
+    """
+    results = results or {}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as k", f"{SOURCES[kind]} as v")
-        return rows.selectExpr("k", "v", *(f"{b('v', SPARK)} as {name}" for name, b in columns.items()))
+        computed = rows.selectExpr("k", "v", *(f"{b('v', SPARK)} as {name}" for name, b in columns.items()), *(f"{b('v', SPARK)} as _{name}" for name, b in results.items()))
+        return computed.selectExpr("k", "v", *columns, *(f"_{name}.{f} as {name}_{f}" for name in results for f in _FIELDS))
 
     inner = f"SELECT c_custkey AS k, {SOURCES[kind]} AS v FROM customer"
-    sql = f"SELECT k, v, {', '.join(f'{b("v", DUCK)} AS {name}' for name, b in columns.items())} FROM ({inner})"
-    return run, sql
-
+    if sql is not None:
+        return run, f"WITH given AS ({inner}) {sql}"
+    made = [f"{b('v', DUCK)} AS {name}" for name, b in columns.items()] + [f"({b('v', DUCK)}).{f} AS {name}_{f}" for name, b in results.items() for f in _FIELDS]
+    return run, f"SELECT k, v, {', '.join(made)} FROM ({inner})"
 
-def _flat(prefix: str, build: Callable) -> dict[str, Callable]:
-    """The fields of a struct builder as columns."""
 
-    def field(f: str) -> Callable:
-        return lambda v, d: f"({build(v, d)}).{f}" if d is DUCK else f"({build(v, d)}).{f}"
-
-    return {f"{prefix}_{f}": field(f) for f in ("is_valid", "confidence", "reason")}
+_FIELDS = ("is_valid", "confidence", "reason")
 
 
 def _mask_columns(function: str) -> dict[str, Callable]:
     return {f"{s}_mask": (lambda v, d, s=s: masks.mask_sql(function, v, s, d)) for s in ("partial", "full", "structural", "hash", "redact", "unknown")}
 
 
-VALIDATORS: dict[str, tuple[str, dict[str, Callable]]] = {
-    "luhn": ("card", {"ok": validators.luhn, **_flat("result", lambda v, d: validators.validate_sql("creditCard", v, d))}),
-    "tfn": ("tfn", {"ok": validators.tfn, "nine": validators.tfn_nine, **_flat("result", lambda v, d: validators.validate_sql("australianTFN", v, d))}),
-    "abn": ("abn", {"ok": validators.abn, **_flat("result", lambda v, d: validators.validate_sql("australianABN", v, d))}),
-    "iban": ("iban", {"ok": validators.iban, "any_country": validators.iban_any, "format": validators.iban_format, **_flat("result", lambda v, d: validators.validate_sql("iban", v, d))}),
-    "birth_date": ("dob", {**_flat("result", lambda v, d: validators.birth_date(v, AS_OF, d)), "plausible": lambda v, d: validators.plausible_birth_date(v, AS_OF, d), "format_ok": lambda v, d: validators.birth_date_format(v, AS_OF, d)}),
-    "email": ("email", {**_flat("result", validators.email), "basic": validators.email_basic, "format": validators.email_format}),
-    "phone": ("phone", {"ok": validators.phone_format}),
-    "bsb": ("bsb", {"ok": validators.bsb_format}),
-    "ip": ("ip", {"v4": validators.ipv4, "v6": validators.ipv6}),
+VALIDATORS: dict[str, tuple[str, dict[str, Callable], Callable | None]] = {
+    "luhn": ("card", {"ok": validators.luhn}, lambda v, d: validators.validate_sql("creditCard", v, d)),
+    "tfn": ("tfn", {"ok": validators.tfn, "nine": validators.tfn_nine}, lambda v, d: validators.validate_sql("australianTFN", v, d)),
+    "abn": ("abn", {"ok": validators.abn}, lambda v, d: validators.validate_sql("australianABN", v, d)),
+    "iban": ("iban", {"ok": validators.iban, "any_country": validators.iban_any, "format": validators.iban_format}, lambda v, d: validators.validate_sql("iban", v, d)),
+    "birth_date": ("dob", {"plausible": lambda v, d: validators.plausible_birth_date(v, AS_OF, d), "format_ok": lambda v, d: validators.birth_date_format(v, AS_OF, d)}, lambda v, d: validators.birth_date(v, AS_OF, d)),
+    "email": ("email", {"basic": validators.email_basic, "format": validators.email_format}, validators.email),
+    "phone": ("phone", {"ok": validators.phone_format}, None),
+    "bsb": ("bsb", {"ok": validators.bsb_format}, None),
+    "ip": ("ip", {"v4": validators.ipv4, "v6": validators.ipv6}, None),
+}
+
+#: SQL written by hand, apart from the builders, for some functions of each kind; over given(k, v).
+BY_HAND = {
+    "validate_luhn": r"""
+      , digits AS (SELECT k, v, regexp_replace(v, '[^0-9]', '', 'g') AS x FROM given),
+      doubled AS (SELECT k, v, x, unnest(range(length(x))) AS i FROM digits),
+      sums AS (SELECT k, sum(CASE WHEN i % 2 = 0 THEN n ELSE (2 * n) // 10 + (2 * n) % 10 END) AS total FROM (SELECT k, i, ascii(reverse(x)[i + 1]) - 48 AS n FROM doubled) GROUP BY k),
+      checked AS (SELECT k, v, length(x) BETWEEN 13 AND 19 AND total % 10 = 0 AS ok FROM digits JOIN sums USING (k))
+      SELECT k, v, ok, ok AS result_is_valid, CASE WHEN ok THEN 0.95::DOUBLE ELSE 0.2::DOUBLE END AS result_confidence, CASE WHEN ok THEN 'Luhn check passed' ELSE 'Luhn check failed' END AS result_reason FROM checked""",
+    "validate_bsb": "SELECT k, v, length(regexp_replace(v, '[^0-9]', '', 'g')) = 6 AS ok FROM given",
+    "validate_phone": "SELECT k, v, length(regexp_replace(v, '[^0-9]', '', 'g')) IN (7, 8, 9, 10, 11, 12, 13, 14, 15) AS ok FROM given",
+    "mask_email": r"""
+      , parts AS (SELECT k, v, split_part(v, '@', 1) AS u, split_part(v, '@', 2) AS h, contains(v, '@') AS whole FROM given)
+      SELECT k, v,
+        CASE WHEN NOT whole THEN '***' ELSE CASE WHEN length(u) > 2 THEN u[1] || repeat('*', length(u) - 2) || u[-1] ELSE '***' END || '@' || CASE WHEN contains(h, '.') THEN h[1] || '***.' || string_split(h, '.')[-1] ELSE '***' END END AS partial_mask,
+        CASE WHEN whole THEN '***@***.***' ELSE '***' END AS full_mask, CASE WHEN whole THEN repeat('*', length(u)) || '@' || repeat('*', length(h)) ELSE '***' END AS structural_mask,
+        replace(replace(to_base64(unhex(sha256(v))), '+', '-'), '/', '_')[1:8] AS hash_mask, '[EMAIL REDACTED]' AS redact_mask, v AS unknown_mask FROM parts""",
+    "mask_account": r"""
+      SELECT k, v, CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) >= 3 THEN '***' || regexp_replace(v, '[^0-9]', '', 'g')[-3:] ELSE '***' END AS partial_mask, '***' AS full_mask, repeat('*', length(v)) AS structural_mask,
+        replace(replace(to_base64(unhex(sha256(v))), '+', '-'), '/', '_')[1:8] AS hash_mask, '[ACCOUNT REDACTED]' AS redact_mask, v AS unknown_mask FROM given""",
+    "hash_creditCard": r"""
+      SELECT k, v, CASE WHEN length(x) < 13 THEN sha256('maskwright-pseudonyms' || v)[1:8] ELSE upper(sha256('cc' || x[1:-5])[1:8]) || '-' || x[-4:] END AS pseudonym,
+        replace(replace(to_base64(unhex(sha256(v))), '+', '-'), '/', '_')[1:8] AS short FROM (SELECT k, v, regexp_replace(v, '[^0-9]', '', 'g') AS x FROM given)""",
+    "hash_generic": r"""
+      SELECT k, v, upper(sha256('generic' || v)[1:8]) AS pseudonym, replace(replace(to_base64(unhex(sha256(v))), '+', '-'), '/', '_')[1:8] AS short, sha256('maskwright-pseudonyms' || v)[1:8] AS salted, sha256('another' || v)[1:12] AS other_salt FROM given""",
 }
 
 _HASH_SOURCES = {"email": "email", "phone": "phone", "creditCard": "card", "ssn": "ssn", "dateOfBirth": "dob", "address": "address", "generic": "generic"}
@@ -81,16 +110,17 @@ _HASH_SOURCES = {"email": "email", "phone": "phone", "creditCard": "card", "ssn"
 def _queries() -> dict[str, tuple[Callable, str]]:
     out = {}
     for function in masks.FUNCTIONS:
-        out[f"mask_{function}"] = _over_customers(function, _mask_columns(function))
+        out[f"mask_{function}"] = _over_customers(function, _mask_columns(function), sql=BY_HAND.get(f"mask_{function}"))
     for type_, kind in _HASH_SOURCES.items():
         columns = {"pseudonym": lambda v, d, t=type_: hashing.hash_sql(t, v, d), "short": lambda v, d: hashing.hash_sql("BASE64_SHORT", v, d)}
         if type_ == "email":
             columns["both_parts"] = lambda v, d: hashing.hash_email_sql(v, False, d)
         if type_ == "generic":
             columns["salted"] = lambda v, d: hashing.salted(v, dialect=d)
-        out[f"hash_{type_}"] = _over_customers(kind, columns)
-    for name, (kind, columns) in VALIDATORS.items():
-        out[f"validate_{name}"] = _over_customers(kind, columns)
+            columns["other_salt"] = lambda v, d: hashing.salted(v, "another", 12, d)
+        out[f"hash_{type_}"] = _over_customers(kind, columns, sql=BY_HAND.get(f"hash_{type_}"))
+    for name, (kind, columns, result) in VALIDATORS.items():
+        out[f"validate_{name}"] = _over_customers(kind, columns, {"result": result} if result else None, BY_HAND.get(f"validate_{name}"))
     return out
 
 
@@ -100,5 +130,3 @@ def queries() -> QueryMap:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in _queries().items()}
-
-

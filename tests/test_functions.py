@@ -137,6 +137,22 @@ def test_columns_named_like_lambda_variables(spark):
     }
 
 
+def test_other_salts(spark):
+    sql = {"a": hashing.hash_sql("email", "v", salt="theirs"), "b": hashing.hash_sql("creditCard", "v", salt="theirs"), "c": hashing.salted("v", "theirs")}
+    assert evaluate(spark, sql, ["a@b@c"]) == [(_salted("theirs", "a@b@c", 8),) * 3]
+
+
+def test_registering_a_hash_and_a_validator(spark):
+    hashing.register_hash("plate", lambda v, d, salt: f"concat('P-', {hashing.salted(v, salt, 4, d)})")
+    validators.register_validator("plate", lambda v, d: d.has(f"coalesce({v}, '')", "^[A-Z]{3}$"), 0.8, 0.1, "plate", "no plate")
+    validators.register_format("plate", lambda v, d: f"length({v}) = 3")
+    sql = {"h": hashing.hash_sql("plate", "v", salt="s"), "ok": f"({validators.validate_sql('plate', 'v')}).reason", "f": validators.format_sql("plate", "v"), "any": validators.format_sql("nothing known", "v")}
+    assert evaluate(spark, sql, ["ABC", "abcd"]) == [("P-" + _salted("s", "ABC", 4), "plate", True, True), ("P-" + _salted("s", "abcd", 4), "no plate", False, True)]
+    del hashing._HASHES["plate"], validators._RESULTS["plate"], validators._FORMATS["plate"]
+    with pytest.raises(KeyError):
+        validators.validate_sql("plate", "v")
+
+
 def test_registering_a_mask(spark):
     masks.register_mask("shout", lambda d, v, s: f"upper({v})")
     assert evaluate(spark, {"m": masks.mask_sql("shout", "v", "partial")}, ["a"]) == [("A",)]
