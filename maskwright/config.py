@@ -53,6 +53,8 @@ class MaskingConfig:
     show_indicator: bool = True
     #: The date that stands for today in age checks (YYYY-MM-DD); None: the session's current date.
     as_of: str | None = None
+    #: True: the texts are what a CDATA section holds, so plain surroundings count as xml.
+    inside_cdata: bool = False
     #: True restores the original's behaviour of returning dates of birth unmasked under hash and redact.
     strict_compat: bool = False
 

@@ -14,7 +14,7 @@ from ..functions import registry as reg
 from ..functions import validators
 from ..functions.dialect import SPARK, Spark, text
 from ..functions.masks import mask_sql
-from ..functions.spans import column_sql, let, line_sql, spans_sql
+from ..functions.spans import column_at_sql, firsts_sql, let, line_at_sql, marks_sql, part_sql, parts_sql, spans_of_all_sql, spans_sql
 
 STRUCTURES = ("xml", "json", "csv", "plain_text")
 
@@ -40,12 +40,12 @@ def anomaly_sql(value: str, type_: str) -> str:
     )
 
 
-def structure_sql(before: str, after: str) -> str:
+def structure_sql(before: str, after: str, plain: str = "plain_text") -> str:
     """What the value stands in: xml, json, csv or plain_text."""
     return (
         rf"case when {before} rlike r'<[^>]+>\s*\z' and {after} rlike r'^\s*</' then 'xml' "
         rf"""when {before} rlike r'[{{,]\s*"[^"]+"\s*:\s*"?\s*\z' then 'json' """
-        rf"when {before} rlike r',\s*\z' or {after} rlike r'^\s*,' then 'csv' else 'plain_text' end"
+        rf"when {before} rlike r',\s*\z' or {after} rlike r'^\s*,' then 'csv' else '{plain}' end"
     )
 
 
@@ -68,12 +68,12 @@ def business_date_sql(before: str) -> str:
     return _any_word(f"lower({before})", reg.BUSINESS_DATE_WORDS)
 
 
-def _before(t: str, pos: str, n: int) -> str:
-    return f"substring({t}, greatest({pos} - {n}, 0) + 1, least({pos}, {n}))"
+def _before(parts: str, pos: str, n: int) -> str:
+    return part_sql(parts, f"greatest({pos} - {n}, 0)", f"least({pos}, {n})")
 
 
-def _after(t: str, end: str, n: int) -> str:
-    return f"substring({t}, {end} + 1, {n})"
+def _after(parts: str, end: str, n: int, total: str) -> str:
+    return part_sql(parts, f"({end})", f"least({n}, {total} - {end})")
 
 
 def business_dates(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -81,7 +81,8 @@ def business_dates(df: DataFrame, text_col: str = "text", keep: list[str] | None
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     d, t = reg.REGISTRY.get("dateOfBirth"), f"`{text_col}`"
     spans = spans_sql(t, d.java, maybe=d.hint(t, f"lower({t})"))
-    rows = f"transform({spans}, s -> named_struct('value', s.value, 'pos', s.pos, 'business', {let('b', _before(t, 's.pos', 100), business_date_sql('b'))}))"
+    rows = let("w", f"named_struct('found', {spans}, 'parts', {parts_sql(t)})", f"transform(w.found, s -> named_struct('value', s.value, 'pos', s.pos, 'business', {let('b', _before('w.parts', 's.pos', 100), business_date_sql('b'))}))")
+    rows = f"if({d.hint(t, f'lower({t})') or 'true'}, {rows}, null)"
     return df.select(*keep, F.explode(F.expr(rows)).alias("_row")).select(*keep, "_row.*")
 
 
@@ -90,21 +91,20 @@ def candidates_sql(t: str, detectors: list[reg.Detector], low: str | None = None
     none = "cast(array() as array<struct<type: string, prior: double, value: string, pos: int>>)"
     if not detectors:
         return none
-    parts = []
-    for d in detectors:
-        parts.append(f"transform({spans_sql(t, d.java, maybe=d.hint(t, low, digit))}, s -> named_struct('type', '{d.type}', 'prior', {d.prior!r}D, 'value', s.value, 'pos', s.pos))")
-    return f"flatten(array({', '.join(parts)}))"
+    patterns = [(d.java, d.hint(t, low, digit), f"named_struct('type', '{d.type}', 'prior', {d.prior!r}D)") for d in detectors]
+    return f"transform({spans_of_all_sql(t, patterns)}, s -> named_struct('type', s.kind.type, 'prior', s.kind.prior, 'value', s.value, 'pos', s.pos))"
 
 
-def _scored_sql(t: str, candidates: str, config: MaskingConfig) -> str:
-    """The candidates with every gate and score."""
+def _scored_sql(parts: str, total: str, candidates: str, config: MaskingConfig) -> str:
+    """The candidates with every gate and score; the text comes in parts, with its length."""
     end = "(c.pos + length(c.value))"
+    start = "greatest(c.pos - 100, 0)"
     windows = f"""transform({candidates}, c -> named_struct('type', c.type, 'prior', c.prior, 'value', c.value, 'pos', c.pos,
-      'inside_name', {inside_name_sql(_before(t, 'c.pos', 300), _after(t, end, 50))},
-      'birth', c.type <> 'dateOfBirth' or ({_any_word(f"lower({_before(t, 'c.pos', 100)})", reg.BIRTH_WORDS)} and {validators.plausible_birth_date('c.value', config.today())}),
+      'inside_name', {let('w', f"named_struct('b', {_before(parts, 'c.pos', 300)}, 'a', {_after(parts, end, 50, total)})", inside_name_sql('w.b', 'w.a'))},
+      'birth', c.type <> 'dateOfBirth' or ({let('w', f"lower({_before(parts, 'c.pos', 100)})", _any_word('w', reg.BIRTH_WORDS))} and {validators.plausible_birth_date('c.value', config.today())}),
       'anomaly', {anomaly_sql('c.value', 'c.type')},
-      'structure', {structure_sql(_before(t, 'c.pos', 100), _after(t, end, 100))},
-      'context', lower(substring({t}, greatest(c.pos - 100, 0) + 1, least(c.pos, 100) + length(c.value) + 100))))"""
+      'structure', {let('w', f"named_struct('b', {_before(parts, 'c.pos', 100)}, 'a', {_after(parts, end, 100, total)})", structure_sql('w.b', 'w.a', 'xml' if config.inside_cdata else 'plain_text'))},
+      'context', lower({part_sql(parts, start, f'least(least(c.pos, 100) + length(c.value) + 100, {total} - {start})')})))"""
     risky = f"c.type in ({', '.join(text(x) for x in reg.HIGH_RISK)})"
     needs = " ".join(
         f"when c.structure = '{s}' then if({risky}, {threshold_of(config.confidence_threshold, s, reg.HIGH_RISK[0], config.mode)!r}D, {threshold_of(config.confidence_threshold, s, '', config.mode)!r}D)" for s in STRUCTURES
@@ -147,29 +147,33 @@ def held(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*rest, F.explode(F.array(F.struct(*names))).alias(own)).select(*rest, *(F.col(f"{own}.{n}").alias(n) for n in names))
 
 
-def with_candidates(df: DataFrame, text_col: str, config: MaskingConfig, into: str) -> DataFrame:
-    """df with an array of the scored candidates; null texts have none."""
+def with_candidates(df: DataFrame, text_col: str, config: MaskingConfig, into: str, parts: str | None = None) -> DataFrame:
+    """df with an array of the scored candidates; null texts have none.
+
+    parts: a column that gets the text in parts, for offsets; empty where there are no candidates.
+    """
     t, low, digit = unused(df, "_detect_text", "_detect_lower", "_detect_digit")
     found = candidates_sql(t, reg.REGISTRY.enabled(config.effective_types()), low, digit)
-    (c,) = unused(df, "_detect_candidates")
-    return (
+    c, own, total = unused(df, "_detect_candidates", "_detect_parts", "_detect_total")
+    own = parts or own
+    out = (
         df.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
         .withColumns({low: F.lower(t), digit: F.col(t).rlike("[0-9]")})
         .withColumn(c, F.expr(found))
-        .withColumn(into, F.expr(_scored_sql(t, c, config)))
-        .drop(t, low, digit, c)
+        .withColumns({own: F.expr(f"if(size({c}) > 0, {parts_sql(t)}, cast(array() as array<string>))"), total: F.length(t)})
+        .withColumn(into, F.expr(_scored_sql(own, total, c, config)))
     )
+    return out.drop(t, low, digit, c, total, *([] if parts else [own]))
 
 
 def candidates(df: DataFrame, text_col: str = "text", config: MaskingConfig | None = None, keep: list[str] | None = None) -> DataFrame:
     """A row per candidate: the kept columns, type, value, pos, gates and scores, whether decided, whether first to claim its value."""
     config = config or MaskingConfig()
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    array, values = unused(df, "_scored", "_claimed")
+    array, firsts = unused(df, "_scored", "_firsts")
     scored = with_candidates(df, text_col, config, array)
-    # of the values decided, the position of each among all candidates; a null for those not decided
-    scored = scored.withColumn(values, F.expr(f"transform({array}, c -> if(c.decided, c.value, null))"))
-    numbered = F.expr(f"transform({array}, (c, i) -> named_struct('c', c, 'first', c.decided and array_position({values}, c.value) = i + 1))")
+    scored = scored.withColumn(firsts, F.expr(firsts_sql(f"transform({array}, c -> if(c.decided, c.value, null))")))
+    numbered = F.expr(f"transform({array}, (c, i) -> named_struct('c', c, 'first', {firsts}[i]))")
     rows = scored.select(*keep, F.explode(numbered).alias("_row"))
     return rows.select(*keep, "_row.c.*", F.col("_row.first").alias("first"))
 
@@ -181,14 +185,15 @@ def detect(df: DataFrame, text_col: str = "text", config: MaskingConfig | None =
     if not config.enabled:
         return df.select(*keep, *(F.lit(None).cast(k).alias(n) for n, k in (("type", "string"), ("original_value", "string"), ("masked_value", "string"), ("pos", "int"), ("line", "int"), ("column", "int"), ("confidence", "double")))).limit(0)
     types = [d.type for d in reg.REGISTRY.enabled(config.effective_types())]
-    t, array, values, decided, xml = unused(df, "_text", "_scored", "_values", "_decided", "_is_xml")
-    scored = with_candidates(df, text_col, config, array)
-    scored = scored.withColumn(t, F.coalesce(F.col(text_col), F.lit(""))).withColumn(decided, F.expr(f"filter({array}, c -> c.decided)"))
-    scored = scored.withColumn(values, F.expr(f"transform({decided}, c -> c.value)")).withColumn(xml, F.expr(f"{t} rlike '<[^>]+>'"))
-    first = f"filter({decided}, (c, i) -> array_position({values}, c.value) = i + 1)"
+    array, parts, marks, claimed, xml = unused(df, "_scored", "_parts", "_marks", "_claimed", "_is_xml")
+    scored = with_candidates(df, text_col, config, array, parts)
+    decided = f"filter({array}, c -> c.decided)"
+    first = let("d", decided, let("f", firsts_sql("transform(d, c -> c.value)"), "filter(d, (c, i) -> f[i])"))
+    scored = scored.withColumn(claimed, F.expr(f"if(exists({array}, c -> c.decided), {first}, slice({array}, 1, 0))"))
+    scored = scored.withColumns({xml: F.expr(f"size({claimed}) > 0 and `{text_col}` rlike '<[^>]+>'"), marks: F.expr(f"if(size({claimed}) > 0, {marks_sql(parts)}, null)")})
     masked = f"if({xml}, {mask_by_type_sql('c.value', 'c.type', 'structural', types)}, {mask_by_type_sql('c.value', 'c.type', config.strategy, types, config.strict_compat)})"
-    rows = f"""transform({first}, c -> named_struct('type', c.type, 'original_value', c.value, 'masked_value', {masked}, 'pos', c.pos,
-      'line', {line_sql(t, 'c.pos')}, 'column', {column_sql(t, 'c.pos')}, 'confidence', c.confidence))"""
+    rows = f"""transform({claimed}, c -> named_struct('type', c.type, 'original_value', c.value, 'masked_value', {masked}, 'pos', c.pos,
+      'line', {line_at_sql(parts, marks, 'c.pos')}, 'column', {column_at_sql(parts, marks, 'c.pos')}, 'confidence', c.confidence))"""
     return scored.select(*keep, F.explode(F.expr(rows)).alias("_row")).select(*keep, "_row.*")
 
 

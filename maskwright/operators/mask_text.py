@@ -1,7 +1,7 @@
 """Masking of whole texts: CDATA sections, named fields, patterns and custom patterns, then one edit script.
 
-Everything is built from column expressions and stays within the row. A
-value once claimed is masked at its first place only; ``safe=True`` masks all
+Everything is built from column expressions and stays within the row. Edits
+that don't overlap are applied in one pass over the text. A value once claimed is masked at its first place only; ``safe=True`` masks all
 its occurrences and resolves overlapping edits (earliest, then longest).
 """
 
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..config import CustomPattern, MaskingConfig
 from ..functions import registry as reg
 from ..functions.dialect import text
-from ..functions.spans import column_sql, line_sql, spans_sql
+from ..functions.spans import column_at_sql, firsts_sql, let, line_at_sql, marks_sql, part_sql, parts_sql, spans_sql
 from .detect import candidates_sql, mask_by_type_sql, unused, with_candidates
 
+# What texts with fields look like, sections and fields in them.
 JSON_SNIFF = r'^\s*[\[{]|"[^"]+"\s*:'
 XML_SNIFF = "<[^>]+>"
 CDATA = r"<([^>\s/]+)>\s*<!\[CDATA\[([\s\S]*?)\]\]>\s*</\1>"
@@ -77,10 +78,10 @@ def _fields_sql(t: str, config: MaskingConfig) -> str:
     known = sorted({*reg.CATEGORY_TYPES.values(), "nmi", "custom"})
     parts = []
     for k, (regex, maybe) in enumerate(zip(FIELDS, (f"instr({t}, chr(34)) > 0", f"instr({t}, chr(34)) > 0", f"instr({t}, '</') > 0"), strict=True)):
-        named = f"transform({spans_sql(t, regex, 2, maybe)}, s -> named_struct('value', s.g2, 'pos', s.pos, 'type', {column_type_sql('s.g1')}))"
+        named = f"transform({spans_sql(t, regex, 2, maybe)}, s -> named_struct('value', s.g2, 'pos', s.pos + instr(s.value, s.g2) - 1, 'type', {column_type_sql('s.g1')}))"
         wanted = rf"filter({named}, s -> s.value <> '' and not s.value rlike r'^\s*\z' and s.type not in ({off}))"
         mask = mask_by_type_sql("s.value", "s.type", config.strategy, known, config.strict_compat)
-        parts.append(f"transform({wanted}, s -> {_edit('s.value', f'locate(s.value, {t}, s.pos + 1) - 1', mask, 2 + k, 's.type', '0.95D')})")
+        parts.append(f"transform({wanted}, s -> {_edit('s.value', 's.pos', mask, 2 + k, 's.type', '0.95D')})")
     return f"flatten(array({', '.join(parts)}))"
 
 
@@ -96,7 +97,7 @@ def custom_matches(df: DataFrame, pattern: CustomPattern, text_col: str = "text"
 
 
 def apply_edits_sql(t: str, edits: str) -> str:
-    """Edits that keep the length, then those that change it, each from the last position to the first."""
+    """Edits that keep the length, then those that change it, each from the last position to the first; for edits that overlap."""
 
     def script(which: str) -> str:
         own = f"filter({edits}, e -> (length(e.mask) = length(e.value)) = {which})"
@@ -110,6 +111,14 @@ def apply_edits_sql(t: str, edits: str) -> str:
     return folded(script("false"), folded(script("true"), t))
 
 
+def apply_apart_sql(parts: str, total: str, ordered: str) -> str:
+    """The text with edits (start, end, mask), in order and apart, in one pass."""
+    before = f"if(i = 0, 0, {ordered}[greatest(i - 1, 0)].end)"
+    pieces = f"transform({ordered}, (e, i) -> concat({part_sql(parts, before, f'(e.start - {before})')}, e.mask))"
+    after = f"{ordered}[size({ordered}) - 1].end"
+    return f"concat(array_join({pieces}, ''), {part_sql(parts, after, f'({total} - {after})')})"
+
+
 def with_masked_text(df: DataFrame, text_col: str = "text", config: MaskingConfig | None = None, safe: bool = False) -> DataFrame:
     """df with masked_text, detections, masking_applied and has_overlap.
 
@@ -118,7 +127,7 @@ def with_masked_text(df: DataFrame, text_col: str = "text", config: MaskingConfi
     config = config or MaskingConfig()
     if not config.enabled:
         return df.withColumns({"masked_text": F.col(text_col), "detections": F.expr(f"cast(array() as array<{_DETECTION}>)"), "masking_applied": F.lit(False), "has_overlap": F.lit(False)})
-    t, scored, xml, marked, sections, changed, edits, values = unused(df, "_mt_text", "_mt_scored", "_mt_xml", "_mt_marked", "_mt_sections", "_mt_changed", "_mt_edits", "_mt_values")
+    t, scored, xml, marked, sections, changed, edits, parts, marks, ordered = unused(df, "_mt_text", "_mt_scored", "_mt_xml", "_mt_marked", "_mt_sections", "_mt_changed", "_mt_edits", "_mt_parts", "_mt_marks", "_mt_ordered")
     types = [d.type for d in reg.REGISTRY.enabled(config.effective_types())]
     out = with_candidates(df, text_col, config, scored).withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumn(xml, F.expr(f"{t} rlike '{XML_SNIFF}'")).withColumn(marked, F.expr(f"{t} rlike r'{JSON_SNIFF}' or {xml}"))
@@ -126,7 +135,7 @@ def with_masked_text(df: DataFrame, text_col: str = "text", config: MaskingConfi
     inner = f"filter({spans_sql(t, CDATA, 2, f'''instr({t}, '<![CDATA[') > 0''')}, s -> not s.g2 rlike r'^\\s*\\z')"
     placed = f"transform({inner}, s -> named_struct('inner', s.g2, 'at', s.pos + instr(s.value, s.g2) - 1, 'kept', {cdata_spans_sql('s.g2', config)}))"
     out = out.withColumn(sections, F.expr(f"filter({placed}, s -> size(s.kept) > 0)"))
-    out = out.withColumn(changed, F.expr(f"filter({sections}, (s, i) -> array_position(transform({sections}, x -> x.inner), s.inner) = i + 1)"))
+    out = out.withColumn(changed, F.expr(let("f", firsts_sql(f"transform({sections}, x -> x.inner)"), f"filter({sections}, (s, i) -> f[i])")))
 
     ranges = f"transform({changed}, s -> named_struct('start', s.at, 'end', s.at + length(s.inner)))"
     by_section = f"transform({changed}, s -> {_edit('s.inner', 's.at', _starred('s.inner', 's.kept'), 1, text('custom'), '0.95D')})"
@@ -136,24 +145,21 @@ def with_masked_text(df: DataFrame, text_col: str = "text", config: MaskingConfi
     by_pattern = f"transform({free}, c -> {_edit('c.value', 'c.pos', masked, 5, 'c.type', 'c.confidence')})"
     by_custom = [f"transform({custom_spans_sql(t, p)}, s -> {_edit('s.value', 's.pos', text(p.replacement), 6, text('custom'), '1.0D')})" for p in config.custom_patterns if p.enabled]
     out = out.withColumn(edits, F.expr(f"concat({', '.join([by_section, by_field, by_pattern, *by_custom])})"))
-    out = out.withColumn(values, F.expr(f"transform({edits}, e -> e.value)"))
     if safe:
         kept = f"aggregate(array_sort(transform({edits}, e -> named_struct('at', e.at, 'back', -length(e.value), 'e', e))), named_struct('end', 0, 'kept', cast(array() as {_EDITS})), (a, x) -> if(x.at >= a.end, named_struct('end', x.at - x.back, 'kept', concat(a.kept, array(x.e))), a), a -> a.kept)"
-        out = out.withColumn(edits, F.expr(kept))
     else:
-        out = out.withColumn(edits, F.expr(f"filter({edits}, (e, i) -> array_position({values}, e.value) = i + 1)"))
-    ends = f"transform(array_sort(transform({edits}, e -> named_struct('start', e.at, 'end', e.at + length(e.value)))), (x, i) -> x)"
-    cdata = f"flatten(transform({changed}, s -> transform(s.kept, k -> named_struct('type', k.type, 'original_value', k.value, 'masked_value', repeat('*', k.end - k.start), 'line', {line_sql(t, '(s.at + k.start)')}, 'column', {column_sql(t, '(s.at + k.start)')}, 'confidence', 0.95D))))"
-    others = f"transform(filter({edits}, e -> e.pass > 1), e -> named_struct('type', e.type, 'original_value', e.value, 'masked_value', e.mask, 'line', {line_sql(t, 'e.at')}, 'column', {column_sql(t, 'e.at')}, 'confidence', e.confidence))"
-    (sorted_ends,) = unused(df, "_mt_ends")
-    out = out.withColumn("detections", F.expr(f"concat({cdata}, {others})")).withColumn(sorted_ends, F.expr(ends))
-    return out.withColumns(
-        {
-            "masked_text": F.when(F.col(text_col).isNotNull(), F.expr(apply_edits_sql(t, edits))),
-            "masking_applied": F.expr("size(detections) > 0"),
-            "has_overlap": F.expr(f"exists(transform({sorted_ends}, (x, i) -> i > 0 and x.start < array_max(transform(slice({sorted_ends}, 1, i), y -> y.end))), o -> o)"),
-        }
-    ).drop(t, scored, xml, marked, sections, changed, edits, values, sorted_ends)
+        kept = let("f", firsts_sql(f"transform({edits}, e -> e.value)"), f"filter({edits}, (e, i) -> f[i])")
+    out = out.withColumn(edits, F.expr(f"if(size({edits}) = 0, {edits}, {kept})"))
+    any_edit = f"size({edits}) > 0"
+    out = out.withColumns({parts: F.expr(f"if({any_edit}, {parts_sql(t)}, null)"), ordered: F.expr(f"array_sort(transform({edits}, e -> named_struct('start', e.at, 'end', e.at + length(e.value), 'mask', e.mask)))")})
+    out = out.withColumns({marks: F.expr(f"if({any_edit}, {marks_sql(parts)}, null)"), "has_overlap": F.expr(f"exists(transform({ordered}, (x, i) -> i > 0 and x.start < {ordered}[greatest(i - 1, 0)].end), o -> o)")})
+    line, column = (lambda pos: line_at_sql(parts, marks, pos)), (lambda pos: column_at_sql(parts, marks, pos))
+    cdata = f"flatten(transform({changed}, s -> transform(s.kept, k -> named_struct('type', k.type, 'original_value', k.value, 'masked_value', repeat('*', k.end - k.start), 'line', {line('(s.at + k.start)')}, 'column', {column('(s.at + k.start)')}, 'confidence', 0.95D))))"
+    others = f"transform(filter({edits}, e -> e.pass > 1), e -> named_struct('type', e.type, 'original_value', e.value, 'masked_value', e.mask, 'line', {line('e.at')}, 'column', {column('e.at')}, 'confidence', e.confidence))"
+    masked_text = f"case when `{text_col}` is null or not {any_edit} then `{text_col}` when has_overlap then {apply_edits_sql(t, edits)} else {apply_apart_sql(parts, f'length({t})', ordered)} end"
+    out = out.withColumns({"detections": F.expr(f"concat({cdata}, {others})"), "masked_text": F.expr(masked_text)}).withColumn("masking_applied", F.expr("size(detections) > 0"))
+    first = [c for c in out.columns if c not in ("masked_text", "detections", "masking_applied", "has_overlap")]
+    return out.select(*[f"`{c}`" for c in first], "masked_text", "detections", "masking_applied", "has_overlap").drop(t, scored, xml, marked, sections, changed, edits, parts, marks, ordered)
 
 
 def mask_text(df: DataFrame, text_col: str = "text", config: MaskingConfig | None = None, safe: bool = False) -> DataFrame:

@@ -78,6 +78,29 @@ def test_many_matches_keep_their_offsets(spark):
     assert [(r["pos"], r["value"]) for r in rows] == [(m.start(), m.group()) for m in re.finditer("[0-9]+", text)]
 
 
+def test_places_in_long_texts(spark):
+    from maskwright.functions import spans
+
+    text = "é\nab" * 700 + "x" * 3000 + "\n" + "日\n" * 600 + "tail"
+    df = spark.createDataFrame([(text,), ("",), ("one",)], "t string").selectExpr("t", f"{spans.parts_sql('t')} as p").selectExpr("t", "p", f"{spans.marks_sql('p')} as m")
+    places = [0, 1, 2, 1023, 1024, 1025, 2047, 2048, 2800, 5000, 5799, 5800, 5801, 5802, 6144, len(text) - 1]
+    columns = [f"array({spans.line_at_sql('p', 'm', str(i))}, {spans.column_at_sql('p', 'm', str(i))}) as c{i}" for i in places]
+    pieces = [(0, 0), (0, 5), (1000, 24), (1000, 25), (1024, 1024), (5, 5000), (len(text) - 3, 3), (0, len(text))]
+    cut = [f"{spans.part_sql('p', str(a), str(n))} as p{k}" for k, (a, n) in enumerate(pieces)]
+    row = df.selectExpr(*columns, *cut, "t").where("length(t) > 3").first()
+    for i in places:
+        assert row[f"c{i}"] == [text[:i].count("\n") + 1, i - text[:i].rfind("\n") - 1], i
+    assert [row[f"p{k}"] for k in range(len(pieces))] == [text[a : a + n] for a, n in pieces]
+    values = spark.createDataFrame([(["b", None, "a", "b", "a", None, "c"],), ([],)], "v array<string>")
+    assert [r[0] for r in values.selectExpr(spans.firsts_sql("v")).collect()] == [[True, False, True, False, False, False, True], []]
+
+
+def test_plain_text_of_a_cdata_section_counts_as_xml(spark):
+    df = spark.createDataFrame([(1, "mail a.bc@firm.net now")], "id long, text string")
+    plain, inside = (detect.candidates(df, "text", MaskingConfig(inside_cdata=x)).first() for x in (False, True))
+    assert plain["structure"] == "plain_text" and inside["structure"] == "xml" and inside["threshold"] < plain["threshold"]
+
+
 def test_disabled_and_empty(spark):
     df = spark.createDataFrame([(1, "user card 4929963689861572"), (2, None), (3, "")], "id long, text string")
     assert detect.detect(df, "text", MaskingConfig(enabled=False)).count() == 0
@@ -124,5 +147,5 @@ def test_business_dates_query_looks_at_whole_texts(spark, tmp_path):
     late = "x" * 500 + " payment on 2024-03-01"
     spark.createDataFrame([(1, late)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "<p>dob 12/03/1980</p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    found = tables.queries()["business_dates_whole"](spark, str(tmp_path)).where("src <> 'line'").collect()
+    found = tables.queries()["business_dates"](spark, str(tmp_path)).where("src <> 'line'").collect()
     assert sorted(tuple(r) for r in found) == [("doc", 1, "2024-03-01", late.index("2024"), True), ("page", 1, "12/03/1980", 7, False)]

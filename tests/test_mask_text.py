@@ -66,6 +66,16 @@ def test_second_occurrence_stays_clear_unless_safe(spark):
     assert "4929963689861572" not in mask_text.with_masked_text(df, safe=True).first()["masked_text"]
 
 
+def test_very_many_matches(spark):
+    """Thousands of edits that keep or change the length, over many lines, equal the model."""
+    text = "".join(f"user mail é.{i}@corp.org and card 4929963689861572 of ann{i}@firm.net\n" for i in range(1500))
+    df = spark.createDataFrame([(text,)], "text string")
+    row = mask_text.with_masked_text(df, "text", MaskingConfig(as_of=AS_OF)).first()
+    want, found = model.mask_text(text, MaskingConfig(as_of=AS_OF))
+    assert row["masked_text"] == want and not row["has_overlap"]
+    assert [(d["type"], d["original_value"], d["masked_value"], d["line"], d["column"]) for d in row["detections"]] == found and len(found) > 2900
+
+
 def test_messages(spark):
     df = spark.createDataFrame([("mail private a.bc@corp.org, user d.ef@corp.org, user card 4929963689861572 x",), ("none",)], "text string")
     cfg = MaskingConfig(include_stats=True)
