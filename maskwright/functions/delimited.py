@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .dialect import SPARK, Spark
 
 # The delimiters tried, in order of preference, and their names.
@@ -118,3 +120,8 @@ def number(x: str, d: Spark = SPARK) -> str:
 
 def is_one_of(x: str, words: tuple[str, ...]) -> str:
     return f"lower({x}) in ({', '.join(f"'{w}'" for w in words)})"
+
+
+def naive_cells(line: str, delimiter: str) -> list[str]:
+    """The pieces between delimiters, trimmed, without a quote at either end."""
+    return [re.sub(r"^[\"']|[\"']$", "", x.strip()) for x in line.split(delimiter)]

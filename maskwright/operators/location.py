@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..config import RenderConfig
 from ..functions import delimited as dl
 from ..functions.dialect import SPARK, Spark
+from ..functions.safe import or_else
 from ..functions.spans import spans_sql
 
+# Fixed value: what a tag looks like.
 TAG = r"</?([a-zA-Z][a-zA-Z0-9-_]*)[^>]*>"
 
 # Languages and file extensions of each kind of document; parents that hold tags of another name.
@@ -157,11 +159,11 @@ class XmlText:
         box = box or self._parent(depth, at)
         if box is None:
             return 0
-        inside = [m.start() for m in re.finditer(rf"<\b{re.escape(name)}\b[^>]*>", self.text[box[0] : box[1]], re.ASCII)]
-        return sum(box[0] + x < at for x in inside)
+        starts = self.starts(name)
+        return bisect_left(starts, min(at, box[1])) - bisect_left(starts, box[0])
 
     def path(self, offset: int, indexing: str = "local") -> str | None:
-        stack: list[tuple[str, int]] = []
+        stack: list[tuple[str, int, int]] = []
         depth = 0
         for start, name, closing, alone in self.tags:
             if start > offset:
@@ -171,9 +173,11 @@ class XmlText:
                     stack.pop()
                 depth -= 1
             elif not alone:
-                stack.append((name, self.global_index(name, start) if indexing == "global" else self.local_index(name, depth, start)))
+                stack.append((name, depth, start))
                 depth += 1
-        shown = [f"{n}[{i}]" if len(self.starts(n)) > 1 or i > 0 else n for n, i in stack]
+        # only the tags left open at the offset need their index
+        indexed = [(n, self.global_index(n, at) if indexing == "global" else self.local_index(n, level, at)) for n, level, at in stack]
+        shown = [f"{n}[{i}]" if len(self.starts(n)) > 1 or i > 0 else n for n, i in indexed]
         return " > ".join(shown) or None
 
 
@@ -198,9 +202,9 @@ def path_udf(kind: str, indexing: str = "local", fallback: bool = False):
     def paths(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, offset in texts:
             if kind == "xml":
-                yield pd.Series([xml_path(t, int(o), indexing) for t, o in zip(text, offset, strict=True)], dtype=object)
+                yield pd.Series([or_else(xml_path)(t, int(o), indexing) for t, o in zip(text, offset, strict=True)], dtype=object)
             else:
-                found = [json_path(t, int(o)) for t, o in zip(text, offset, strict=True)]
+                found = [or_else(json_path)(t, int(o)) for t, o in zip(text, offset, strict=True)]
                 yield pd.Series([p or ("JSON" if fallback and t is not None and _is_json(t) else None) for p, t in zip(found, text, strict=True)], dtype=object)
 
     return paths
@@ -383,32 +387,30 @@ def delimited_context(text: str, start: tuple[int, int], end: tuple[int, int]) -
     return f"{name} > {', '.join(names)}"
 
 
-def _line_starts(full: list[str], selected: list[str], first_char: int, delimiter: str) -> list[int]:
-    out = []
-    for i, (line, part) in enumerate(zip(full, selected, strict=True)):
-        at = first_char if i == 0 else max(0, line.find(part))
-        partial = part[:1] not in (delimiter, '"', "'")
-        out.append(line[:at].count(delimiter) + partial)
-    return out
-
+def aligned_lines(full: list[str], selected: list[str], start_line: int, first_char: int, delimiter: str) -> tuple[list[str], int, list[int]]:
+    """(lines trimmed back to the leftmost column any of them starts at, that column, the column that each line returned really begins in).
 
-def aligned_lines(full: list[str], selected: list[str], start_line: int, first_char: int, delimiter: str) -> tuple[list[str], int]:
-    """(lines trimmed back to the leftmost column any of them starts at, that column).
-
-    full: the whole lines; selected: what is selected of each; start_line counts from 1, where nothing is trimmed.
+    full: the whole lines; selected: what is selected of each; start_line counts
+    from 1, where nothing is trimmed. A line that starts with a part of a field
+    counts as starting at the next column.
     """
     if start_line <= 1 or not selected:
-        return selected, 0
-    starts = _line_starts(full, selected, first_char, delimiter)
+        return selected, 0, [0] * len(selected)
+    begins, starts = [], []
+    for i, (line, part) in enumerate(zip(full, selected, strict=True)):
+        at = first_char if i == 0 else max(0, line.find(part))
+        begins.append(line[:at].count(delimiter))
+        starts.append(begins[-1] + (part[:1] not in (delimiter, '"', "'")))
     least = min(starts)
     out = []
-    for line, part, own in zip(full, selected, starts, strict=True):
-        if own > least:
-            pieces = line.split(delimiter)
-            out.append(line if least == 0 else delimiter.join(pieces[least:]) if len(pieces) > least else part)
+    for k, (line, part) in enumerate(zip(full, selected, strict=True)):
+        pieces = line.split(delimiter)
+        if starts[k] > least and len(pieces) > least:
+            out.append(delimiter.join(pieces[least:]))
+            begins[k] = least
         else:
             out.append(part)
-    return out, least
+    return out, least, begins
 
 
 def delimited_context_udf():
@@ -416,19 +418,19 @@ def delimited_context_udf():
 
     @F.pandas_udf("string")
     def contexts(text: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else delimited_context(t, (int(p), int(q)), (int(r), int(s))) for t, p, q, r, s in zip(text, a, b, c, d, strict=True)], dtype=object)
+        return pd.Series([None if t is None else or_else(delimited_context)(t, (int(p), int(q)), (int(r), int(s))) for t, p, q, r, s in zip(text, a, b, c, d, strict=True)], dtype=object)
 
     return contexts
 
 
 def aligned_lines_udf():
-    """Arrow UDF (full lines, selected lines, start line, first character, delimiter) -> struct(lines, first_column) as aligned_lines gives them."""
+    """Arrow UDF (full lines, selected lines, start line, first character, delimiter) -> struct(lines, first_column, columns) as aligned_lines gives them."""
 
-    @F.pandas_udf("lines array<string>, first_column int")
+    @F.pandas_udf("lines array<string>, first_column int, columns array<int>")
     def aligned(full: pd.Series, selected: pd.Series, start_line: pd.Series, first_char: pd.Series, delimiter: pd.Series) -> pd.DataFrame:
         rows = zip(full, selected, start_line, first_char, delimiter, strict=True)
-        found = [(None, 0) if s is None else aligned_lines(list(f), list(s), int(a), int(b), d) for f, s, a, b, d in rows]
-        return pd.DataFrame({"lines": pd.Series([x[0] for x in found], dtype=object), "first_column": [x[1] for x in found]})
+        found = [(None, 0, None) if s is None else aligned_lines(list(f), list(s), int(a), int(b), d) for f, s, a, b, d in rows]
+        return pd.DataFrame({"lines": pd.Series([x[0] for x in found], dtype=object), "first_column": [x[1] for x in found], "columns": pd.Series([x[2] for x in found], dtype=object)})
 
     return aligned
 

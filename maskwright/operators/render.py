@@ -175,6 +175,51 @@ def simple_table(headers: list[str], rows: list[list[str]], widths: list[int] |
     return "\n".join([_frame(widths, "┌", "┬", "┐"), line(headers), _frame(widths, "├", "┼", "┤"), *map(line, rows), _frame(widths, "└", "┴", "┘")])
 
 
+def _value(v: str) -> float:
+    try:
+        return float(v)
+    except ValueError:
+        return float(int(v.strip(), 0))
+
+
+def _mostly(values: list[str]) -> str | None:
+    """What more than 0.7 of a column's cells are: Boolean, Float, Integer; else None."""
+    from ..functions.delimited import BOOLEANS
+
+    if sum(v.lower() in BOOLEANS for v in values) > 0.7 * len(values):
+        return "Boolean"
+    if sum(map(_is_number, values)) > 0.7 * len(values):
+        return "Float" if any("." in v for v in values) else "Integer"
+    return None
+
+
+def rows_report(config: RenderConfig, name: str, start: int, end: int, headers: list[str], rows: list[list[str]]) -> str:
+    """A selection's rows in the output mode table, smart or detailed; lines count from 1, data below a header line one on."""
+    where = str(start) if start == end else f"{start}-{end}"
+    summary = f"// Summary: {_plural(len(rows), 'row')} × {_plural(len(headers), 'column')}"
+    if config.output_mode == "table":
+        return f"// {name}:{where} | {_plural(len(rows), 'record')}\n\n{ascii_table(rows, headers, config)}\n\n{summary}"
+    columns = [[r[i] if i < len(r) else "" for r in rows] for i in range(len(headers))]
+    first = start + (start == 1)
+    data = [f"{first + i}: {', '.join(r)}" for i, r in enumerate(rows)]
+    head = [f"// {name}:{where}", f"// Columns: {', '.join(headers)}", f"// Types: {', '.join(_mostly(c) or 'String' for c in columns)}", ""]
+    if config.output_mode == "smart":
+        return "\n".join([*head, *data])
+    statistics = []
+    for h, values in zip(headers, columns, strict=True):
+        numbers = [_value(v) for v in values if _is_number(v)]
+        if len(numbers) > 0.7 * len(values):
+            statistics.append(f"  {h}: min={min(numbers):.2f}, max={max(numbers):.2f}, avg={sum(numbers) / len(numbers):.2f}")
+    titles = {
+        "Identifier columns": [h for h in headers if re.search("id|key|number", h.lower())],
+        "Category columns": [h for h, values in zip(headers, columns, strict=True) if 1 < len(set(values)) < 0.5 * len(values)],
+        "Date/Time columns": [h for h in headers if re.search("date|time", h.lower())],
+    }
+    insights = [f"//   {title}: {', '.join(own)}" for title, own in titles.items() if own]
+    parts = [*head, *(["// Statistics:", *statistics, ""] if statistics else []), *(["// Insights:", *insights, ""] if insights else [])]
+    return "\n".join([*parts, "// Data:", *data, "", summary])
+
+
 def table_report(df: DataFrame, name: str, config: RenderConfig | None = None, start_line: int = 1) -> str:
     """The first rows of df as a table, with its numbers of rows and columns."""
     config = config or RenderConfig()

@@ -154,12 +154,14 @@ def is_sensitive_sql(name: str, config: MaskingConfig) -> str:
     return f"({_name_has(name, config.deny_list)} or {built_in})"
 
 
-def mask_delimited_texts(df: DataFrame, text_col: str, config: MaskingConfig | None = None, header_col: str | None = None) -> DataFrame:
+def mask_delimited_texts(df: DataFrame, text_col: str, config: MaskingConfig | None = None, header_col: str | None = None, columns_col: str | None = None) -> DataFrame:
     """df with masked_text and detections of texts that hold delimited lines.
 
     The header is the first line, which stays, or header_col where it isn't
-    null, and then every line is data. Lines are read and joined with commas;
-    detections tell the line of the text and the column's number. Null stays null.
+    null, and then every line is data. columns_col: an array with the header's
+    column that each data line begins in; without it, or where it is null, they
+    begin in the first. Lines are read and joined with commas; detections tell
+    the line of the text and the header's column. Null stays null.
     """
     config = config or MaskingConfig()
     t, lines, names, cells = unused(df, "_dt_text", "_dt_lines", "_dt_names", "_dt_cells")
@@ -169,9 +171,10 @@ def mask_delimited_texts(df: DataFrame, text_col: str, config: MaskingConfig | N
     header = f"transform({dl.parse(f'coalesce({outside}, {lines}[0])', ',', True)}, n -> named_struct('name', n, 'type', {column_type_sql('n')}, 'hide', {is_sensitive_sql('n', config)}))"
     data = f"if({outside} is null, slice({lines}, 2, size({lines})), {lines})"
     shift = f"if({outside} is null, 2, 1)"
+    at = f"(i + coalesce(get(`{columns_col}`, k), 0))" if columns_col else "i"
     each = (
-        f"transform({data}, (l, k) -> transform({dl.parse('l', ',', True)}, (f, i) -> named_struct('value', f, 'line', k + {shift}, 'index', i, 'name', coalesce(try_element_at({names}, i + 1).name, ''), "
-        f"'type', coalesce(try_element_at({names}, i + 1).type, 'custom'), 'hide', coalesce(try_element_at({names}, i + 1).hide, false) and f <> '')))"
+        f"transform({data}, (l, k) -> transform({dl.parse('l', ',', True)}, (f, i) -> named_struct('value', f, 'line', k + {shift}, 'index', {at}, 'name', coalesce(get({names}, {at}).name, ''), "
+        f"'type', coalesce(get({names}, {at}).type, 'custom'), 'hide', coalesce(get({names}, {at}).hide, false) and f <> '')))"
     )
     shown = f"transform({cells}, cs -> array_join(transform(cs, c -> if(c.hide, {mask}, c.value)), ','))"
     found = (
