@@ -1,19 +1,23 @@
 """The row-wise operators on streams, and counts of detections per event-time window.
 
 Detection and masking are projections, so the batch functions run unchanged
-on a streaming DataFrame; only the counts keep state, bounded by the watermark.
+on a streaming DataFrame; only the counts keep state. They leave it, in append
+mode, as soon as the watermark has passed their window, for a file sink.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MaskingConfig
 from ..operators.detect import detect
 from ..operators.mask_text import mask_text
+from ..storage import own_path
+
+STREAM_CONFIG = MaskingConfig(as_of="2025-06-15", confidence_threshold=0.5)
+#: When a document arrives: SQL of either engine, given its spelling of 7 * doc_id minutes.
+EVENT_TIME = "timestamp '2024-01-01 00:00:00' + {interval}"
 
 
 def detect_stream(stream: DataFrame, text_col: str = "text", config: MaskingConfig | None = None) -> DataFrame:
@@ -30,13 +34,21 @@ def windowed_counts(stream: DataFrame, time_col: str, text_col: str = "text", wi
     return found.groupBy(F.window(time_col, window), "type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "type", "n")
 
 
-def counts_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """windowed_counts over the events read as a stream to its end, every tenth with a card number in its text."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, since a stream's plain path has to be a folder
-    rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 10 == 0, F.lit("user card 4929963689861572 ok")).otherwise(F.lit("nothing here")).alias("text"))
-    name = f"counts_{uuid.uuid4().hex}"
-    query = windowed_counts(rows, "ts").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+def append_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run the stream to the end of what there is, appending closed windows to Parquet files in path."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def counts_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """windowed_counts over the texts of documents read as a stream to its end, seven minutes apart by id.
+
+    Only windows that the watermark (two hours behind the latest) has passed are there.
+    """
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/document[s].parquet")  # a pattern, since a stream's plain path has to be a folder
+    arrival = EVENT_TIME.format(interval="make_dt_interval(0, 0, cast(7 * doc_id as int), 0)")
+    rows = stream.selectExpr(f"cast({arrival} as timestamp) as ts", "text")
+    path = own_path(spark, "counts")
+    counts = windowed_counts(rows, "ts", config=STREAM_CONFIG)
+    append_to_files(counts, path, own_path(spark, "progress"))
+    return spark.read.schema(counts.schema).parquet(path).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
