@@ -108,6 +108,54 @@ def scored_duck(config: MaskingConfig) -> str:
     ranked AS (SELECT *, decided AND row_number() OVER (PARTITION BY src, id, value, decided ORDER BY priority, pos) = 1 AS first FROM scored)"""
 
 
+def _matches_duck(rx: str, groups: int, source: str = "texts") -> str:
+    """src, id, text, whole match, its groups g1.., pos: the matches of an expression."""
+    caught = "".join(f", regexp_extract_all(text, '{rx}', {i}) AS a{i}" for i in range(1, groups + 1))
+    own = "".join(f", a{i}[i] AS g{i}" for i in range(1, groups + 1))
+    return f"""SELECT src, id, text, m[i] AS whole{own}, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS int) AS pos
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT src, id, text, regexp_extract_all(text, '{rx}') AS m, string_split_regex(text, '{rx}') AS g{caught} FROM {source} WHERE regexp_matches(text, '{rx}')))"""
+
+
+def _type_duck(name: str) -> str:
+    """The type a field's name stands for."""
+    known = rf"regexp_replace(lower({name}), '[_\s-]', '', 'g')"
+    cases = []
+    for category, words in reg.COLUMN_CATEGORIES.items():
+        alternatives = "|".join(w.replace(" ", "").replace("_", "").replace("-", "") for w in words)
+        result = f"CASE WHEN contains({known}, 'nmi') THEN 'nmi' ELSE 'accountNumber' END" if category == "identifier" else text(reg.CATEGORY_TYPES.get(category, "custom"))
+        cases.append(f"WHEN regexp_matches({known}, '{alternatives}') THEN {result}")
+    return f"CASE {' '.join(cases)} ELSE 'custom' END"
+
+
+def masked_duck(config: MaskingConfig) -> str:
+    """After scored_duck: claimed, the edits of each text, and masked(src, id, text, masked_text, n, has_overlap), for texts without CDATA.
+
+    A match of a tag's content ends at the next closing tag; one of another name
+    is no field. Edits are applied as they come: those that keep the length
+    first, each kind from the last to the first.
+    """
+    types = config.effective_types()
+    off = ", ".join(text(k) for k, v in types.items() if v is False)
+    known = sorted({*reg.CATEGORY_TYPES.values(), "nmi", "custom"})
+    fields = []
+    for k, (rx, groups, where) in enumerate(((r'"([^"]+)"\s*:\s*"([^"]+)"', 2, "true"), (r'"([^"]+)"\s*:\s*([0-9\s-]+)', 2, "true"), (r"<([^>\s/]+)>([^<]+)</([^>]*)>", 3, "g1 = g3"))):
+        fields.append(f"SELECT src, id, text, g2 AS value, pos + instr(whole, g2) - 1 AS pos, {_type_duck('g1')} AS type, {2 + k} AS pass, pos AS rank FROM ({_matches_duck(rx, groups, 'marked')}) WHERE {where} AND NOT regexp_matches(g2, '^\\s*\\z')")
+    by_type = detect.mask_by_type_sql("value", "type", config.strategy, known, dialect=DUCK)
+    enabled = [d.type for d in reg.REGISTRY.enabled(types)]
+    by_pattern = f"CASE WHEN regexp_matches(text, '<[^>]+>') THEN {detect.mask_by_type_sql('value', 'type', 'structural', enabled, dialect=DUCK)} ELSE {detect.mask_by_type_sql('value', 'type', config.strategy, enabled, dialect=DUCK)} END"
+    step = "{'t': substring(a.t, 1, x.at) || x.mask || substring(a.t, x.at + x.n + 1), 'at': 0, 'n': 0, 'mask': ''}"
+    return rf""",
+    marked AS (SELECT * FROM texts WHERE regexp_matches(text, '^\s*[\[{{{{]|"[^"]+"\s*:') OR regexp_matches(text, '<[^>]+>')),
+    fields AS (SELECT *, {by_type} AS mask FROM ({' UNION ALL '.join(fields)}) WHERE type NOT IN ({off})),
+    proposed AS (SELECT src, id, text, value, pos, pass, rank, 0 AS priority, mask FROM fields
+      UNION ALL SELECT src, id, text, value, pos, 5 AS pass, pos AS rank, priority, {by_pattern} AS mask FROM scored WHERE decided),
+    claimed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, id, value ORDER BY pass, priority, rank) AS claim FROM proposed) WHERE claim = 1),
+    apart AS (SELECT src, id, bool_or(pos < coalesce(before, 0)) AS has_overlap FROM (SELECT src, id, pos, lag(pos + length(value)) OVER (PARTITION BY src, id ORDER BY pos, pos + length(value)) AS before FROM claimed) GROUP BY src, id),
+    scripts AS (SELECT src, id, count(*) AS n, list({{{{'t': '', 'at': pos, 'n': length(value), 'mask': mask}}}} ORDER BY (length(mask) = length(value)) DESC, pos DESC, pass, priority, rank) AS script FROM claimed GROUP BY src, id),
+    masked AS (SELECT src, id, text, CASE WHEN script IS NULL THEN text ELSE list_reduce(list_prepend({{{{'t': text, 'at': 0, 'n': 0, 'mask': ''}}}}, script), lambda a, x: {step}).t END AS masked_text,
+      coalesce(n, 0)::INT AS n, coalesce(has_overlap, false) AS has_overlap FROM texts LEFT JOIN scripts USING (src, id) LEFT JOIN apart USING (src, id))""".replace("{{", "{").replace("}}", "}")
+
+
 DEFAULT = MaskingConfig(as_of=AS_OF)
 CONFIGS = {
     "default": DEFAULT,
@@ -138,6 +186,18 @@ def _masked_query(config: MaskingConfig) -> tuple[Callable, str]:
     return run, f"{scored_duck(config)} SELECT src, id, {columns} FROM ranked WHERE first"
 
 
+def _masked_texts_query(strategy: str) -> tuple[Callable, str]:
+    """Whole-text masking of documents, pages and lines."""
+    from ..operators import mask_text
+
+    config = MaskingConfig(as_of=AS_OF, strategy=strategy, confidence_threshold=0.5)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return mask_text.with_masked_text(texts(spark, sf_dir), "text", config).selectExpr("src", "id", "sha2(masked_text, 256) as digest", "size(detections) as n", "has_overlap")
+
+    return run, f"{scored_duck(config)}{masked_duck(config)} SELECT src, id, sha256(masked_text) AS digest, n, has_overlap FROM masked"
+
+
 def _by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.counts_by_type(detect.detect(texts(spark, sf_dir), "text", CONFIGS["low_threshold"]), "src")
 
@@ -155,6 +215,7 @@ def _all() -> dict[str, tuple[Callable, str | None]]:
     out["detect_masked_partial"] = _masked_query(CONFIGS["low_threshold"])
     for strategy in ("full", "structural", "hash", "redact"):
         out[f"detect_masked_{strategy}"] = _masked_query(MaskingConfig(as_of=AS_OF, confidence_threshold=0.5, strategy=strategy))
+    out |= {f"mask_text_{s}": _masked_texts_query(s) for s in ("partial", "full", "structural", "hash", "redact")}
     out["detections_by_type"] = _by_type, f"{scored_duck(CONFIGS['low_threshold'])} SELECT src, type, count(*) AS n FROM ranked WHERE first GROUP BY src, type"
     return out
 

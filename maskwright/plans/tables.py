@@ -95,19 +95,12 @@ _LOOKUPS_SQL = f"SELECT {', '.join(_kind_columns(DUCK))} FROM (VALUES {', '.join
 
 # ---- profiles ----
 
+#: Every column of each table.
 _PROFILED = {
-    "lineitem": ("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
-    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"),
-    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
-    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
-    "events": ("event_id", "user_id", "event_type", "value", "props"),
-}
-
-
-#: Every column of the tables that _PROFILED takes a part of.
-_PROFILED_WHOLE = {
     "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
     "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
     "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
 }
 
@@ -286,12 +279,21 @@ def _tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAG_COUNTS_SQL = "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{t}\\b[^>]*>'))::BIGINT AS n_{t}" for t in ("p", "div", "a", "li")) + " FROM pages"
 
 
+#: A record made of an event's columns, and per event the word in it whose place is asked for, with the path there.
+_RECORD = "concat('{\"user\": {\"id\": ', cast(user_id as string), ', \"events\": [', props, ', {\"kind\": \"', event_type, '\", \"value\": ', cast(cast(value * 100 as bigint) as string), '}]}, \"tail\": [[1], [22, 333], \"', event_type, '\"]}')"
+_ASKED = (("concat('\"id\": ', cast(user_id as string))", "6", "'user.id'"), ("'\"kind\": \"'", "9", "'user.events[1].kind'"), ("'\"value\": '", "9", "'user.events[1].value'"), ("'22, 333'", "0", "'tail[1][0]'"), ("'22, 333'", "5", "'tail[1][1]'"), ("concat('333], \"', event_type)", "7", "'tail[2]'"), ("'{\"user'", "0", "null"))
+
+
 def _json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events").selectExpr("event_id", "concat('{\"rows\": [', props, ', ', props, ']}') as t", "length(props) as n")
-    return events.select("event_id", location.path_udf("json")("t", F.col("n") + 16).alias("path"), location.path_udf("json")("t", F.lit(12)).alias("first"))
+    at = " ".join(f"when {i} then instr(t, {word}) - 1 + {skip}" for i, (word, skip, _) in enumerate(_ASKED))
+    events = _table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "user_id", f"{_RECORD} as t").selectExpr("event_id", "t", f"cast(case event_id % {len(_ASKED)} {at} end as int) as at")
+    return events.select("event_id", "at", location.path_udf("json")("t", "at").alias("path"))
 
 
-_JSON_PATHS_SQL = "SELECT event_id, 'rows[1]' AS path, 'rows[0]' AS first FROM events"
+def _json_paths_sql() -> str:
+    at = " ".join(f"when {i} then strpos(t, {word}) - 1 + {skip}" for i, (word, skip, _) in enumerate(_ASKED))
+    path = " ".join(f"when {i} then {path}" for i, (_, _, path) in enumerate(_ASKED))
+    return f"SELECT event_id, cast(case event_id % {len(_ASKED)} {at} end as int) AS at, case event_id % {len(_ASKED)} {path} end AS path FROM (SELECT *, {_RECORD} AS t FROM events)"
 
 
 def _xml_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,20 +301,40 @@ def _xml_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", location.path_udf("xml")("html", "at").alias("path"), location.path_udf("xml", "global")("html", "at").alias("global_path"))
 
 
+#: Code about each customer: language, text, line asked for, and what stands around it; <k> is the key, <n> the nation's.
 CODE = (
-    ("python", "class A:\n    def f(self):\n        x = 1\n\ndef g():\n    pass", 2), ("python", "class A:\n    def f(self):\n        x = 1\n\ndef g():\n    pass", 5),
-    ("typescript", "class B {\n  async run(a) {\n    const z = (q) => q;\n  }\n}", 2), ("javascript", "function outer() {\n  let y = 2;\n}", 1),
-    ("csharp", "namespace N.M\n{\n  public class C\n  {\n    public void Do(int a)\n    {\n      x();\n", 6), ("powershell", "function Get-It {\n  $x\n}", 1), ("go", "func main() {}", 0),
+    ("python", "class A<k>:\n    def f<n>(self):\n        x = 1\n\ndef g<k>():\n    pass", 2, "A<k> > f<n>"),
+    ("python", "class A<k>:\n    def f<n>(self):\n        x = 1\n\ndef g<k>():\n    pass", 5, "A<k> > g<k>"),
+    ("typescript", "class B<k> {\n  async run<n>(a) {\n    const z<n> = (q) => q;\n  }\n}", 2, "B<k> > z<n>"),
+    ("typescript", "class B<k> {\n  async run<n>(a) {\n    return <k>;\n  }\n}", 2, "B<k> > run<n>"),
+    ("javascript", "function outer<k>() {\n  let y = <n>;\n}", 1, "outer<k>"),
+    ("csharp", "namespace N.M<n>\n{\n  public class C<k>\n  {\n    public void Do<n>(int a)\n    {\n      x();\n", 6, "C<k> > Do<n>"),
+    ("csharp", "namespace N.M<n>\n{\n  public class C<k>\n  {\n    int x;\n", 4, "N.M<n> > C<k>"),
+    ("powershell", "function Get-It<k> {\n  $x<n>\n}", 1, "Get-It<k>"),
+    ("go", "func main<k>() {}", 0, None),
 )
 
 
+def _filled(template: str) -> str:
+    """SQL of either engine: a template with the keys of its row."""
+    pieces = [f"replace(replace({text(x)}, '<k>', cast(c_custkey as string)), '<n>', cast(c_nationkey as string))" for x in template.split("\n")]
+    return f"concat_ws(chr(10), {', '.join(pieces)})" if len(pieces) > 1 else pieces[0]
+
+
 def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(i, k, t, n) for i, (k, t, n) in enumerate(CODE)], "id int, language string, text string, line int")
+    kinds = " ".join(f"when {i} then '{k}'" for i, (k, *_) in enumerate(CODE))
+    texts = " ".join(f"when {i} then {_filled(t)}" for i, (_, t, _, _) in enumerate(CODE))
+    lines = " ".join(f"when {i} then {n}" for i, (_, _, n, _) in enumerate(CODE))
+    which = f"c_custkey % {len(CODE)}"
+    df = _table(spark, sf_dir, "customer").selectExpr("c_custkey", f"case {which} {kinds} end as language", f"case {which} {texts} end as text", f"case {which} {lines} end as line")
     cases = " ".join(f"when language = '{k}' then {location.code_context_sql('text', 'line', k)}" for k in location.LANGUAGES["code"])
-    return df.selectExpr("id", "language", f"case {cases} end as context")
+    return df.selectExpr("c_custkey", "language", f"case {cases} end as context")
 
 
-_CODE_SQL = "SELECT * FROM (VALUES (0, 'python', 'A > f'), (1, 'python', 'A > g'), (2, 'typescript', 'B > z'), (3, 'javascript', 'outer'), (4, 'csharp', 'C > Do'), (5, 'powershell', 'Get-It'), (6, 'go', NULL)) AS t(id, language, context)"
+def _code_sql() -> str:
+    kinds = " ".join(f"WHEN {i} THEN '{k}'" for i, (k, *_) in enumerate(CODE))
+    around = " ".join(f"WHEN {i} THEN {_filled(x) if x else 'NULL'}" for i, (*_, x) in enumerate(CODE))
+    return f"SELECT c_custkey, CASE c_custkey % {len(CODE)} {kinds} END AS language, CASE c_custkey % {len(CODE)} {around} END AS context FROM customer"
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,17 +347,10 @@ _RANGES_SQL = """WITH t AS (SELECT c_custkey, length(c_name) AS n1, length(c_nam
 
 
 def _business_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{detect.business_date_sql('substring(text, 1, 60)')} as business")
-
-
-_BUSINESS_SQL = f"SELECT doc_id, regexp_matches(lower(substring(text, 1, 60)), '{'|'.join(reg.BUSINESS_DATE_WORDS)}') AS business FROM documents"
-
-
-def _business_dates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.business_dates(detection.texts(spark, sf_dir), "text", keep=["src", "id"])
 
 
-_BUSINESS_WHOLE_SQL = f"""WITH texts AS ({detection.TEXTS_SQL})
+_BUSINESS_SQL = f"""WITH texts AS ({detection.TEXTS_SQL})
   SELECT src, id, value, pos, regexp_matches(lower(substring(text, greatest(pos - 100, 0) + 1, least(pos, 100))), '{'|'.join(reg.BUSINESS_DATE_WORDS)}') AS business FROM ({detection._spans_duck(reg.REGISTRY.get('dateOfBirth'))})"""
 
 
@@ -366,17 +381,26 @@ def _json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JSON_FIELDS_SQL = f"""SELECT event_id, '{{"user_id": ***' || right(cast(user_id + 1000000 AS string), 3) || ', "kind": "' || event_type || '", "email": "' || {mask_sql('email', "('u' || event_id || '@corp.org')", 'partial', DUCK)} || '"}}' AS masked_text, 2 AS n FROM events"""
 
 
-def _masked_documents(strategy: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = sources.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-        return mask_text.with_masked_text(docs, "text", MaskingConfig(as_of="2025-06-15", strategy=strategy, confidence_threshold=0.5)).selectExpr("doc_id", "sha2(masked_text, 256) as digest", "size(detections) as n", "has_overlap")
-
-    return run, None
+_CDATA_CONFIG = MaskingConfig(as_of="2025-06-15", types={"ipAddress": True})
+_CDATA_TEXT = "concat('<notes><![CDATA[', text, ']]></notes>')"
 
 
 def _cdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('<notes><![CDATA[', text, ']]></notes>') as text")
-    return mask_text.with_masked_text(docs, "text", MaskingConfig(as_of="2025-06-15")).selectExpr("doc_id", "length(masked_text) = length(text) as same_length", "size(detections) as n")
+    rows = detection.texts(spark, sf_dir).where("src = 'doc' or src = 'line' and not (text like '%\":%' or text like '%</%')").selectExpr("src", "id", f"{_CDATA_TEXT} as text")
+    return mask_text.with_masked_text(rows, "text", _CDATA_CONFIG).selectExpr("src", "id", "sha2(masked_text, 256) as digest", "size(filter(detections, d -> d.confidence = 0.95D and replace(d.masked_value, '*', '') = '')) as n")
+
+
+def _cdata_sql() -> str:
+    """The section's spans, taken in order of priority and place unless they overlap one taken before; a star for every character of theirs."""
+    found = " UNION ALL ".join(f"SELECT {i} AS priority, src, id, pos, value FROM ({detection._spans_duck(d, 'inner_texts')})" for i, d in enumerate(reg.REGISTRY.not_disabled(_CDATA_CONFIG.effective_types())))
+    clash = "(x[1].s >= k.s AND x[1].s < k.e) OR (x[1].e > k.s AND x[1].e <= k.e) OR (x[1].s <= k.s AND x[1].e >= k.e)"
+    inside = "len(list_filter(kept, lambda k: i > k.s AND i <= k.e)) > 0"
+    return f"""WITH texts AS ({detection.TEXTS_SQL}), inner_texts AS (SELECT * FROM texts WHERE src = 'doc' OR src = 'line' AND NOT (text LIKE '%":%' OR text LIKE '%</%')), found AS ({found}),
+    spans AS (SELECT src, id, list([{{'s': pos, 'e': pos + length(value)::INT}}] ORDER BY priority, pos) AS spans FROM found WHERE pos > 0 AND NOT contains(value, chr(10)) GROUP BY src, id),
+    taken AS (SELECT src, id, list_reduce(list_prepend(spans[1][1:0], spans), lambda a, x: CASE WHEN len(list_filter(a, lambda k: {clash})) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM spans),
+    masked AS (SELECT t.src, t.id, kept, CASE WHEN kept IS NULL THEN text ELSE list_reduce(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN {inside} THEN '*' ELSE substring(text, i, 1) END), lambda a, b: a || b) END AS body
+      FROM inner_texts t LEFT JOIN taken USING (src, id))
+    SELECT src, id, sha256('<notes><![CDATA[' || body || ']]></notes>') AS digest, coalesce(len(kept), 0)::INT AS n FROM masked"""
 
 
 def _custom(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,6 +425,27 @@ def _table_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, line) for i, line in enumerate(report.split("\n"))], "seq int, line string")
 
 
+def _table_report_sql() -> str:
+    """The frame drawn by hand: numbers to the right, the last columns told in one, the first twenty rows."""
+    line = "'│ ' || lpad(n_nationkey::VARCHAR, 11, ' ') || ' │ ...      │'"
+    lines = ["// nation.csv:1-26 | 25 records", "", "┌─────────────┬──────────┐", "│ n_nationkey │ (2 more) │", "├─────────────┼──────────┤"]
+    below = ["└─────────────┴──────────┘", "... 5 more rows (increase maxRows to see all)", "", "// Summary: 25 rows × 3 columns"]
+    values = ", ".join([f"({i}, {text(x)})" for i, x in enumerate(lines)] + [f"({i + 25}, {text(x)})" for i, x in enumerate(below)])
+    return f"SELECT seq::INT AS seq, line FROM (VALUES {values}) AS t(seq, line) UNION ALL SELECT (n + 4)::INT, {line} FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation) WHERE n <= 20"
+
+
+def _detailed_sql() -> str:
+    """Head, statistics of the numeric columns, insights, rows, summary: each line from the table by hand."""
+    statistics = " UNION ALL ".join(f"SELECT {5 + i}, printf('  {c}: min=%.2f, max=%.2f, avg=%.2f', min({c})::DOUBLE, max({c})::DOUBLE, avg({c})) FROM nation" for i, c in enumerate(("n_nationkey", "n_regionkey")))
+    few = "list_filter([CASE WHEN count(DISTINCT n_nationkey) < 0.5 * count(*) THEN 'n_nationkey' END, CASE WHEN count(DISTINCT n_name) < 0.5 * count(*) THEN 'n_name' END, CASE WHEN count(DISTINCT n_regionkey) < 0.5 * count(*) THEN 'n_regionkey' END], lambda x: x IS NOT NULL)"
+    fixed = {0: "// nation.csv:2-26", 1: "// Columns: n_nationkey, n_name, n_regionkey", 2: "// Types: Integer, String, Integer", 3: "", 4: "// Statistics:", 7: "", 8: "// Insights:", 9: "//   Identifier columns: n_nationkey, n_regionkey", 11: "", 12: "// Data:"}
+    values = ", ".join(f"({i}, {text(x)})" for i, x in fixed.items())
+    return f"""SELECT seq::BIGINT AS seq, line FROM (VALUES {values}) AS t(seq, line) UNION ALL {statistics}
+      UNION ALL SELECT 10, '//   Category columns: ' || array_to_string({few}, ', ') FROM nation
+      UNION ALL SELECT n_nationkey + 1002, (n_nationkey + 2) || ': ' || n_nationkey || ', ' || n_name || ', ' || n_regionkey FROM nation
+      UNION ALL SELECT 4611686018427387904, '' UNION ALL SELECT 4611686018427387905, '// Summary: ' || count(*) || ' rows × 3 columns' FROM nation"""
+
+
 def _report(kind: Callable) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _table(spark, sf_dir, "nation").withColumn("number", F.col("n_nationkey").cast("int") + 2)
@@ -434,9 +479,93 @@ _CATEGORIES_SQL = f"SELECT category, count(*) AS n_words, max(length(word)) AS l
 
 
 def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, copied as plain text, masked, with numbered lines."""
     lines = "split(coalesce(text, ''), '\\n', -1)"
     docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('doc', cast(doc_id as string), '.txt') as name", "concat('doc', cast(doc_id as string), '.txt') as path", "'plaintext' as language", "text", "0 as start_line", "0 as start_char", f"size({lines}) - 1 as end_line", f"length(element_at({lines}, -1)) as end_char")
-    return copying.copy_with_context(docs, MaskingConfig(as_of="2025-06-15")).selectExpr("doc_id", "sha2(output, 256) as digest", "size(detections) as n")
+    return copying.copy_with_context(docs, _COPY_CONFIG).selectExpr("doc_id", "sha2(output, 256) as digest", "size(detections) as n")
+
+
+_COPY_CONFIG = MaskingConfig(as_of="2025-06-15")
+
+
+def _copied_sql() -> str:
+    """Masking by its SQL; then each line with its number, without a common indent of more than two."""
+    return f"""{detection.scored_duck(_COPY_CONFIG)}{detection.masked_duck(_COPY_CONFIG)},
+    lines AS (SELECT id, n, string_split(coalesce(masked_text, ''), chr(10)) AS l FROM masked WHERE src = 'doc'),
+    indents AS (SELECT id, n, l, coalesce(list_min(list_transform(list_filter(l, lambda x: trim(x, chr(32) || chr(9)) <> ''), lambda x: length(x) - length(ltrim(x, chr(32) || chr(9))))), 0) AS indent FROM lines)
+    SELECT id AS doc_id, n, sha256('// doc' || id || '.txt:1' || CASE WHEN len(l) > 1 THEN '-' || len(l) ELSE '' END || chr(10) ||
+      array_to_string(list_transform(range(1, len(l) + 1), lambda i: i || ': ' || CASE WHEN indent > 2 AND length(l[i]) > indent THEN substring(l[i], indent + 1) ELSE l[i] END), chr(10))) AS digest FROM indents"""
+
+
+def _copied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line 0 of every page, with the path at its second list item; and as HTML."""
+    pages = _table(spark, sf_dir, "pages").selectExpr("page_id", "url as name", "url as path", "'html' as language", "html as text", "0 as start_line", "instr(html, '<li>') as start_char", "0 as end_line", "instr(html, '</ul>') as end_char")
+    return copying.copy_with_context(pages).selectExpr("page_id", "sha2(output, 256) as digest", "size(detections) as n")
+
+
+#: From inside the first <li>: html, head, meta (which nothing closes, and so not head either), body, nav, ul and li are open.
+_COPIED_PAGES_SQL = r"""SELECT page_id, sha256('// ' || url || ':1 (html > head > meta > body > nav > ul > li[0])' || chr(10) || '1: ' || substring(html, strpos(html, '<li>') + 1, strpos(html, '</ul>') - strpos(html, '<li>'))) AS digest, 0 AS n FROM pages WHERE strpos(html, '<li>') > 0"""
+
+
+def _copied_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of each event's second record, selected within one line of JSON."""
+    rows = _table(spark, sf_dir, "events").selectExpr("event_id", "'e.json' as name", "'e.json' as path", "'json' as language", f"concat('{{', chr(10), substring({_RECORD}, 2)) as text", "event_type")
+    at = "instr(split(text, '\\n', -1)[1], '\"kind\"') + 8"
+    rows = rows.selectExpr("*", "1 as start_line", f"{at} as start_char", "1 as end_line", f"{at} + length(event_type) as end_char")
+    return copying.copy_with_context(rows).selectExpr("event_id", "output")
+
+
+_COPIED_JSON_SQL = "SELECT event_id, '// e.json:2 (user.events[1].kind)' || chr(10) || '2: ' || event_type AS output FROM events"
+
+
+def _copied_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A method's line of a class about each customer."""
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "'a.py' as name", "'a.py' as path", "'python' as language", f"{_filled(CODE[0][1])} as text", "2 as start_line", "0 as start_char", "2 as end_line", "13 as end_char")
+    return copying.copy_with_context(rows).selectExpr("c_custkey", "output")
+
+
+_COPIED_CODE_SQL = "SELECT c_custkey, '// a.py:3 (A' || c_custkey || ' > f' || c_nationkey || ')' || chr(10) || '3: x = 1' AS output FROM customer"
+
+#: A file of a header, two rows and a blank line between them; odd keys select all, even ones from the second field of line 1.
+_CSV = "concat_ws(chr(10), 'Name,Segment,Key', concat_ws(',', c_name, c_mktsegment, cast(c_custkey as string)), '  ', concat_ws(',', c_name, 'X', cast(c_custkey + 1 as string)))"
+
+
+def _copied_csv(mode: str, masked: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "'c.csv' as name", "'c.csv' as path", "'csv' as language", f"{_CSV} as text", "if(c_custkey % 2 = 1, 0, 1) as start_line", "if(c_custkey % 2 = 1, 0, length(c_name) + 1) as start_char", "3 as end_line", f"length(split({_CSV}, '\\n', -1)[3]) as end_char")
+        return copying.copy_with_context(rows, _COPY_CONFIG if masked else None, RenderConfig(output_mode=mode)).selectExpr("c_custkey", "output", "size(detections) as n")
+
+    return run
+
+
+def _copied_csv_sql(mode: str, masked: bool = False) -> str:
+    """The three reports of the selections above, line by line; the names are masked by their column."""
+    name = f"({mask_sql('generic', 'c_name', 'partial', DUCK)})" if masked else "c_name"
+    n = "CASE WHEN c_custkey % 2 = 1 THEN 2 ELSE 0 END" if masked else "0"
+    key, more = "c_custkey", "(c_custkey + 1)"
+    data = {True: [f"'2: ' || {name} || ', ' || c_mktsegment || ', ' || {key}", f"'3: ' || {name} || ', X, ' || {more}"], False: [f"'2: ' || c_mktsegment || ', ' || {key}", f"'3: ' || c_name || ', X, ' || {more}"]}
+    columns = {True: "Name, Segment, Key", False: "Segment, Key"}
+    types = {True: "String, String, Integer", False: "String, String"}
+    where = {True: "1-4", False: "2-4"}
+    statistics = {True: ["'// Statistics:'", f"printf('  Key: min=%.2f, max=%.2f, avg=%.2f', {key}::DOUBLE, {more}::DOUBLE, ({key} + {more}) / 2)", "''"], False: []}
+    out = []
+    for whole in (True, False):
+        head = [f"'// c.csv:{where[whole]}'", f"'// Columns: {columns[whole]}'", f"'// Types: {types[whole]}'", "''"]
+        size = 3 if whole else 2
+        if mode == "smart":
+            lines = [*head, *data[whole]]
+        elif mode == "detailed":
+            lines = [*head, *statistics[whole], "'// Insights:'", "'//   Identifier columns: Key'", "''", "'// Data:'", *data[whole], "''", f"'// Summary: 2 rows × {size} columns'"]
+        else:
+            cells = [[name, "c_mktsegment", f"{key}::VARCHAR"], [name, "'X'", f"{more}::VARCHAR"]] if whole else [["c_mktsegment", f"{key}::VARCHAR"], ["c_name", "'X'", f"{more}::VARCHAR"]]
+            titles = ["Name", "Segment", "Key"] if whole else ["Segment", "Key"]
+            widths = [f"greatest(5, {len(t)}, {', '.join(f'length({r[i]})' for r in cells)})::INT" for i, t in enumerate(titles)]
+            padded = [*widths, "5"]  # a cell beyond the titles
+            rule = lambda a, b, c: f"'{a}' || {f""" || '{b}' || """.join(f"repeat('─', {w} + 2)" for w in widths)} || '{c}'"
+            row = lambda r, right: "'│' || " + " || '│' || ".join(f"' ' || {'lpad' if right and i == 2 else 'rpad'}({x}, {padded[i]}, ' ') || ' '" for i, x in enumerate(r)) + " || '│'"
+            lines = [f"'// c.csv:{where[whole]} | 2 records'", "''", rule("┌", "┬", "┐"), row([text(t) for t in titles], False), rule("├", "┼", "┤"), *(row(r, whole) for r in cells), rule("└", "┴", "┘"), "''", f"'// Summary: 2 rows × {size} columns'"]
+        out.append(" || chr(10) || ".join(lines))
+    return f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN {out[0]} ELSE {out[1]} END AS output, {n} AS n FROM customer"
 
 
 # ---- sources, sinks, streams ----
@@ -458,10 +587,14 @@ _SELECTION_SQL = "SELECT doc_id, coalesce(string_split(text, chr(10))[2], '') AS
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.counts_of_events(spark, sf_dir)
+    return streaming.counts_of_documents(spark, sf_dir)
 
 
-_STREAM_SQL = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, 'creditCardVisa' AS type, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY ALL"
+#: What is detected in the documents, by the hour their ids stand for, as far as the watermark closes the hours.
+_STREAM_SQL = f"""{detection.scored_duck(streaming.STREAM_CONFIG)},
+    clock AS (SELECT doc_id, {streaming.EVENT_TIME.format(interval="to_minutes(cast(7 * doc_id as int))")} AS ts FROM documents),
+    hours AS (SELECT time_bucket(INTERVAL 1 HOUR, c.ts) AS window_start, r.type, count(*) AS n FROM ranked r JOIN clock c ON c.doc_id = r.id WHERE r.first AND r.src = 'doc' GROUP BY ALL)
+    SELECT window_start, type, n FROM hours WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM clock) - INTERVAL 2 HOUR"""
 
 
 def _all() -> dict[str, Query]:
@@ -476,7 +609,10 @@ def _all() -> dict[str, Query]:
         "classify_columns_in_plan": (_classify_in_plan, f"SELECT name, type FROM ({_classify_sql()})"),
         "mask_delimited": (_mask_delimited, _mask_delimited_sql()),
         "mask_delimited_texts": (_mask_delimited_texts, _mask_delimited_texts_sql()),
-        "copy_with_context": (_copied, None),
+        "copy_with_context": (_copied, _copied_sql()),
+        "copy_pages": (_copied_pages, _COPIED_PAGES_SQL),
+        "copy_json": (_copied_json, _COPIED_JSON_SQL),
+        "copy_code": (_copied_code, _COPIED_CODE_SQL),
         "pattern_catalog": (_catalog, _CATALOG_SQL),
         "column_categories": (_categories, _CATEGORIES_SQL),
         "line_numbers": _sql_of("customer", _numbered),
@@ -488,28 +624,27 @@ def _all() -> dict[str, Query]:
         "xml_siblings": (_siblings, _siblings_sql()),
         "xml_tag_counts": (_tag_counts, _TAG_COUNTS_SQL),
         "xml_paths": (_xml_paths, None),
-        "json_paths": (_json_paths, _JSON_PATHS_SQL),
-        "code_context": (_code, _CODE_SQL),
+        "json_paths": (_json_paths, _json_paths_sql()),
+        "code_context": (_code, _code_sql()),
         "selected_columns": (_selected_columns, _SELECTED_SQL),
         "aligned_lines": (_aligned, _ALIGNED_SQL),
         "business_dates": (_business_dates, _BUSINESS_SQL),
-        "business_dates_whole": (_business_dates_whole, _BUSINESS_WHOLE_SQL),
         "column_ranges": (_ranges, _RANGES_SQL),
         "mask_json_fields": (_json_fields, _JSON_FIELDS_SQL),
-        "mask_cdata": (_cdata, None),
+        "mask_cdata": (_cdata, _cdata_sql()),
         "custom_pattern": (_custom, _CUSTOM_SQL),
-        "report_table": (_table_report, None),
+        "report_table": (_table_report, _table_report_sql()),
         "report_smart": (_report(render.smart_report)[0], _smart_sql()),
-        "report_detailed": _report(render.detailed_report),
+        "report_detailed": (_report(render.detailed_report)[0], _detailed_sql()),
         "source_lines": (_lines_source, _LINES_SQL),
         "source_selection": (_selection, _SELECTION_SQL),
         "stream_counts": (_stream, _STREAM_SQL),
     }
+    out |= {f"copy_delimited_{m}": (_copied_csv(m), _copied_csv_sql(m)) for m in ("table", "smart", "detailed")}
+    out["copy_delimited_masked"] = (_copied_csv("smart", True), _copied_csv_sql("smart", True))
     out |= {f"profile_{t}": _profile(t, columns) for t, columns in _PROFILED.items()}
-    out |= {f"profile_whole_{t}": _profile(t, columns) for t, columns in _PROFILED_WHOLE.items()}
     out |= {f"mask_columns_{t}_{s}": _mask_columns(t, s) for t in _MASKED for s in ("partial", "hash")}
     out |= {f"render_{f}": _rendered(f) for f in ("plain", "markdown", "ansi")}
-    out |= {f"mask_text_{s}": _masked_documents(s) for s in ("partial", "structural", "hash")}
     return out
 
 

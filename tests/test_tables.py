@@ -154,8 +154,8 @@ def test_delimited_columns():
     assert location.delimited_context(text, (1, 0), (1, 3)) == "CSV (Comma-Separated) > Name"
     assert location.delimited_context("\nx", (1, 0), (1, 1)) == "CSV (Comma-Separated)"
     full = ["a,b,c", "d,e,f"]
-    assert location.aligned_lines(full, ["b,c", "d,e,f"], 2, 2, ",") == (["b,c", "d,e,f"], 1)
-    assert location.aligned_lines(full, full, 1, 0, ",") == (full, 0)
+    assert location.aligned_lines(full, ["b,c", "d,e,f"], 2, 2, ",") == (["b,c", "d,e,f"], 1, [1, 0])
+    assert location.aligned_lines(full, full, 1, 0, ",") == (full, 0, [0, 0])
 
 
 def test_with_context(spark):
@@ -201,7 +201,7 @@ def test_copy_with_context(spark):
     ]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, name string, path string, language string, text string, start_line int, start_char int, end_line int, end_char int")
     got = [r["output"] for r in copy_with_context(df, MaskingConfig()).orderBy("i").collect()]
-    assert got[0] == "// a.csv:2-3 (CSV (Comma-Separated) > Name, Email, Phone)\n2: b*b@c***.org,555-*****67\n3: ***,***"
+    assert got[0] == "// a.csv:2-3 (CSV (Comma-Separated) > Name, Email, Phone)\n2: b*b@c***.org,555-*****67\n3: A****e,a*a@c***.or"
     assert got[1] == '// b.json:1 (user.card)\n1: {"user": {"card": "**** **** **** 1572"}}'
     assert got[2] == "// c.py:2-3 (f)\n2: x = 1\n3: y = 2"
     clear = [r["output"] for r in copy_with_context(df, None, fmt="markdown").orderBy("i").collect()]
@@ -232,5 +232,61 @@ def test_whole_profiles_take_every_column(spark, table):
 
     from .conftest import SF
 
-    rows = tables.queries()[f"profile_whole_{table}"](spark, SF).orderBy("position").collect()
+    rows = tables.queries()[f"profile_{table}"](spark, SF).orderBy("position").collect()
     assert [r["column"] for r in rows] == spark.read.parquet(f"{SF}/{table}.parquet").columns
+
+
+CSV = "Name,Segment,Key\nann,A,1\n  \nbob,B,2.5\ncid,A,x"
+
+
+def _copy(spark, text, start, end, mode, masking=None, language="csv"):
+    from maskwright.config import RenderConfig
+    from maskwright.operators import copying
+
+    df = spark.createDataFrame([("f.csv", "f.csv", language, text, *start, *end)], "name string, path string, language string, text string, start_line int, start_char int, end_line int, end_char int")
+    return copying.copy_with_context(df, masking, RenderConfig(output_mode=mode)).first()["output"]
+
+
+def test_delimited_selections_as_reports(spark):
+    whole = ((0, 0), (4, 7))
+    assert _copy(spark, CSV, *whole, "smart") == "// f.csv:1-5\n// Columns: Name, Segment, Key\n// Types: String, String, String\n\n2: ann, A, 1\n3: bob, B, 2.5\n4: cid, A, x"
+    assert _copy(spark, CSV, (1, 0), (3, 9), "smart") == "// f.csv:2-4\n// Columns: Segment, Key\n// Types: String, Float\n\n2: ann, A, 1\n3: bob, B, 2.5".replace("Segment, Key", "Column_1, Column_2, Column_3").replace("String, Float", "String, String, Float")
+    table = _copy(spark, CSV, *whole, "table").split("\n")
+    assert table[0] == "// f.csv:1-5 | 3 records" and table[2] == "┌───────┬─────────┬───────┐" and table[-1] == "// Summary: 3 rows × 3 columns" and len(table) == 11
+    detailed = _copy(spark, CSV.replace("x", "4"), *whole, "detailed")
+    assert "  Key: min=1.00, max=4.00, avg=2.50" in detailed and "//   Identifier columns: Key" in detailed and "//   Category columns" not in detailed
+    assert _copy(spark, "a,b\n \n", (1, 0), (1, 1), "smart") == "// f.csv:2 (CSV (Comma-Separated) > Column 1)\n2:  "  # nothing but blanks: as it is
+    assert _copy(spark, "plain text", (0, 0), (0, 5), "table", language="plaintext").startswith("// f.csv:1 | 1 record")  # told by the extension
+    from maskwright.config import MaskingConfig
+
+    masked = _copy(spark, "Name;Email\nann smith;a.b@corp.org\n", (0, 0), (1, 23), "smart", MaskingConfig())
+    assert "a.b@corp.org" not in masked
+
+
+def test_a_long_header_is_not_cut(spark):
+    from maskwright.config import MaskingConfig
+
+    names = [f"c{i}" for i in range(1200)] + ["Email"]
+    text = ",".join(names) + "\n" + ",".join(["x"] * 1200 + ["a.b@corp.org"])
+    line = text.split("\n")[1]
+    assert _copy(spark, text, (1, 0), (1, len(line)), "minimal", MaskingConfig()).endswith(",x,a*b@c***.org")
+
+
+def test_every_line_is_masked_by_the_columns_it_begins_in(spark):
+    from maskwright.config import MaskingConfig
+
+    text = "Note,Email,Phone\nann x,b.b@c.org,555-123-4567\nal y,a.a@c.org,555-765-4321"
+    whole = _copy(spark, text, (1, 0), (2, 28), "minimal", MaskingConfig())
+    assert whole.endswith("2: ann x,b*b@c***.org,555-*****67\n3: al y,a*a@c***.org,555-*****21")
+    later = _copy(spark, text, (1, 6), (2, 28), "minimal", MaskingConfig())
+    assert later.endswith("2: b*b@c***.org,555-*****67\n3: al y,a*a@c***.org,555-*****21")
+    one = _copy(spark, text, (2, 15), (2, 27), "minimal", MaskingConfig())
+    assert one.endswith("3: 555-*****21")
+
+
+def test_errors_become_fallbacks(spark):
+    from maskwright.functions.safe import cast_or_sql, or_else
+
+    assert or_else(int)("x") is None and or_else(int, 7)("x") == 7 and or_else(int)("3") == 3
+    df = spark.createDataFrame([("1",), ("x",), (None,)], "v string")
+    assert [r[0] for r in df.selectExpr(cast_or_sql("v", "int", "-1")).collect()] == [1, -1, -1]
