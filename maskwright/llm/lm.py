@@ -11,8 +11,10 @@ so a very frequent one adds one entry a block to its partition, no more.
 
 Bounds: a block holds ``BLOCK_BYTES`` of text (or one longer text), a hash
 partition ``PART_ENTRIES`` entries at most on average, as the number of
-partitions follows the number of words. Blocks are stored before anything is
-counted, so a lost task finds the same blocks again.
+partitions follows the number of words. A packed row then holds a block's
+n-grams over the number of partitions: hundreds at 30 GB, few at many TB, where
+larger executors should be given larger blocks. Blocks are stored before
+anything is counted, so a lost task finds the same blocks again.
 
 A token w after the context h scores count(hw) / count(h) if hw occurs at least
 ``min_count`` times, else ``alpha`` times the score of w after the context
@@ -41,7 +43,7 @@ ORDER = 3
 MIN_COUNT = 1
 ALPHA = 0.4
 BLOCK_BYTES = 40 << 20
-PART_ENTRIES = 4_000_000
+PART_ENTRIES = 2_500_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -198,9 +200,11 @@ def _grouped(table: pa.Table) -> Iterator[tuple[int, np.ndarray, list[int], np.n
         at = np.flatnonzero(ks == k)
         keys = [EliasFano(table.column("keys")[int(i)].as_py()).all() for i in at]
         counts = np.concatenate([_unpack_counts(table.column("counts")[int(i)].as_py()) for i in at])
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        sizes, keys = [len(x) for x in keys], np.concatenate(keys)
+        distinct, where = np.unique(keys, return_inverse=True)
+        del keys
         totals = np.bincount(where, counts, len(distinct)).astype(np.int64)
-        yield k, at, [len(x) for x in keys], distinct, where, totals
+        yield k, at, sizes, distinct, where, totals
 
 
 def _join_counts(table: pa.Table) -> pa.Table:
@@ -252,32 +256,35 @@ def score_tokens(counts: list[np.ndarray], min_count: int, alpha: float) -> tupl
     return int(np.count_nonzero(backs)), int(np.count_nonzero(level == 1)), float(value.sum() + math.log(alpha) * backs.sum())
 
 
-def _totals_of(keys: np.ndarray, answers: list[tuple[int, bytes]]) -> np.ndarray:
-    """The total of each of a block's n-grams of one k, from the answers of its hash partitions in order."""
-    _, where = np.unique(keys, return_inverse=True)
-    totals = [_unpack_counts(c) for _, c in sorted(answers)]
-    return np.concatenate(totals)[where] if len(where) else np.zeros(0, np.int64)
+def _counts_of(each: list[np.ndarray], answers: list[tuple[int, bytes]], others: bool) -> list[np.ndarray]:
+    """Of a block's documents, given as keys of one k: the count of every n-gram, from the answers of the hash partitions in order."""
+    whole = np.concatenate(each)
+    if not len(whole):
+        return [np.zeros(0, np.int64) for _ in each]
+    _, where = np.unique(whole, return_inverse=True)
+    del whole
+    found = np.concatenate([_unpack_counts(c) for _, c in sorted(answers)])[where]
+    del where
+    out, at = [], 0
+    for i, keys in enumerate(each):
+        total = found[at : at + len(keys)]
+        at += len(keys)
+        if others and len(keys):
+            _, own_where, own = np.unique(keys, return_inverse=True, return_counts=True)
+            total -= own[own_where]
+        each[i] = keys[:0]
+        out.append(total)
+    return out
 
 
 def _score(blocks: pa.Table, answers: pa.Table, order: int, min_count: int, alpha: float, others: bool) -> pa.Table:
-    ids, texts = _ids(blocks.column("ids")[0].as_py()), _unpacked_texts(blocks.column("texts")[0].as_py())
+    ids = _ids(blocks.column("ids")[0].as_py())
+    each = _block_keys(_unpacked_texts(blocks.column("texts")[0].as_py()), order)
     got: dict[int, list[tuple[int, bytes]]] = {k: [] for k in range(1, order + 1)}
     for k, p, c in zip(*(answers.column(x).to_pylist() for x in ("k", "part", "counts")), strict=True):
         got[k].append((p, c))
-    each = _block_keys(texts, order)
-    found = [_totals_of(np.concatenate(each[k]), got[k + 1]) for k in range(order)]
-    at, scored = [0] * order, []
-    for i in range(len(texts)):
-        counts = []
-        for k in range(order):
-            keys = each[k][i]
-            total = found[k][at[k] : at[k] + len(keys)]
-            at[k] += len(keys)
-            if others:
-                _, where, own = np.unique(keys, return_inverse=True, return_counts=True)
-                total = total - own[where]
-            counts.append(total)
-        scored.append((len(each[0][i]), *score_tokens(counts, min_count, alpha)))
+    counts = [_counts_of(each[k], got.pop(k + 1), others) for k in range(order)]
+    scored = [(len(own[0]), *score_tokens(list(own), min_count, alpha)) for own in zip(*counts, strict=True)]
     columns = [ids, *(pa.array(c, t) for c, (_, t) in zip(zip(*scored, strict=True) if scored else [[]] * 4, _SCORED_FIELDS, strict=True))]
     return pa.Table.from_arrays(columns, names=["id", *(n for n, _ in _SCORED_FIELDS)])
 
