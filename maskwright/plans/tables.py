@@ -301,6 +301,35 @@ def _xml_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", location.path_udf("xml")("html", "at").alias("path"), location.path_udf("xml", "global")("html", "at").alias("global_path"))
 
 
+def _xml_paths_sql() -> str:
+    """Paths by folding the tags of each page.
+
+    stack: the tags open at the offset, where a closing tag only takes off the
+    last. The box of an open tag: the first tag still open before it that was
+    opened one level up (here a closing tag takes off the last of its name, and
+    always a level), up to the next closing tag of that name; its local index is
+    the number of like tags in the box before it. A box named by the plural or a
+    usual parent doesn't occur in the pages (neither lis, ps, ... nor the fixed names).
+    """
+    step = """CASE x[1].kind WHEN 'open' THEN list_concat([{'name': '', 'pos': 0, 'kind': '', 'level': a[1].level + 1}], a[2:], [{'name': x[1].name, 'pos': x[1].pos, 'kind': '', 'level': a[1].level}])
+      WHEN 'close' THEN list_concat([{'name': '', 'pos': 0, 'kind': '', 'level': a[1].level - 1}], list_filter(a[2:], lambda o: NOT (o.name = x[1].name AND o.pos = coalesce(list_max(list_transform(list_filter(a[2:], lambda p: p.name = x[1].name), lambda p: p.pos)), -1)))) ELSE a END"""
+    start = "[{'name': '', 'pos': 0, 'kind': '', 'level': 0}]"
+    return rf"""WITH m AS (SELECT page_id AS id, html, (length(html) / 2)::DOUBLE AS half, regexp_extract_all(html, '</?([a-zA-Z][a-zA-Z0-9-_]*)[^>]*>') AS m, regexp_extract_all(html, '</?([a-zA-Z][a-zA-Z0-9-_]*)[^>]*>', 1) AS t, string_split_regex(html, '</?([a-zA-Z][a-zA-Z0-9-_]*)[^>]*>') AS g FROM pages),
+    tags AS (SELECT id, html, floor(half)::INT AS place, t[i] AS name, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS int) AS pos,
+      CASE WHEN starts_with(m[i], '</') THEN 'close' WHEN ends_with(m[i], '/>') THEN 'single' ELSE 'open' END AS kind, m[i] AS whole FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+    lists AS (SELECT id, any_value(place) AS place, any_value(html) AS html, list([{{'name': name, 'pos': pos, 'kind': kind, 'level': 0}}] ORDER BY pos) AS all_tags FROM tags GROUP BY id),
+    stacks AS (SELECT id, html, all_tags, list_reduce(list_prepend(all_tags[1][1:0], list_filter(all_tags, lambda x: x[1].pos <= place)),
+      lambda a, x: CASE x[1].kind WHEN 'open' THEN list_concat(a, x) WHEN 'close' THEN CASE WHEN len(a) > 0 AND a[-1].name = x[1].name THEN a[1:len(a) - 1] ELSE a END ELSE a END) AS stack FROM lists),
+    items AS (SELECT id, html, all_tags, i, stack[i].name AS name, stack[i].pos AS pos FROM (SELECT *, unnest(range(1, len(stack) + 1)) AS i FROM stacks)),
+    states AS (SELECT *, list_reduce(list_prepend({start}, list_filter(all_tags, lambda x: x[1].pos < pos)), lambda a, x: {step}) AS open_ FROM items),
+    boxes AS (SELECT *, list_filter(open_[2:], lambda o: o.level = open_[1].level - 1) AS parents FROM states),
+    boxed AS (SELECT *, parents[1].pos AS box, CASE WHEN strpos(substring(html, parents[1].pos + 1), '</' || parents[1].name || '>') = 0 THEN length(html) ELSE parents[1].pos + strpos(substring(html, parents[1].pos + 1), '</' || parents[1].name || '>') - 1 END AS box_end FROM boxes),
+    counted AS (SELECT b.id, b.i, b.name, count(*) FILTER (t.pos < b.pos) AS global_index, count(*) AS total, coalesce(count(*) FILTER (len(b.parents) > 0 AND t.pos >= b.box AND t.pos < least(b.pos, b.box_end)), 0) AS local_index
+      FROM boxed b JOIN tags t ON t.id = b.id AND (t.name = b.name OR starts_with(t.name, b.name || '-')) AND t.kind <> 'close' GROUP BY b.id, b.i, b.name, b.pos)
+    SELECT p.page_id, string_agg(name || CASE WHEN total > 1 OR local_index > 0 THEN '[' || local_index || ']' ELSE '' END, ' > ' ORDER BY i) AS path,
+      string_agg(name || CASE WHEN total > 1 OR global_index > 0 THEN '[' || global_index || ']' ELSE '' END, ' > ' ORDER BY i) AS global_path FROM pages p LEFT JOIN counted c ON c.id = p.page_id GROUP BY p.page_id"""
+
+
 #: Code about each customer: language, text, line asked for, and what stands around it; <k> is the key, <n> the nation's.
 CODE = (
     ("python", "class A<k>:\n    def f<n>(self):\n        x = 1\n\ndef g<k>():\n    pass", 2, "A<k> > f<n>"),
@@ -541,9 +570,9 @@ def _copied_csv(mode: str, masked: bool = False) -> Callable[[SparkSession, str]
 def _copied_csv_sql(mode: str, masked: bool = False) -> str:
     """The three reports of the selections above, line by line; the names are masked by their column."""
     name = f"({mask_sql('generic', 'c_name', 'partial', DUCK)})" if masked else "c_name"
-    n = "CASE WHEN c_custkey % 2 = 1 THEN 2 ELSE 0 END" if masked else "0"
+    n = "CASE WHEN c_custkey % 2 = 1 THEN 2 ELSE 1 END" if masked else "0"
     key, more = "c_custkey", "(c_custkey + 1)"
-    data = {True: [f"'2: ' || {name} || ', ' || c_mktsegment || ', ' || {key}", f"'3: ' || {name} || ', X, ' || {more}"], False: [f"'2: ' || c_mktsegment || ', ' || {key}", f"'3: ' || c_name || ', X, ' || {more}"]}
+    data = {True: [f"'2: ' || {name} || ', ' || c_mktsegment || ', ' || {key}", f"'3: ' || {name} || ', X, ' || {more}"], False: [f"'2: ' || c_mktsegment || ', ' || {key}", f"'3: ' || {name} || ', X, ' || {more}"]}
     columns = {True: "Name, Segment, Key", False: "Segment, Key"}
     types = {True: "String, String, Integer", False: "String, String"}
     where = {True: "1-4", False: "2-4"}
@@ -557,7 +586,7 @@ def _copied_csv_sql(mode: str, masked: bool = False) -> str:
         elif mode == "detailed":
             lines = [*head, *statistics[whole], "'// Insights:'", "'//   Identifier columns: Key'", "''", "'// Data:'", *data[whole], "''", f"'// Summary: 2 rows × {size} columns'"]
         else:
-            cells = [[name, "c_mktsegment", f"{key}::VARCHAR"], [name, "'X'", f"{more}::VARCHAR"]] if whole else [["c_mktsegment", f"{key}::VARCHAR"], ["c_name", "'X'", f"{more}::VARCHAR"]]
+            cells = [[name, "c_mktsegment", f"{key}::VARCHAR"], [name, "'X'", f"{more}::VARCHAR"]] if whole else [["c_mktsegment", f"{key}::VARCHAR"], [name, "'X'", f"{more}::VARCHAR"]]
             titles = ["Name", "Segment", "Key"] if whole else ["Segment", "Key"]
             widths = [f"greatest(5, {len(t)}, {', '.join(f'length({r[i]})' for r in cells)})::INT" for i, t in enumerate(titles)]
             padded = [*widths, "5"]  # a cell beyond the titles
@@ -623,7 +652,7 @@ def _all() -> dict[str, Query]:
         "xml_tags": (_tags, _TAGS_SQL),
         "xml_siblings": (_siblings, _siblings_sql()),
         "xml_tag_counts": (_tag_counts, _TAG_COUNTS_SQL),
-        "xml_paths": (_xml_paths, None),
+        "xml_paths": (_xml_paths, _xml_paths_sql()),
         "json_paths": (_json_paths, _json_paths_sql()),
         "code_context": (_code, _code_sql()),
         "selected_columns": (_selected_columns, _SELECTED_SQL),

@@ -93,7 +93,7 @@ BY_HAND = {
       SELECT k, v,
         CASE WHEN NOT whole THEN '***' ELSE CASE WHEN length(u) > 2 THEN u[1] || repeat('*', length(u) - 2) || u[-1] ELSE '***' END || '@' || CASE WHEN contains(h, '.') THEN h[1] || '***.' || string_split(h, '.')[-1] ELSE '***' END END AS partial_mask,
         CASE WHEN whole THEN '***@***.***' ELSE '***' END AS full_mask, CASE WHEN whole THEN repeat('*', length(u)) || '@' || repeat('*', length(h)) ELSE '***' END AS structural_mask,
-        replace(replace(to_base64(unhex(sha256(v))), '+', '-'), '/', '_')[1:8] AS hash_mask, '[EMAIL REDACTED]' AS redact_mask, v AS unknown_mask FROM parts""",
+        CASE WHEN whole THEN replace(replace(to_base64(unhex(sha256(v))), '+', '-'), '/', '_')[1:8] || '@masked.email' ELSE '***' END AS hash_mask, CASE WHEN whole THEN '[EMAIL REDACTED]' ELSE '***' END AS redact_mask, v AS unknown_mask FROM parts""",
     "mask_account": r"""
       SELECT k, v, CASE WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) >= 3 THEN '***' || regexp_replace(v, '[^0-9]', '', 'g')[-3:] ELSE '***' END AS partial_mask, '***' AS full_mask, repeat('*', length(v)) AS structural_mask,
         replace(replace(to_base64(unhex(sha256(v))), '+', '-'), '/', '_')[1:8] AS hash_mask, '[ACCOUNT REDACTED]' AS redact_mask, v AS unknown_mask FROM given""",
