@@ -98,7 +98,7 @@ def scored_duck(config: MaskingConfig) -> str:
         WHEN regexp_matches(value, '(?i)^(XXXX|0000|N/A|TBD|TODO|test|example|dummy|placeholder|sample)') THEN 0.1::DOUBLE
         WHEN length(word) > 2 AND replace(word, word[1:1], '') = '' THEN 0.15::DOUBLE ELSE 1.0::DOUBLE END AS anomaly,
       CASE WHEN regexp_matches(b100, '<[^>]+>\s*\z') AND regexp_matches(a100, '^\s*</') THEN 'xml' WHEN regexp_matches(b100, '[{{,]\s*"[^"]+"\s*:\s*"?\s*\z') THEN 'json'
-        WHEN regexp_matches(b100, ',\s*\z') OR regexp_matches(a100, '^\s*,') THEN 'csv' ELSE 'plain_text' END AS structure FROM windows),
+        WHEN regexp_matches(b100, ',\s*\z') OR regexp_matches(a100, '^\s*,') THEN 'csv' ELSE '{"xml" if config.inside_cdata else "plain_text"}' END AS structure FROM windows),
     scores AS (SELECT *,
       CASE WHEN anomaly < 0.5 THEN anomaly * 0.5::DOUBLE ELSE greatest(0::DOUBLE, least(1::DOUBLE, prior
         + CASE WHEN {_words('context', reg.POSITIVE_WORDS)} THEN 0.1::DOUBLE ELSE 0::DOUBLE END - CASE WHEN {_words('context', reg.NEGATIVE_WORDS)} THEN 0.3::DOUBLE ELSE 0::DOUBLE END
@@ -147,8 +147,8 @@ def masked_duck(config: MaskingConfig) -> str:
     return rf""",
     marked AS (SELECT * FROM texts WHERE regexp_matches(text, '^\s*[\[{{{{]|"[^"]+"\s*:') OR regexp_matches(text, '<[^>]+>')),
     fields AS (SELECT *, {by_type} AS mask FROM ({' UNION ALL '.join(fields)}) WHERE type NOT IN ({off})),
-    proposed AS (SELECT src, id, text, value, pos, pass, rank, 0 AS priority, mask FROM fields
-      UNION ALL SELECT src, id, text, value, pos, 5 AS pass, pos AS rank, priority, {by_pattern} AS mask FROM scored WHERE decided),
+    proposed AS (SELECT src, id, text, value, pos, type, pass, rank, 0 AS priority, mask FROM fields
+      UNION ALL SELECT src, id, text, value, pos, type, 5 AS pass, pos AS rank, priority, {by_pattern} AS mask FROM scored WHERE decided),
     claimed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, id, value ORDER BY pass, priority, rank) AS claim FROM proposed) WHERE claim = 1),
     apart AS (SELECT src, id, bool_or(pos < coalesce(before, 0)) AS has_overlap FROM (SELECT src, id, pos, lag(pos + length(value)) OVER (PARTITION BY src, id ORDER BY pos, pos + length(value)) AS before FROM claimed) GROUP BY src, id),
     scripts AS (SELECT src, id, count(*) AS n, list({{{{'t': '', 'at': pos, 'n': length(value), 'mask': mask}}}} ORDER BY (length(mask) = length(value)) DESC, pos DESC, pass, priority, rank) AS script FROM claimed GROUP BY src, id),
@@ -162,6 +162,7 @@ CONFIGS = {
     "low_threshold": MaskingConfig(as_of=AS_OF, confidence_threshold=0.5, types={"ipAddress": True, "referenceNumber": True, "policyNumber": True, "transactionID": True, "routingNumber": True}),
     "strict_mode": MaskingConfig(as_of=AS_OF, mode="strict"),
     "manual_mode": MaskingConfig(as_of=AS_OF, mode="manual"),
+    "inside_cdata": MaskingConfig(as_of=AS_OF, inside_cdata=True),
     "preset_default": MaskingConfig(as_of=AS_OF, preset="default"),
     "preset_privacy": MaskingConfig(as_of=AS_OF, preset="privacy", confidence_threshold=0.5),
 }
@@ -198,6 +199,24 @@ def _masked_texts_query(strategy: str) -> tuple[Callable, str]:
     return run, f"{scored_duck(config)}{masked_duck(config)} SELECT src, id, sha256(masked_text) AS digest, n, has_overlap FROM masked"
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told about the values masked in each text: below it, in the status bar, and as a notification."""
+    from ..operators import mask_text
+
+    found = mask_text.with_masked_text(texts(spark, sf_dir), "text", CONFIGS["low_threshold"])
+    return found.selectExpr("src", "id", f"{mask_text.stats_line_sql()} as stats", f"{mask_text.notification_sql()} as notification", f"{mask_text.indicator_sql()} as indicator")
+
+
+def _messages_sql() -> str:
+    config = CONFIGS["low_threshold"]
+    return f"""{scored_duck(config)}{masked_duck(config)},
+    turns AS (SELECT src, id, type, row_number() OVER (PARTITION BY src, id ORDER BY pass, priority, rank) AS turn FROM claimed),
+    kinds AS (SELECT src, id, type, count(*) AS n, min(turn) AS turn FROM turns GROUP BY ALL),
+    told AS (SELECT src, id, sum(n) AS total, string_agg(n || ' ' || type || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY turn) AS what FROM kinds GROUP BY ALL)
+    SELECT src, id, CASE WHEN what IS NULL THEN '' ELSE '// Data masked: ' || what END AS stats, 'Copied with ' || total || ' item' || CASE WHEN total > 1 THEN 's' ELSE '' END || ' masked: ' || what AS notification,
+      CASE WHEN what IS NULL THEN 'Masking Active' ELSE total || ' masked' END AS indicator FROM texts LEFT JOIN told USING (src, id)"""
+
+
 def _by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.counts_by_type(detect.detect(texts(spark, sf_dir), "text", CONFIGS["low_threshold"]), "src")
 
@@ -216,6 +235,7 @@ def _all() -> dict[str, tuple[Callable, str | None]]:
     for strategy in ("full", "structural", "hash", "redact"):
         out[f"detect_masked_{strategy}"] = _masked_query(MaskingConfig(as_of=AS_OF, confidence_threshold=0.5, strategy=strategy))
     out |= {f"mask_text_{s}": _masked_texts_query(s) for s in ("partial", "full", "structural", "hash", "redact")}
+    out["mask_messages"] = _messages, _messages_sql()
     out["detections_by_type"] = _by_type, f"{scored_duck(CONFIGS['low_threshold'])} SELECT src, type, count(*) AS n FROM ranked WHERE first GROUP BY src, type"
     return out
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MaskingConfig, RenderConfig
+from ..config import OUTPUT_MODES, MaskingConfig, RenderConfig, next_output_mode
 from ..functions import delimited as dl
 from ..functions import registry as reg
 from ..functions.dialect import DUCK, SPARK, text
@@ -330,6 +330,73 @@ def _xml_paths_sql() -> str:
       string_agg(name || CASE WHEN total > 1 OR global_index > 0 THEN '[' || global_index || ']' ELSE '' END, ' > ' ORDER BY i) AS global_path FROM pages p LEFT JOIN counted c ON c.id = p.page_id GROUP BY p.page_id"""
 
 
+#: Elements in boxes named by their plural, by a usual parent, or by nothing but their depth; <k> and <n> as for code.
+_FORMS = "<r><Items><Item>a<k></Item><Item>b</Item></Items><Items><Item>c</Item><Item>d<n></Item></Items><FormInstance><Question>e</Question><Question>f<k></Question></FormInstance><x><y>g</y></x><x><y>h</y><y>i<n></y></x></r>"
+_FORM_PLACES = ((">a", "r > Items[0] > Item[0]"), (">c", "r > Items[1] > Item[0]"), (">d", "r > Items[1] > Item[1]"), (">f", "r > FormInstance > Question[1]"), (">g", "r > x[0] > y[0]"), (">i", "r > x[1] > y[1]"))
+
+
+def _xml_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = " ".join(f"when {i} then instr(t, '{word}')" for i, (word, _) in enumerate(_FORM_PLACES))
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_filled(_FORMS)} as t").selectExpr("c_custkey", "t", f"case c_custkey % {len(_FORM_PLACES)} {at} end as at")
+    return rows.select("c_custkey", location.path_udf("xml")("t", "at").alias("path"))
+
+
+_XML_BOXES_SQL = f"SELECT c_custkey, CASE c_custkey % {len(_FORM_PLACES)} {' '.join(f'WHEN {i} THEN {text(path)}' for i, (_, path) in enumerate(_FORM_PLACES))} END AS path FROM customer"
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions without a path: valid JSON is still JSON, broken JSON and plain text are nothing, large documents get a label."""
+    rows = _table(spark, sf_dir, "events").selectExpr("event_id", "case event_id % 4 when 2 then 'plaintext' when 3 then 'csv' else 'json' end as language", "'e' as path", "case event_id % 4 when 0 then concat(props, ' ') when 1 then concat(props, ']') when 3 then repeat('a,b', 40) else props end as text", "0 as line", "if(event_id % 4 = 0, length(props), if(event_id % 4 = 1, length(props), 0)) as character")
+    return location.with_context(rows, RenderConfig(large_char_threshold=100)).select("event_id", "context")
+
+
+_CONTEXTS_SQL = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'JSON' WHEN 3 THEN 'CSV (Large File)' END AS context FROM events"
+
+
+def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", f"{location.is_large_sql('text', RenderConfig(large_line_threshold=12, large_char_threshold=3000))} as large")
+
+
+_LARGE_SQL = "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) >= 12 OR length(text) > 3000 AS large FROM documents"
+
+
+def _header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.header_line(sources.explode_lines(_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+def _range_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_nationkey", "array(c_name, c_mktsegment, 'x') as f", "cast(c_custkey % 30 as int) as a", "cast(c_custkey % 30 + c_custkey % 11 as int) as b")
+    return tabular.union_ranges(rows.selectExpr("c_nationkey", f"{location.inclusive_column_range_sql('f', 'a', 'b')} as r").select("c_nationkey", "r.*"), "c_nationkey")
+
+
+_LISTS = MaskingConfig(deny_list=("brand", "Status"), allow_list=("email", "phone", "c_name"))
+
+
+def _classify_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in NAMES], "name string").selectExpr("name", f"{tabular.is_sensitive_sql('name', _LISTS)} as sensitive")
+
+
+_CLASSIFY_LISTS_SQL = f"SELECT name, contains(k, 'brand') OR contains(k, 'status') OR NOT (contains(k, 'email') OR contains(k, 'phone') OR contains(k, 'cname')) AS sensitive FROM (SELECT name, replace(replace(replace(lower(name), '_', ''), ' ', ''), '-', '') AS k FROM (VALUES {', '.join(f'({text(n)})' for n in NAMES)}) AS t(name))"
+
+
+def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(m, next_output_mode(m)) for m in (*OUTPUT_MODES, "unknown")], "mode string, next string")
+
+
+_MODES_SQL = "SELECT * FROM (VALUES ('minimal', 'smart'), ('smart', 'table'), ('table', 'detailed'), ('detailed', 'minimal'), ('unknown', 'minimal')) AS t(mode, next)"
+
+
+def _simple_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [[str(r["r_regionkey"]), r["r_name"]] for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    return spark.createDataFrame([(i, line) for i, line in enumerate(render.simple_table(["k", "name"], rows).split("\n"))], "seq int, line string")
+
+
+_SIMPLE_TABLE_SQL = """WITH w AS (SELECT greatest(4, max(length(r_name)))::INT AS w FROM region)
+  SELECT 0 AS seq, '┌─────┬─' || repeat('─', w) || '─┐' AS line FROM w UNION ALL SELECT 1, '│ k   │ ' || rpad('name', w, ' ') || ' │' FROM w UNION ALL SELECT 2, '├─────┼─' || repeat('─', w) || '─┤' FROM w
+  UNION ALL SELECT (2 + row_number() OVER (ORDER BY r_regionkey))::INT, '│ ' || rpad(r_regionkey::VARCHAR, 3, ' ') || ' │ ' || rpad(r_name, w, ' ') || ' │' FROM region, w
+  UNION ALL SELECT (3 + (SELECT count(*) FROM region))::INT, '└─────┴─' || repeat('─', w) || '─┘' FROM w"""
+
+
 #: Code about each customer: language, text, line asked for, and what stands around it; <k> is the key, <n> the nation's.
 CODE = (
     ("python", "class A<k>:\n    def f<n>(self):\n        x = 1\n\ndef g<k>():\n    pass", 2, "A<k> > f<n>"),
@@ -393,10 +460,11 @@ _SELECTED_SQL = "SELECT c_custkey, 'CSV (Comma-Separated) > ' || CASE WHEN c_cus
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "array(concat('a,', c_name, ',z'), concat('bb,', c_name, ',y')) as full", "array(concat(c_name, ',z'), concat('bb,', c_name, ',y')) as part", "2 as a", "2 as b")
-    return rows.select("c_custkey", F.array_join(location.aligned_lines_udf()("full", "part", "a", "b", F.lit(","))["lines"], "/").alias("lines"))
+    aligned = rows.select("c_custkey", location.aligned_lines_udf()("full", "part", "a", "b", F.lit(",")).alias("x"))
+    return aligned.select("c_custkey", F.array_join("x.lines", "/").alias("lines"), "x.first_column", F.array_join("x.columns", ",").alias("columns"))
 
 
-_ALIGNED_SQL = "SELECT c_custkey, c_name || ',z/bb,' || c_name || ',y' AS lines FROM customer"
+_ALIGNED_SQL = "SELECT c_custkey, c_name || ',z/bb,' || c_name || ',y' AS lines, 1 AS first_column, '1,0' AS columns FROM customer"
 
 
 # ---- whole-text masking ----
@@ -653,6 +721,14 @@ def _all() -> dict[str, Query]:
         "xml_siblings": (_siblings, _siblings_sql()),
         "xml_tag_counts": (_tag_counts, _TAG_COUNTS_SQL),
         "xml_paths": (_xml_paths, _xml_paths_sql()),
+        "xml_boxes": (_xml_boxes, _XML_BOXES_SQL),
+        "contexts": (_contexts, _CONTEXTS_SQL),
+        "large_documents": (_large, _LARGE_SQL),
+        "header_lines": (_header_lines, "SELECT doc_id, string_split(text, chr(10))[1] AS header FROM documents"),
+        "column_range_union": (_range_union, f"SELECT c_nationkey, min(start_column) AS start_column, max(end_column) AS end_column FROM ({_RANGES_SQL}) JOIN customer USING (c_custkey) GROUP BY c_nationkey"),
+        "classify_columns_lists": (_classify_lists, _CLASSIFY_LISTS_SQL),
+        "output_modes": (_modes, _MODES_SQL),
+        "table_simple": (_simple_table, _SIMPLE_TABLE_SQL),
         "json_paths": (_json_paths, _json_paths_sql()),
         "code_context": (_code, _code_sql()),
         "selected_columns": (_selected_columns, _SELECTED_SQL),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import hashing, masks, validators
 from ..functions.dialect import DUCK, SPARK
+from ..functions.safe import cast_or_sql
 
 AS_OF = "date '2025-06-15'"
 
@@ -107,8 +108,39 @@ BY_HAND = {
 _HASH_SOURCES = {"email": "email", "phone": "phone", "creditCard": "card", "ssn": "ssn", "dateOfBirth": "dob", "address": "address", "generic": "generic"}
 
 
+def _registered() -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """A mask, a pseudonym, a check and a format of a user's own, registered and used by name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        masks.register_mask("customerCode", lambda d, v, s: f"concat('C-', right({v}, 3))")
+        hashing.register_hash("customerCode", lambda v, d, salt: f"concat('H-', {hashing.salted(v, salt, 6, d)})")
+        validators.register_validator("customerCode", lambda v, d: d.has(f"coalesce({v}, '')", "[02468]$"), 0.7, 0.3, "even", "odd")
+        validators.register_format("customerCode", lambda v, d: f"length({v}) = 18")
+        rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as k", "c_name as v")
+        own = rows.selectExpr("k", "v", f"{masks.mask_sql('customerCode', 'v', 'partial')} as mask", f"{hashing.hash_sql('customerCode', 'v', salt='ours')} as hash", f"{validators.validate_sql('customerCode', 'v')} as r", f"{validators.format_sql('customerCode', 'v')} as format_ok")
+        return own.selectExpr("k", "v", "mask", "hash", "format_ok", "r.is_valid", "r.confidence", "r.reason")
+
+    return run, r"""SELECT c_custkey AS k, c_name AS v, 'C-' || c_name[-3:] AS mask, 'H-' || sha256('ours' || c_name)[1:6] AS hash, length(c_name) = 18 AS format_ok, c_name[-1:]::INT % 2 = 0 AS is_valid,
+      CASE WHEN c_name[-1:]::INT % 2 = 0 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS confidence, CASE WHEN c_name[-1:]::INT % 2 = 0 THEN 'even' ELSE 'odd' END AS reason FROM customer"""
+
+
+def _fallbacks() -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """Values that can't be read as a number or a date give the fallback."""
+    value = "case when c_custkey % 3 = 0 then c_mktsegment when c_custkey % 3 = 1 then concat(cast(c_custkey as string), ' ') else '1999-02-30' end"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as k", f"{value} as v")
+        return rows.selectExpr("k", f"{cast_or_sql('v', 'int', '-1')} as number", f"cast({cast_or_sql('v', 'date', DATE)} as string) as day")
+
+    return run, """SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 1 THEN c_custkey::INT ELSE -1 END AS number,
+      CASE WHEN c_custkey % 3 = 1 AND length(c_custkey::VARCHAR) = 4 THEN c_custkey || '-01-01' ELSE '1970-01-01' END AS day FROM customer"""
+
+
+DATE = "date'1970-01-01'"
+
+
 def _queries() -> dict[str, tuple[Callable, str]]:
-    out = {}
+    out = {"registered_functions": _registered()}
     for function in masks.FUNCTIONS:
         out[f"mask_{function}"] = _over_customers(function, _mask_columns(function), sql=BY_HAND.get(f"mask_{function}"))
     for type_, kind in _HASH_SOURCES.items():
@@ -121,6 +153,7 @@ def _queries() -> dict[str, tuple[Callable, str]]:
         out[f"hash_{type_}"] = _over_customers(kind, columns, sql=BY_HAND.get(f"hash_{type_}"))
     for name, (kind, columns, result) in VALIDATORS.items():
         out[f"validate_{name}"] = _over_customers(kind, columns, {"result": result} if result else None, BY_HAND.get(f"validate_{name}"))
+    out["fallbacks"] = _fallbacks()
     return out
 
 
