@@ -20,7 +20,7 @@ In a cell the distances to the span of a few pivots bound the cosine from
 above, and only pairs that the bound lets through are compared in full.
 
 Equal vectors are collapsed first and only weigh in the counts. A cell of more
-than ``tile`` rows is cut into chunks and each pair of chunks is a task of its
+than ``tile`` rows (fewer where they are long) is cut into chunks and each pair of chunks is a task of its
 own. Links are never listed: a task returns, per row, its number of links and
 one link of a spanning forest.
 """
@@ -48,7 +48,8 @@ SAMPLE_BYTES = 16 << 20
 SMALLEST = 256  # a cell of fewer rows (estimated) isn't split
 WORTH = 0.05  # the share of a cell's pairs that a split has to save besides what its guests cost
 SPAN = 16  # pivots that bound the cosine within a cell
-TILE = 4096
+TILE = 16384  # rows of a tile, fewer where they are long: a tile's vectors hold TILE_BYTES at most
+TILE_BYTES = 32 << 20
 SMALL_TABLE = 100_000  # rows of (key, number) that may be broadcast
 _SLACK = 1e-9
 
@@ -357,17 +358,17 @@ def _tiled(cells: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def _sample(classes: DataFrame) -> tuple[dict[str, np.ndarray], float]:
-    """(vectors by group, rows that each stands for) of the smallest hashes, bounded in rows and bytes."""
+def _sample(classes: DataFrame) -> tuple[dict[str, np.ndarray], float, int]:
+    """(vectors by group, rows that each stands for, bytes of the longest) of the smallest hashes, bounded in rows and bytes."""
     n, longest = classes.agg(F.count("*"), F.max(F.octet_length("unit"))).first()
     if not n:
-        return {}, 1.0
+        return {}, 1.0, 8
     rows = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // longest))
     found = classes.select("grp", "unit").orderBy(F.xxhash64("unit"), "unit", "grp").limit(rows).collect()
     by_group: dict[str, list[bytes]] = {}
     for r in found:
         by_group.setdefault(r["grp"], []).append(r["unit"])
-    return {g: np.frombuffer(b"".join(u)).reshape(len(u), -1) for g, u in by_group.items()}, n / len(found)
+    return {g: np.frombuffer(b"".join(u)).reshape(len(u), -1) for g, u in by_group.items()}, n / len(found), longest
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -391,7 +392,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     distinct = marked.where(F.col("class").isNotNull()).groupBy("class", "label", "unit").agg(F.min("id").alias("node"), F.count("*").alias("weight"))
     classes = stored(distinct.select("class", group, "node", "weight", "unit"), "classes")
 
-    trees = grow_all(*_sample(classes), radius)
+    sample, scale, longest = _sample(classes)
+    trees = grow_all(sample, scale, radius)
+    tile = max(16, min(tile, TILE_BYTES // longest))
     shared = spark.sparkContext.broadcast(trees)  # at most PIVOTS vectors
     cells = classes.select("grp", "node", "weight", "unit").mapInArrow(partial(_cells, trees=shared, radius=radius), _CELLS)
     placed = _tiled(cells, tile).repartition(shuffle_partitions(spark), "grp", "cell", "t1", "t2").sortWithinPartitions("grp", "cell", "t1", "t2")
