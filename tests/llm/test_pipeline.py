@@ -6,6 +6,7 @@ import public_tokenizers as P
 
 import corpus_pipeline
 from maskwright.llm import quality
+from maskwright.storage import shared_dir
 
 from .test_dedup import groups, slow_fingerprint
 from .test_text import base_spans, slow_containment
@@ -65,9 +66,37 @@ def test_whole_run(spark):
 
 
 def test_stages_on_odd_rows(spark):
-    odd = spark.createDataFrame([(1, None, None, None, None), (None, "x", "en", "s", 1), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "a b " * 20000, "en", "s", 80000)], "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, odd, SF)
-        assert out.count() <= odd.count() and stage(spark, odd.limit(0), SF).count() == 0, name
+    """Each stage's rows, for null ids and texts, empty and repeated rows, a very long text, clashing columns."""
+    long = "a b " * 20000
+    rows = [(1, None, None, None, None), (None, "x", "en", "s", 1), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, long, "en", "s", 80000), (4, "mail a.b@c.org, 10.0.0.4 111 1111 1111 1111 z", "en", "s", 9)]
+    odd = spark.createDataFrame([(*r, "i", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, ids string, fp int")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def got(name):
+        out = stages[name](spark, odd, SF)
+        assert stages[name](spark, odd.limit(0), SF).count() == 0, name
         if name != "tokens":
-            assert out.columns == odd.columns
+            assert out.columns == odd.columns, name
+        return sorted(((r["doc_id"], r["text"], r) for r in out.collect()), key=lambda x: (x[0] is None, x[0] or 0))
+
+    model = quality.fit(odd, spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in quality.with_score(odd, model).collect() if r["score"] >= quality.THRESHOLD)
+    assert [(i is None, i or 0) for i, *_ in got("quality")] == kept
+    assert [(i, t) for i, t, _ in got("near_duplicates")] == [(1, None), (3, long), (4, rows[5][1]), (None, "x")]
+    assert [i for i, *_ in got("decontamination")] == [1, 2, 2, 3, 4, None]
+    private = got("personal_data")
+    assert [(i, t) for i, t, _ in private] == [(1, None), (2, ""), (2, ""), (3, long), (4, "mail [EMAIL], [IP] z"), (None, "x")]
+    assert [r["n_chars"] for *_, r in private] == [None, 0, 0, len(long), 20, 1]
+    tokens = got("tokens")
+    assert [(i, t) for i, t, _ in tokens] == [(i, t or "") for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0))]
+    assert all(r["n_tokens"] == len(r["ids"]) for *_, r in tokens)
+
+
+def test_nothing_but_the_result_is_left(spark):
+    """Stage tables go as soon as the next stage is stored."""
+    import glob
+
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/**/stage-*", recursive=True))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/**/stage-*", recursive=True)) - before
+    assert len(left) == 1 and "stage-tokens" in left.pop()
