@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,7 +23,9 @@ def ensure_importable(spark: SparkSession) -> None:
     if os.path.realpath(home) in known or app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    target = Path(tempfile.mkdtemp()) / "maskwright_package.zip"
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file until then
+    target = Path(folder) / "maskwright_package.zip"
     with zipfile.ZipFile(target, "w") as z:
         for source in _ROOT.rglob("*.py"):
             z.write(source, source.relative_to(_ROOT.parent))
