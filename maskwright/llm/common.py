@@ -42,8 +42,8 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
         share = min(1.0, share * 8)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample_rows: int) -> DataFrame:
-    """(_sample_id, _label) of at most sample_rows labelled documents of docs outside the held-out fold.
+def labelled_sample(labels: DataFrame, id_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    """(_sample_id, _label) of at most sample_rows labelled documents outside the held-out fold.
 
     Repeated labels of a document count as their maximum; null labels and ids don't count.
     """

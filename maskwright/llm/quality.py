@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     an id the smallest text; null labels and ids don't count, null texts are
     empty. Without rows, or with one class only, the score is the base rate.
     """
-    chosen = labelled_sample(docs, labels, id_col, label_col, sample_rows)
+    chosen = labelled_sample(labels, id_col, label_col, sample_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_sample_id"))
     one = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
     found = with_statistics(one, "_text", "_stats").select("_id", "_label", "_stats.*").toPandas().sort_values("_id")

@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     an id the smallest text; null labels, ids and texts don't count. Without
     rows of both classes, or from empty tables, every text is clean.
     """
-    chosen = labelled_sample(docs, labels, id_col, label_col, sample_rows)
+    chosen = labelled_sample(labels, id_col, label_col, sample_rows)
     found = sampled_texts(docs, chosen, id_col, text_col, sample_bytes)
     return fit_texts([r[2] for r in found], [int(r[1] > 0) for r in found])
 

@@ -430,7 +430,7 @@ def test_fits_bound_their_sample(spark):
 
     docs = spark.createDataFrame([(i, "x" * (10 + i)) for i in range(200)] + [(3, "twin")] * 300 + [(None, "none"), (5, None)], "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "1 as quality").unionAll(docs.selectExpr("doc_id", "0"))
-    chosen = common.labelled_sample(docs, labels, "doc_id", "quality", 20)
+    chosen = common.labelled_sample(labels, "doc_id", "quality", 20)
     got = common.sampled_texts(docs, chosen, "doc_id", "text")
     assert len(got) == 20 and all(label == 1 and i % 1 == 0 for i, label, _ in got) and len({i for i, *_ in got}) == 20
     assert got == common.sampled_texts(docs.repartition(7), chosen, "doc_id", "text")
