@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.spans import let
 
 
+def partitions_of(df: DataFrame) -> int:
+    """How many partitions a plan that isn't shuffled has."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for CPU-bound maps over few files that can't be split.
 
     A table of many splits, as on a cluster, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if partitions_of(df) < cores else df
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import MaskingConfig
 from ..operators.detect import detect
 from ..operators.mask_text import mask_text
+from ..sources.lines import partitions_of
 from ..storage import own_path
 
 STREAM_CONFIG = MaskingConfig(as_of="2025-06-15", confidence_threshold=0.5)
@@ -44,8 +45,10 @@ def counts_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Only windows that the watermark (two hours behind the latest) has passed are there.
     """
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/document[s].parquet")  # a pattern, since a stream's plain path has to be a folder
+    batch, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/document[s].parquet")  # a pattern, since a stream's plain path has to be a folder
+    if partitions_of(batch) < cores:
+        stream = stream.repartition(cores)
     arrival = EVENT_TIME.format(interval="make_dt_interval(0, 0, cast(7 * doc_id as int), 0)")
     rows = stream.selectExpr(f"cast({arrival} as timestamp) as ts", "text")
     path = own_path(spark, "counts")
