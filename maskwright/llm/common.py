@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.lines import spread
 from ..storage import discard, shared_dir, stored
 
 __all__ = ["HELD_OUT", "SAMPLE_BYTES", "bounded_sample", "discard", "fold", "labelled_sample", "sampled_texts", "shared_dir", "shuffle_partitions", "stored", "table"]
@@ -12,7 +13,8 @@ SAMPLE_BYTES = 48 << 20  # text that a classifier's sample may bring to the driv
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table over at least as many partitions as there are cores; one of many splits is left as it is."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fold(id_col: str | Column) -> Column:

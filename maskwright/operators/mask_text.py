@@ -65,7 +65,7 @@ def mask_cdata(df: DataFrame, column: str, config: MaskingConfig | None = None,
     return df.withColumn(spans, F.expr(cdata_spans_sql(f"`{column}`", config))).withColumn(into, F.expr(_starred(f"`{column}`", spans))).drop(spans)
 
 
-def _edit(value: str, at: str, mask: str, kind: int, type_: str, confidence: str) -> str:
+def _edit(value: str, at: str, mask: str, kind: int | str, type_: str, confidence: str) -> str:
     return f"named_struct('value', {value}, 'at', {at}, 'mask', {mask}, 'pass', {kind}, 'type', {type_}, 'confidence', {confidence})"
 
 
@@ -76,13 +76,12 @@ def _fields_sql(t: str, config: MaskingConfig) -> str:
     types = config.effective_types()
     off = ", ".join(text(k) for k, v in types.items() if v is False) or "''"
     known = sorted({*reg.CATEGORY_TYPES.values(), "nmi", "custom"})
-    parts = []
-    for k, (regex, maybe) in enumerate(zip(FIELDS, (f"instr({t}, chr(34)) > 0", f"instr({t}, chr(34)) > 0", f"instr({t}, '</') > 0"), strict=True)):
-        named = f"transform({spans_sql(t, regex, 2, maybe)}, s -> named_struct('value', s.g2, 'pos', s.pos + instr(s.value, s.g2) - 1, 'type', {column_type_sql('s.g1')}))"
-        wanted = rf"filter({named}, s -> s.value <> '' and not s.value rlike r'^\s*\z' and s.type not in ({off}))"
-        mask = mask_by_type_sql("s.value", "s.type", config.strategy, known, config.strict_compat)
-        parts.append(f"transform({wanted}, s -> {_edit('s.value', 's.pos', mask, 2 + k, 's.type', '0.95D')})")
-    return f"flatten(array({', '.join(parts)}))"
+    hints = (f"instr({t}, chr(34)) > 0", f"instr({t}, chr(34)) > 0", f"instr({t}, '</') > 0")
+    passes = [f"transform({spans_sql(t, regex, 2, maybe)}, s -> named_struct('value', s.g2, 'pos', s.pos + instr(s.value, s.g2) - 1, 'name', s.g1, 'pass', {2 + k}))" for k, (regex, maybe) in enumerate(zip(FIELDS, hints, strict=True))]
+    filled = rf"filter(flatten(array({', '.join(passes)})), s -> s.value <> '' and not s.value rlike r'^\s*\z')"
+    named = f"transform({filled}, s -> named_struct('value', s.value, 'pos', s.pos, 'pass', s.pass, 'type', {column_type_sql('s.name')}))"
+    mask = mask_by_type_sql("s.value", "s.type", config.strategy, known, config.strict_compat)
+    return f"transform(filter({named}, s -> s.type not in ({off})), s -> {_edit('s.value', 's.pos', mask, 's.pass', 's.type', '0.95D')})"
 
 
 def custom_spans_sql(t: str, pattern: CustomPattern) -> str:
