@@ -12,7 +12,7 @@ from ..functions import registry as reg
 from ..functions.dialect import DUCK, text
 from ..functions.spans import column_sql, line_sql, spans_sql
 from ..operators import detect
-from ..sources.lines import spread
+from ..sources.lines import partitions_of
 
 AS_OF = "2025-06-15"
 
@@ -45,7 +45,10 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     lines = spark.createDataFrame([("line", i, x) for i, x in enumerate(LINES)], "src string, id long, text string")
-    return spread(docs).unionAll(spread(pages)).unionAll(lines)
+    rows = docs.unionAll(pages).unionAll(lines)
+    cores = spark.sparkContext.defaultParallelism
+    # either way the projections above aren't copied into each branch of the union
+    return rows.repartition(cores) if partitions_of(docs) < cores else detect.held(rows, "text")
 
 
 def _spans_duck(d: reg.Detector, source: str = "texts") -> str:
