@@ -8,10 +8,11 @@ from importlib import import_module
 
 _FROM = {
     "config": ("CustomPattern", "MaskingConfig", "RenderConfig"),
-    "functions.hashing": ("pseudonym",),
+    "functions.hashing": ("pseudonym", "register_hash"),
     "functions.masks": ("mask", "register_mask"),
     "functions.registry": ("REGISTRY", "column_type", "is_sensitive_column"),
-    "functions.validators": ("validate",),
+    "functions.validators": ("register_format", "register_validator", "validate"),
+    "operators.copying": ("copy_with_context",),
     "operators.detect": ("candidates", "counts_by_type", "detect"),
     "operators.location": ("sibling_ordinals", "with_context", "xml_tags"),
     "operators.mask_text": ("mask_cdata", "mask_text", "with_masked_text"),
