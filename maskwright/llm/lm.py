@@ -44,6 +44,7 @@ MIN_COUNT = 1
 ALPHA = 0.4
 BLOCK_BYTES = 40 << 20
 PART_ENTRIES = 2_500_000
+_RANGES = 6  # of a block's keys, looked up one after another
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,8 +168,12 @@ def _explode_blocks(batches: Iterator[pa.RecordBatch], order: int, parts: int) -
         for number, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
             each = _block_keys(_unpacked_texts(texts.as_py()), order)
             for k in range(1, order + 1):
-                keys, counts = np.unique(np.concatenate(each[k - 1]), return_counts=True)
+                whole = np.concatenate(each[k - 1])
                 each[k - 1] = []
+                whole.sort()
+                starts = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1]))) if len(whole) else np.zeros(0, np.int64)
+                keys, counts = whole[starts], np.diff(starts, append=len(whole))
+                del whole, starts
                 ends = np.searchsorted(_parts_of(keys, parts), np.arange(parts + 1))
                 rows: list[tuple] = []
                 for p in np.flatnonzero(np.diff(ends)).tolist():
@@ -256,15 +261,23 @@ def score_tokens(counts: list[np.ndarray], min_count: int, alpha: float) -> tupl
     return int(np.count_nonzero(backs)), int(np.count_nonzero(level == 1)), float(value.sum() + math.log(alpha) * backs.sum())
 
 
-def _counts_of(each: list[np.ndarray], answers: list[tuple[int, bytes]], others: bool) -> list[np.ndarray]:
-    """Of a block's documents, given as keys of one k: the count of every n-gram, from the answers of the hash partitions in order."""
+def _counts_of(each: list[np.ndarray], answers: list[tuple[int, bytes]], parts: int, others: bool) -> list[np.ndarray]:
+    """Of a block's documents, given as keys of one k: the count of every n-gram, from the answers of the hash partitions.
+
+    The keys are looked up range by range, so that only a part of them is sorted at a time.
+    """
     whole = np.concatenate(each)
-    if not len(whole):
-        return [np.zeros(0, np.int64) for _ in each]
-    _, where = np.unique(whole, return_inverse=True)
+    found = np.zeros(len(whole), np.int64)
+    answers = sorted(answers)
+    for first in range(0, len(answers), -(-len(answers) // _RANGES) or 1):
+        own = answers[first : first + -(-len(answers) // _RANGES)]
+        inside = whole >= _first_key(own[0][0], parts)
+        if own[-1][0] + 1 < parts:
+            inside &= whole < _first_key(own[-1][0] + 1, parts)
+        at = np.flatnonzero(inside)
+        _, where = np.unique(whole[at], return_inverse=True)
+        found[at] = np.concatenate([_unpack_counts(c) for _, c in own])[where]
     del whole
-    found = np.concatenate([_unpack_counts(c) for _, c in sorted(answers)])[where]
-    del where
     out, at = [], 0
     for i, keys in enumerate(each):
         total = found[at : at + len(keys)]
@@ -272,18 +285,18 @@ def _counts_of(each: list[np.ndarray], answers: list[tuple[int, bytes]], others:
         if others and len(keys):
             _, own_where, own = np.unique(keys, return_inverse=True, return_counts=True)
             total -= own[own_where]
-        each[i] = keys[:0]
+        each[i] = keys[:0].copy()
         out.append(total)
     return out
 
 
-def _score(blocks: pa.Table, answers: pa.Table, order: int, min_count: int, alpha: float, others: bool) -> pa.Table:
+def _score(blocks: pa.Table, answers: pa.Table, order: int, parts: int, min_count: int, alpha: float, others: bool) -> pa.Table:
     ids = _ids(blocks.column("ids")[0].as_py())
     each = _block_keys(_unpacked_texts(blocks.column("texts")[0].as_py()), order)
     got: dict[int, list[tuple[int, bytes]]] = {k: [] for k in range(1, order + 1)}
     for k, p, c in zip(*(answers.column(x).to_pylist() for x in ("k", "part", "counts")), strict=True):
         got[k].append((p, c))
-    counts = [_counts_of(each[k], got.pop(k + 1), others) for k in range(order)]
+    counts = [_counts_of(each[k], got.pop(k + 1), parts, others) for k in range(order)]
     scored = [(len(own[0]), *score_tokens(list(own), min_count, alpha)) for own in zip(*counts, strict=True)]
     columns = [ids, *(pa.array(c, t) for c, (_, t) in zip(zip(*scored, strict=True) if scored else [[]] * 4, _SCORED_FIELDS, strict=True))]
     return pa.Table.from_arrays(columns, names=["id", *(n for n, _ in _SCORED_FIELDS)])
@@ -308,7 +321,7 @@ def score(
     schema = f"id {kind}, n_tokens long, n_backed_off long, n_bare long, log_sum double"
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score(left, right, order, min_count, alpha, others)
+        return _score(left, right, order, parts, min_count, alpha, others)
 
     found = stored(blocked.select("block", "ids", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema), "scores")
     discard(blocked)
